@@ -1,6 +1,66 @@
-STAGES = []
+"""Five stages over documents: toxicity, line dedup, n-gram Jaccard join, mixing sources to target weights, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns documents (the last: packed pieces).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import line_dedup, mixing, ngram_jaccard, packing, toxicity
+from tidemark.llm._common import document_key, read, written
+from tidemark.llm._tokens import vocabulary_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: Its stages learn from labels and tokenize, which SQL can't express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labelled ones among them (not on held-out ids), takes for clean."""
+    labels = read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.filter_clean(docs, model).select(COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of later repeated runs of 3; one that had text and is left without any goes."""
+    clean = line_dedup.line_dedup(docs.select(COLUMNS))
+    gone = (F.col("n_removed") > 0) & (F.btrim("kept_text", F.lit(" \t\r\n")) == "")
+    return clean.where(~F.coalesce(gone, F.lit(False))).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles, the document with the smallest id."""
+    groups = ngram_jaccard.ngram_jaccard(docs, 5, (80, 100))
+    dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+
+
+def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: weights 5, 2, 1 over sources, 150 % of all words, at most twice each."""
+    k1, k2 = document_key()
+    keyed = docs.select(COLUMNS).withColumns({"_k1": k1, "_k2": k2})
+    taken = written(mixing.mix_sources(docs.select("doc_id", "text", "source"), [5, 2, 1], keep_key=True).groupBy("k1", "k2").agg(F.sum("repeats").alias("repeats"), F.count(F.lit(1)).alias("rows")), "mix-taken")
+    both = keyed.join(taken, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    # rows that share id and text share what they take
+    times = F.ceil(F.col("repeats") / F.col("rows")).cast("int")
+    return both.where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram_jaccard", drop_near_copies), ("mixing", mix_by_source), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
