@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import read, written
 from ._words import owners, text_chunks, word_hashes
 
 #: Labelled rows that the model is fitted on, those of the smallest id hashes, and words of its lexicon: both bound what is broadcast.
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     maximum likelihood, and a logistic curve takes the statistic to a probability.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("text", "toxic")
+    known = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "toxicity-labelled")
     counted = known.mapInArrow(_counts, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sums = counted.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = float(sums["t"] or 0), float(sums["c"] or 0)
