@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from ._words import ragged
 
 #: Words a worker remembers before it starts anew; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 #: Characters tokenized at once.
 CHARACTERS = 1 << 21
 #: Two texts whose ids must be those of their parts, for a tokenizer that drops white space.
@@ -45,13 +46,13 @@ class Encoder:
     def _plain(self, word: str) -> bool:
         return word.isalpha() and word.islower() and max(word) < "ɐ" and (word.isascii() or unicodedata.is_normalized("NFC", word))
 
-    def _word(self, word: str) -> list[int]:
-        if self.direct:
-            stem = word.rstrip(".,")
-            if stem and self._plain(stem):
-                ids = [t.id for t in self.full.model.tokenize(self._shown(stem))]
-                return ids if len(stem) == len(word) else ids + list(self.full.encode(word[len(stem) :], add_special_tokens=False).ids)
-        return self.full.encode(word, add_special_tokens=False).ids
+    def _word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            plain = self.direct and self._plain(word)
+            found = [t.id for t in self.full.model.tokenize(self._shown(word))] if plain else self.full.encode(word, add_special_tokens=False).ids
+            ids = self.known[word] = array("I", found).tobytes()
+        return ids
 
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
@@ -60,7 +61,11 @@ class Encoder:
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = np.array(self._word(w), np.uint32).tobytes()
+                stem = w.rstrip(".,")  # punctuation after a plain word is a piece of its own
+                if stem and len(stem) < len(w) and self.direct and (self._plain(stem)):
+                    ids = self._word(stem) + self._word(w[len(stem) :])
+                else:
+                    ids = self._word(w)
             out.append(ids)
         return out
 

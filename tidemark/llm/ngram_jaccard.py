@@ -7,16 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, no_rows, read, written
+from ._common import components, document_key, read, written
 from ._words import binaries, grams, mix, owners, ragged, text_chunks, word_hashes
 
 #: Columns that come first in `common` go last in every row's order. Only speed depends on their choice, so a bounded number will do.
 MOST_COMMON = 1 << 19
 #: Documents of a chunk that must share an n-gram before it is reported as common.
 COMMON_HERE = 4
+#: Parts of the sketch that bounds an overlap, and classes of a block of the product.
+BUCKETS, BLOCK = 256, 1500
+#: Rows of two numbers each up to which document keys are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Ids of classes without an id, above all ids.
 NO_ID = 2**62
 
@@ -52,21 +56,35 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of each row's hashes fall into each of BUCKETS parts. The sum of smaller counts of two rows is no less than their overlap."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(row * BUCKETS + (mix(hashes) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=len(sizes) * BUCKETS).reshape(-1, BUCKETS)
+    counts[counts.max(1, initial=0) > 255] = 255  # too many to count in a byte: bounds nothing
+    return counts.astype(np.uint8)
+
+
 def _describe(n: int):
-    """Rows (id, n, c1, c2) of documents, and (gram, docs) of the n-grams that are common in a chunk."""
+    """Rows (k1, k2, n, c1, c2, sketch) of documents, and (n = -1, c1: gram, c2: documents) of the n-grams that are common in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in text_chunks(batch.column(1)):
+            for at, end, data, offsets in text_chunks(batch.column(2)):
                 hashes, sizes = incidence(data, offsets, n)
                 c1, c2 = signatures(hashes, sizes)
                 grams_, times = np.unique(hashes, return_counts=True)
                 common = times >= COMMON_HERE
                 k, m = end - at, int(common.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([batch.column(0).slice(at, k), pa.nulls(m, pa.int64())]), pa.array(np.concatenate([sizes, np.full(m, -1)])), pa.array(np.concatenate([c1, grams_[common].view(np.int64)])), pa.array(np.concatenate([c2, times[common]]))],
-                    names=["id", "n", "c1", "c2"],
-                )
+                    [
+                        *(pa.concat_arrays([batch.column(i).slice(at, k), pa.nulls(m, pa.int64())]) for i in (0, 1)),
+                        pa.array(np.concatenate([sizes, np.full(m, -1)])),
+                        pa.array(np.concatenate([c1, grams_[common].view(np.int64)])),
+                        pa.array(np.concatenate([c2, times[common]])),
+                        pa.concat_arrays([binaries(sketches(hashes, sizes).ravel(), np.full(k, BUCKETS)), pa.nulls(m, pa.binary())]),
+                    ],
+                    names=["k1", "k2", "n", "c1", "c2", "sketch"],
+                )
 
     return run
 
@@ -94,18 +112,46 @@ def _prefixes(n: int, a: int, b: int, common: np.ndarray):
 
 
 def _sets(n: int):
-    """Rows (c, c2, n, grams) of documents, with the sorted hashes as bytes."""
+    """Rows (k1, c, n, grams) of documents (k1, text), with the sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
+            for at, end, data, offsets in text_chunks(batch.column(1)):
                 hashes, sizes = incidence(data, offsets, n)
-                c1, c2 = signatures(hashes, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(sizes.astype(np.int64)), binaries(hashes, sizes)], names=["c", "c2", "n", "grams"])
+                c1, _ = signatures(hashes, sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(c1), pa.array(sizes.astype(np.int64)), binaries(hashes, sizes)], names=["k1", "c", "n", "grams"])
 
     return run
 
 
+def _block(a: int, b: int, pairs: bool):
+    """Of a block of the product: the pairs (a, b) of different components whose sizes and sketches allow a link, or only the classes that have one."""
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "c"])
+        own, n, c, component = (pdf[x].to_numpy() for x in ("own", "n", "c", "component"))
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BUCKETS)
+        rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found_x, found_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(rows), 32):
+            x = rows[at : at + 32]
+            y = columns[(n[columns] * b >= n[x[0]] * a) & (n[columns] * a <= n[x[-1]] * b)]
+            if not len(y):
+                continue
+            most = np.minimum(sketch[x][:, None], sketch[y][None]).sum(2, dtype=np.int64)
+            fits = (most * (a + b) >= a * (n[x][:, None] + n[y][None])) & (component[x][:, None] != component[y][None]) & ((x[:, None] < y[None]) | (i != j))
+            p, q = np.nonzero(fits)
+            found_x.append(x[p])
+            found_y.append(y[q])
+        x, y = np.concatenate(found_x), np.concatenate(found_y)
+        if pairs:
+            return pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": np.maximum(c[x], c[y])})
+        return pd.DataFrame({"c": np.unique(np.concatenate([c[x], c[y]]))})
+
+    return block
+
+
 def _overlaps(a: int, b: int):
     """Keeps the pairs whose sets overlap enough: a row of the product, one block of pairs at a time."""
 
@@ -123,59 +169,62 @@ def _overlaps(a: int, b: int):
     return run
 
 
-def _fits(x: Column, y: Column, a: int, b: int) -> Column:
-    """Whether sizes x and y allow the similarity a / b."""
-    return F.least(x, y) * b >= F.greatest(x, y) * a
+def blocks(members: DataFrame) -> DataFrame:
+    """members (hub, c, n, component, sketch) dealt out to pairs (i, j) of parts of BLOCK rows about: own is a row's part. A large group becomes many small tasks."""
+    parts = members.groupBy("hub").agg((1 + F.floor(F.count(F.lit(1)) / BLOCK)).cast("int").alias("parts"))
+    own = members.join(parts, "hub").withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return own.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "component", "sketch").groupBy("hub", "i", "j")
 
 
 def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents (id, n, c1, c2) with the class of their n-gram set, components (node, component) of classes' smallest ids).
+    """(documents (k1, n, c1, c2): id and class of n-gram set, components (c1, c2, component) of classes, named by their smallest ids).
 
-    Prefix columns of the incidence matrix give the candidate pairs: a document of n grams keeps its n - ceil(a n / b) + 1 rarest, and linked
-    documents share one of them. Copies are one class. Each column is first reduced to a star around its smallest and then its largest class
-    (linear in the column); only classes of a column that are still in different components are then paired with each other. So no pair
-    is left undecided whose link could join two components, and a group of near copies costs no quadratic number of pairs.
+    Prefix columns of the incidence matrix give the candidates: a document of n grams keeps its n - ceil(a n / b) + 1 rarest, and linked documents
+    share one of them. Copies are one class. Columns with the same smallest class, their hub, are one block of the product; sizes and sketches
+    bound every overlap in it, and only classes with a partner within the bounds are fetched as sets. Each column is first reduced to stars around
+    its smallest and its largest class, linear in the column. Then pairs of the blocks are overlapped, but only those whose classes are
+    still in different components: no pair is left undecided that could join two, and a group of near copies costs no quadratic number of rows.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = written(source.mapInArrow(_describe(n), "id long, n long, c1 long, c2 long"), "ngram-rows")
+    k2 = document_key(id_col, text_col)[1]
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), k2, F.col(text_col).alias("text"))
+    described = written(source.mapInArrow(_describe(n), "k1 long, k2 long, n long, c1 long, c2 long, sketch binary"), "ngram-rows")
     rows = described.where("n >= 0")
     top = described.where("n < 0").groupBy("c1").agg(F.sum("c2").alias("docs")).orderBy(F.desc("docs"), "c1").limit(MOST_COMMON).toPandas()
     common = np.stack([top["c1"].to_numpy(np.int64).view(np.uint64), top["docs"].to_numpy(np.int64).view(np.uint64)], 1) if len(top) else np.zeros((0, 2), np.uint64)
     common = common[np.argsort(common[:, 0])]
-    classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("id")).select("c1", "c2", "n", F.coalesce("id", F.lit(NO_ID) + F.shiftrightunsigned("c1", 2)).alias("node"))
+    first = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("k1", "k2")).alias("f"))
+    node = F.when(F.col("k1") < 2**63 - 1, F.col("k1")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned("c1", 2))
+    classes = first.select("c1", "c2", "f.*").withColumn("node", node)
     postings = written(source.select("text").mapInArrow(_prefixes(n, a, b, common), "gram long, c long, n long"), "ngram-prefixes")
 
     columns = postings.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-    shared = postings.join(columns, "gram")
-
-    shared = written(shared.groupBy("gram", "c", "n").agg(F.first("low").alias("low"), F.first("high").alias("high")), "ngram-columns")
-    sizes = shared.groupBy("c").agg(F.max("n").alias("n"))
-    stars = [shared.select(F.col("c").alias("a"), F.col(hub).alias("b"), F.col("n").alias("n_a")).where("a != b").distinct() for hub in ("low", "high")]
-    wanted = classes.join(sizes.select(F.col("c").alias("c1")), "c1", "left_semi")
-    ids = wanted.select(F.when(F.col("node") < NO_ID, F.col("node")).alias("id"))
-    texts = source.join(ids.where("id is not null").distinct(), "id", "left_semi").select("text").union(source.where("id is null").select("text"))
-    sets = texts.mapInArrow(_sets(n), "c long, c2 long, n long, grams binary").where("n > 0")
-    sets = written(sets.groupBy("c", "c2").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).join(wanted.select(F.col("c1").alias("c"), "c2", "node"), ["c", "c2"]), "ngram-sets")
+    shared = written(postings.join(columns, "gram").select("c", "low", "high").distinct(), "ngram-columns")
+    sketch = rows.where("n > 0").groupBy("c1").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumnRenamed("c1", "c")
+    members = shared.select(F.col("low").alias("hub"), "c").distinct().join(sketch, "c")
+    alive = blocks(members.withColumn("component", F.col("c"))).applyInPandas(_block(a, b, False), "c long").distinct()
+    alive = written(alive, "ngram-alive")
+    wanted = classes.join(alive.withColumnRenamed("c", "c1"), "c1").select("k1", "k2")
+    texts = source.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["k1", "k2"], "left_semi")
+    sets = texts.select("k1", "text").mapInArrow(_sets(n), "k1 long, c long, n long, grams binary").withColumn("node", F.when(F.col("k1") < 2**63 - 1, F.col("k1")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned("c", 2)))
+    sets = written(sets.select("c", "n", "node", "grams"), "ngram-sets")
 
     def decided(pairs: DataFrame) -> DataFrame:
         """(a, b) nodes of the pairs (a, b) of classes that are linked."""
         left = sets.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("node").alias("node_a"), F.col("grams").alias("grams_a"))
         right = sets.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("node").alias("node_b"), F.col("grams").alias("grams_b"))
-        small = sets.select("c", "n")
-        fit = pairs.select("a", "b").join(small.select(F.col("c").alias("a"), F.col("n").alias("m_a")), "a").join(small.select(F.col("c").alias("b"), F.col("n").alias("m_b")), "b").where(_fits(F.col("m_a"), F.col("m_b"), a, b)).select("a", "b").distinct()
-        full = fit.join(left, "a").join(right, "b").where(_fits(F.col("n_a"), F.col("n_b"), a, b) & (F.col("node_a") != F.col("node_b")))
-        return full.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "grams_a", "grams_b").mapInPandas(_overlaps(a, b), "a long, b long")
+        fits = (F.least("n_a", "n_b") * b >= F.greatest("n_a", "n_b") * a) & (F.col("node_a") != F.col("node_b"))
+        full = pairs.join(left, "a").join(right, "b").where(fits)
+        return full.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "grams_a", "grams_b").mapInPandas(_overlaps(a, b), "a long, b long").distinct()
 
-    edges = written(decided(stars[0].select("a", "b").union(stars[1].select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "ngram-edges")
+    near = shared.join(alive, "c")
+    star = near.select("c", F.explode(F.array("low", "high")).alias("hub")).where("c != hub").join(alive.withColumnRenamed("c", "hub"), "hub")
+    edges = written(decided(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()), "ngram-edges")
     found = components(edges, "ngram-stars")
-    label = sets.select("c", "node").join(found, "node", "left").select("c", F.coalesce("component", "node").alias("component"))
-    member = written(shared.select("gram", "c", "n").join(label, "c"), "ngram-members")
-    split = member.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("gram")
-    open_ = member.join(split, "gram")
-    other = open_.select("gram", F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    rest = open_.withColumnsRenamed({"c": "a", "n": "n_a"}).join(other, "gram").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & _fits(F.col("n_a"), F.col("n_b"), a, b)).select("a", "b").distinct()
-    rest = written(rest, "ngram-rest")
-    more = edges if no_rows(rest) else written(edges.union(decided(rest)), "ngram-edges")
+    label = sets.select("c", "node").join(found, "node", "left").groupBy("c").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    open_ = near.select(F.col("low").alias("hub"), "c").distinct().join(label, "c")
+    split = open_.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("hub")
+    pairs = blocks(open_.join(split, "hub").join(sketch, "c")).applyInPandas(_block(a, b, True), "a long, b long").distinct()
+    more = written(edges.union(decided(pairs)), "ngram-edges")
     found = components(more, "ngram-links")
     return rows, classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
 
@@ -185,13 +234,14 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80
 
     Two documents link if b * intersection >= a * union of their sets of n-word shingles (a, b = similarity; A-Z count as a-z); component_id
     is the smallest id that links lead to. Fewer than n words make one shingle; texts without words, null ones included, have none and link with
-    nothing, so they are their own component. Repeated rows share a component. A null id takes part in links; a component of null ids only has
+    nothing, so they are their own component. Repeated rows share a component, and so do different texts that are each their class's first under one id. A null id takes part in links; a component of null ids only has
     a null component_id. No rows give no rows. Other columns are not read.
     """
     rows, parts = links(docs, n, *similarity, id_col, text_col)
     joined = rows.join(parts, ["c1", "c2"], "left")
-    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("component") < NO_ID, F.col("component"))
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    own = F.when(F.col("k1") < 2**63 - 1, F.col("k1"))
+    component = F.when(F.col("n") == 0, own).when(F.col("component") < NO_ID, F.col("component"))
+    return joined.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
