@@ -19,6 +19,8 @@ MOST_COMMON = 1 << 19
 COMMON_HERE = 4
 #: Parts of the sketch that bounds an overlap, and classes of a block of the product.
 BUCKETS, BLOCK = 256, 1500
+#: N-grams of a part of a block, and those whose overlaps are counted at once.
+BLOCK_GRAMS = 1 << 21
 #: Rows of two numbers each up to which document keys are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Ids of classes without an id, above all ids.
@@ -124,30 +126,63 @@ def _sets(n: int):
     return run
 
 
-def _block(a: int, b: int, pairs: bool):
-    """Of a block of the product: the pairs (a, b) of different components whose sizes and sketches allow a link, or only the classes that have one."""
+def candidates(pdf: pd.DataFrame, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of a block (sorted by n) that sizes and sketches allow a link, of different components: x of part i, y of part j."""
+    own, n, component = (pdf[x].to_numpy() for x in ("own", "n", "component"))
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BUCKETS)
+    rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    found_x, found_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(rows), 32):
+        x = rows[at : at + 32]
+        y = columns[(n[columns] * b >= n[x[0]] * a) & (n[columns] * a <= n[x[-1]] * b)]
+        if not len(y):
+            continue
+        most = np.minimum(sketch[x][:, None], sketch[y][None]).sum(2, dtype=np.int64)
+        fits = (most * (a + b) >= a * (n[x][:, None] + n[y][None])) & (component[x][:, None] != component[y][None]) & ((x[:, None] < y[None]) | (i != j))
+        p, q = np.nonzero(fits)
+        found_x.append(x[p])
+        found_y.append(y[q])
+    return np.concatenate(found_x), np.concatenate(found_y)
+
+
+def _alive(a: int, b: int):
+    """Of a block of the product: the classes that have a partner within the bounds."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "c"])
-        own, n, c, component = (pdf[x].to_numpy() for x in ("own", "n", "c", "component"))
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BUCKETS)
-        rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found_x, found_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(rows), 32):
-            x = rows[at : at + 32]
-            y = columns[(n[columns] * b >= n[x[0]] * a) & (n[columns] * a <= n[x[-1]] * b)]
-            if not len(y):
-                continue
-            most = np.minimum(sketch[x][:, None], sketch[y][None]).sum(2, dtype=np.int64)
-            fits = (most * (a + b) >= a * (n[x][:, None] + n[y][None])) & (component[x][:, None] != component[y][None]) & ((x[:, None] < y[None]) | (i != j))
-            p, q = np.nonzero(fits)
-            found_x.append(x[p])
-            found_y.append(y[q])
-        x, y = np.concatenate(found_x), np.concatenate(found_y)
-        if pairs:
-            return pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": np.maximum(c[x], c[y])})
-        return pd.DataFrame({"c": np.unique(np.concatenate([c[x], c[y]]))})
+        kept = np.unique(pdf["c"].to_numpy()[np.concatenate(candidates(pdf, a, b))])
+        return pd.DataFrame({"hub": pdf["hub"].iloc[0], "c": kept})
+
+    return block
+
+
+def _product(a: int, b: int):
+    """Of a block of the product: (a, b) nodes of links that join its components, fewer than it has rows. A row's overlaps are counted at once, for the partners within the bounds that are not joined to it yet."""
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "c"])
+        x, y = candidates(pdf, a, b)
+        n, node = pdf["n"].to_numpy(), pdf["node"].to_numpy()
+        sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
+        _, label = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        found = []
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        edges = np.flatnonzero(np.diff(x, prepend=-1, append=-1)) if len(x) else [0]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            row, left = x[begin], y[begin:end]
+            while len(left := left[label[left] != label[row]]):
+                step = max(1, int(np.searchsorted(np.cumsum(n[left]), BLOCK_GRAMS, "right")))
+                now, left = left[:step], left[step:]
+                flat = np.concatenate([sets[k] for k in now])
+                hit = sets[row][np.minimum(np.searchsorted(sets[row], flat), n[row] - 1)] == flat
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[now]) - n[now])
+                for k in now[b * common >= a * (n[row] + n[now] - common)]:
+                    if label[k] != label[row]:
+                        label[label == label[k]] = label[row]
+                        found.append((node[row], node[k]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return block
 
@@ -169,11 +204,12 @@ def _overlaps(a: int, b: int):
     return run
 
 
-def blocks(members: DataFrame) -> DataFrame:
-    """members (hub, c, n, component, sketch) dealt out to pairs (i, j) of parts of BLOCK rows about: own is a row's part. A large group becomes many small tasks."""
-    parts = members.groupBy("hub").agg((1 + F.floor(F.count(F.lit(1)) / BLOCK)).cast("int").alias("parts"))
+def blocks(members: DataFrame):
+    """members (hub, c, n, ...) dealt out to pairs (i, j) of parts of about BLOCK rows and BLOCK_GRAMS n-grams at most: own is a row's part. A large group becomes many small tasks."""
+    parts = members.groupBy("hub").agg((1 + F.floor(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS))).cast("int").alias("parts"))
     own = members.join(parts, "hub").withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return own.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "n", "component", "sketch").groupBy("hub", "i", "j")
+    rest = [c for c in members.columns if c != "hub"]
+    return own.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest).groupBy("hub", "i", "j")
 
 
 def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +218,8 @@ def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -
     Prefix columns of the incidence matrix give the candidates: a document of n grams keeps its n - ceil(a n / b) + 1 rarest, and linked documents
     share one of them. Copies are one class. Columns with the same smallest class, their hub, are one block of the product; sizes and sketches
     bound every overlap in it, and only classes with a partner within the bounds are fetched as sets. Each column is first reduced to stars around
-    its smallest and its largest class, linear in the column. Then pairs of the blocks are overlapped, but only those whose classes are
-    still in different components: no pair is left undecided that could join two, and a group of near copies costs no quadratic number of rows.
+    its smallest and its largest class, linear in the column. Then the blocks get the sets of the classes that have partners in other components, and overlaps are
+    counted inside each block: no pair is left undecided that could join two components, and a block gives fewer rows than it has classes.
     """
     k2 = document_key(id_col, text_col)[1]
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), k2, F.col(text_col).alias("text"))
@@ -201,7 +237,7 @@ def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -
     shared = written(postings.join(columns, "gram").select("c", "low", "high").distinct(), "ngram-columns")
     sketch = rows.where("n > 0").groupBy("c1").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumnRenamed("c1", "c")
     members = shared.select(F.col("low").alias("hub"), "c").distinct().join(sketch, "c")
-    alive = blocks(members.withColumn("component", F.col("c"))).applyInPandas(_block(a, b, False), "c long").distinct()
+    alive = blocks(members.withColumn("component", F.col("c"))).applyInPandas(_alive(a, b), "hub long, c long").select("c").distinct()
     alive = written(alive, "ngram-alive")
     wanted = classes.join(alive.withColumnRenamed("c", "c1"), "c1").select("k1", "k2")
     texts = source.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["k1", "k2"], "left_semi")
@@ -220,11 +256,14 @@ def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -
     star = near.select("c", F.explode(F.array("low", "high")).alias("hub")).where("c != hub").join(alive.withColumnRenamed("c", "hub"), "hub")
     edges = written(decided(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()), "ngram-edges")
     found = components(edges, "ngram-stars")
-    label = sets.select("c", "node").join(found, "node", "left").groupBy("c").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    label = sets.join(found, "node", "left").groupBy("c", "n").agg(F.min(F.coalesce("component", "node")).alias("component"))
     open_ = near.select(F.col("low").alias("hub"), "c").distinct().join(label, "c")
     split = open_.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("hub")
-    pairs = blocks(open_.join(split, "hub").join(sketch, "c")).applyInPandas(_block(a, b, True), "a long, b long").distinct()
-    more = written(edges.union(decided(pairs)), "ngram-edges")
+    open_ = written(open_.join(split, "hub").join(sketch.select("c", "sketch"), "c"), "ngram-open")
+    partnered = blocks(open_).applyInPandas(_alive(a, b), "hub long, c long").distinct()
+    whole = sets.groupBy("c").agg(F.min("node").alias("node"), F.min("grams").alias("grams"))
+    more = blocks(open_.join(partnered, ["hub", "c"], "left_semi").join(whole, "c")).applyInPandas(_product(a, b), "a long, b long")
+    more = written(edges.union(more), "ngram-edges")
     found = components(more, "ngram-links")
     return rows, classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
 
