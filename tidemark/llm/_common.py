@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row. Plain columns can be moved into the filters and lambdas that read them, and a lambda computes them for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def no_rows(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import document_key, read, written
+from ._common import computed, document_key, read, written
 
 #: Lines of the shortest run that counts as repeated.
 MIN_RUN = 3
@@ -19,7 +19,7 @@ def later_runs(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id",
     but the first are later repeats.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
-    hashed = docs.select(*document_key(id_col, text_col), F.transform(lines, lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= min_run)
+    hashed = computed(docs.select(*document_key(id_col, text_col), text_col), h=F.transform(lines, lambda x: F.xxhash64(x))).select("k1", "k2", "h").where(F.size("h") >= min_run)
     windows = F.transform(F.sequence(F.lit(0), F.size("h") - min_run), lambda i: F.struct(i.alias("start"), F.slice("h", i + 1, min_run).alias("w")))
     selected = F.transform(windows, lambda x: F.struct(x["start"].alias("start"), x["w"].alias("w"), F.array_min(x["w"]).alias("fingerprint")))
     placed = hashed.select("k1", "k2", F.explode(selected).alias("x")).select("k1", "k2", "x.*", (F.col("x.start") + F.array_position("x.w", F.col("x.fingerprint")).cast("int") - 1).alias("place"))
@@ -44,14 +44,14 @@ def line_dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id",
     found = later_runs(docs, min_run, id_col, text_col).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "starts": "_starts"})
     keyed = docs.withColumns({"_a": k1, "_b": k2})
     both = keyed.join(found, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
-    both = both.withColumn("_lines", F.split(text_col, "\n"))
+    both = computed(both, _lines=F.split(text_col, "\n"))
     full = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.btrim(F.get("_lines", i), F.lit(" \t\r")) != "")
-    both = both.withColumn("_full", F.when(F.col(text_col).isNull(), F.array().cast("array<int>")).otherwise(full))
+    both = computed(both, _full=F.when(F.col(text_col).isNull(), F.array().cast("array<int>")).otherwise(full))
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.transform(F.sequence(s, s + (min_run - 1)), lambda i: F.get("_full", i)))))
-    both = both.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
+    both = computed(both, _gone=F.coalesce(gone, F.array().cast("array<int>")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
     text = F.when(F.col(text_col).isNotNull(), F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    out = both.withColumns({"n_lines": F.size("_full").cast("long"), "n_removed": F.size("_gone").cast("long"), "kept_text": text})
+    out = computed(both, n_lines=F.size("_full").cast("long"), n_removed=F.size("_gone").cast("long"), kept_text=text)
     return out.drop("_a", "_b", "_k1", "_k2", "_starts", "_lines", "_full", "_gone")
 
 
