@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.frames import carried_last, islands
-from tidemark.functions import inference
-from tidemark.operators import assays, backtest, ledger, quality, signals
+from tidemark.functions import inference, selection
+from tidemark.operators import assays, backtest, engine, ledger, panels, quality, signals
 from tidemark.operators.asof import asof
 from tidemark.operators.resample import ticks_to_bars
 from tidemark.sources import market
@@ -161,3 +161,63 @@ def test_logistic_finds_the_sign(spark):
     d = spark.range(400).select(((F.col("id") % 20) - 10).cast("double").alias("x"), ((F.col("id") % 20) + (F.col("id") % 3) > 10).cast("int").alias("y"))
     w, _, _ = inference.ridge_logistic(d, ["x"], "y")
     assert w[1] > 1
+
+
+def plan(spark, rows):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("x", t0 + dt.timedelta(days=i), *map(float, r[:4]), *r[4:]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, target int, size double, stop_dist double")
+
+
+def test_fixed_units_stop_inside_a_bar_and_bar_the_side(spark):
+    p = plan(spark, [(100, 101, 99, 100, 1, 1.0, 5.0), (100, 102, 99, 101, 1, 1.0, 5.0), (101, 101, 90, 92, 1, 1.0, 5.0), (92, 120, 92, 120, None, None, None)])
+    run = engine.run_plan(p, 0.0)
+    assert [(t.entry, t.exit, round(t.pnl, 9), t.exit_reason) for t in engine.trades(run).collect()] == [(100.0, 95.0, -0.05, "stop")]
+    assert [(r.side, round(r.equity, 9)) for r in run.orderBy("ts").collect()] == [(0, 1.0), (1, 1.01), (0, 0.95), (0, 0.95)]
+
+
+def test_fixed_units_gap_through_a_stop_fills_at_the_open(spark):
+    p = plan(spark, [(100, 100, 100, 100, -1, 0.5, 2.0), (100, 101, 99, 100, -1, 0.5, 2.0), (110, 111, 109, 110, 0, None, None)])
+    t = engine.trades(engine.run_plan(p, 0.0)).first()
+    assert (t.exit, round(t.pnl, 9)) == (110.0, -0.05)
+
+
+def test_fixed_units_turn_pays_both_sides_and_the_end_closes(spark):
+    p = plan(spark, [(100, 100, 100, 100, 1, 1.0, None), (100, 100, 100, 100, -1, 1.0, None), (100, 100, 100, 100, None, None, None)])
+    t = engine.trades(engine.run_plan(p, 10.0)).orderBy("exit_ts", "entry_ts").collect()
+    assert [x.exit_reason for x in t] == ["target", "end"] and all(abs(x.pnl / 0.002 + 1) < 0.01 for x in t)
+
+
+def test_fixed_units_pay_financing_by_elapsed_days(spark):
+    p = plan(spark, [(100, 100, 100, 100, 1, 1.0, None)] + [(100, 100, 100, 100, None, None, None)] * 3)
+    assert abs(engine.run_plan(p, 0.0, 0.365).orderBy("ts").collect()[-1].equity - 0.998) < 1e-9
+
+
+def test_fixed_units_of_no_bars(spark):
+    assert engine.run_plan(plan(spark, [(1.0, 1.0, 1.0, 1.0, 1, 1.0, None)]).limit(0), 1.0).count() == 0
+
+
+def test_missing_ranges_ignore_repeats_and_nulls(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("a", 5), ("b", 7)], "key string, n long")
+    assert [tuple(r) for r in panels.missing_ranges(rows, "key", "n").collect()] == [("a", 2, 4, 3)]
+
+
+def test_walk_forward_takes_the_better_variant_and_reports_later_rows(spark):
+    rows = [("x", v, i, i, 40, (0.01 if v == "good" else -0.01) + 0.001 * (i % 2)) for i in range(40) for v in ("bad", "good")]
+    nets = spark.createDataFrame(rows, "symbol string, variant string, ts int, row int, rows int, net double")
+    got = selection.walk_forward(nets, 2).orderBy("fold").collect()
+    assert [(r.variant, r.test_n, round(r.test_net, 6)) for r in got] == [("good", 10, 0.105), ("good", 10, 0.105)]
+    assert selection.overfitting(nets).first().pbo == 0
+
+
+def test_row_chain_depends_on_order_and_content(spark):
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("m", 1, "b"), ("m", 2, "a")], "k string, i int, t string")
+    heads = {r.k: r.head for r in market.row_chain(rows, ["k"], ["i"], F.col("t")).collect()}
+    assert heads["k"] != heads["m"]
+
+
+def test_opening_range_drops_days_that_break_both_sides(spark):
+    t = dt.datetime(2024, 1, 1)
+    row = lambda day, hour, top, bottom: ("x", t + dt.timedelta(days=day, hours=hour), top, bottom)
+    quotes = spark.createDataFrame([row(0, 8, 10, 5), row(0, 9, 10, 5), row(0, 10, 11, 6), row(1, 8, 10, 5), row(1, 9, 12, 3), row(2, 9, 12, 3)], "symbol string, ts timestamp_ntz, high_ask long, low_bid long")
+    assert [(r.ts.hour, r.direction) for r in assays.opening_range(quotes, 8, 6).collect()] == [(10, 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import market
+from .plans import market, studies  # noqa: F401  (studies adds to the queries of market)
 
 
 def queries() -> dict:

@@ -102,6 +102,43 @@ def reversal_direction(n: int = 48, k: float = 2.0) -> Column:
     return F.when(z <= -k, 1).when(z >= k, -1).otherwise(0)
 
 
+def with_assay_moves(bars: DataFrame) -> DataFrame:
+    """Quote bars with x, twice the mid at the close, r, its step, and width, the bar's range over it."""
+    x = c("close_bid") + c("close_ask")
+    d = bars.withColumn("x", x)
+    return d.withColumns({"r": c("x") - back("x"), "width": (c("high_ask") - c("low_bid")) / F.nullif(c("x"), F.lit(0))}).withColumn("width_mid", gated(F.percentile("width", 0.5), c("width"), prior(16), 16))
+
+
+def assay_directions() -> dict[str, Column]:
+    """Directions of bar assays over with_assay_moves(): 1, -1 or 0 at the bar that shows one."""
+    size, w = F.abs("r"), along()
+    step = F.signum(c("r").cast("double")).cast("int")
+    ratio = gated(F.avg(size), c("r"), w.rowsBetween(-11, 0), 12) / F.nullif(gated(F.avg(size), c("r"), w.rowsBetween(-59, -12), 48), F.lit(0.0))
+    since = lambda n: F.signum((c("x") - F.lag("x", n).over(w)).cast("double")).cast("int")
+    up, down = (F.sum(F.greatest(c("r") * k, F.lit(0))).over(w.rowsBetween(-1, 0)) for k in (1, -1))
+    strength = F.coalesce(100.0 * up / F.nullif(up + down, F.lit(0)), F.lit(50.0))
+    quiet = c("width_mid") < gated(F.percentile("width_mid", 0.5), c("width_mid"), prior(64), 64)
+    top, bottom = gated(F.max("high_ask"), c("high_ask"), prior(16), 16), gated(F.min("low_bid"), c("low_bid"), prior(16), 16)
+    return {
+        "volatility_ratio": F.when(ratio >= 1.5, step).when(ratio <= 0.75, -step).otherwise(0),
+        "sequence": F.when((step == F.lag(step).over(w)) & (step == F.lag(step, 2).over(w)), step).otherwise(0),
+        "alignment": F.when((since(3) == since(12)) & (since(3) == since(48)), since(3)).otherwise(0),
+        "short_strength": F.when(F.lag("r").over(w).isNull(), 0).when(strength <= 10, 1).when(strength >= 90, -1).otherwise(0),
+        "compression": F.when(quiet & (c("x") > 2 * top), 1).when(quiet & (c("x") < 2 * bottom), -1).otherwise(0),
+    }
+
+
+def opening_range(bars: DataFrame, hour: int, hours: int, least: int = 1) -> DataFrame:
+    """(symbol, day, ts, direction) of the first bar, in `hours` after the opening hour, whose high or low leaves that hour's range; days on which it leaves both
+    sides at once, or whose range has fewer than `least` bars, have none."""
+    d = bars.withColumn("day", F.to_date("ts")).where(F.hour("ts").between(hour, hour + hours))
+    opening = F.hour("ts") == hour
+    ranges = d.groupBy("symbol", "day").agg(F.max(F.when(opening, c("high_ask"))).alias("top"), F.min(F.when(opening, c("low_bid"))).alias("bottom"), F.count_if(opening).alias("bars")).where(c("bars") >= least)
+    side = F.when((c("high_ask") > c("top")) & (c("low_bid") < c("bottom")), 0).when(c("high_ask") > c("top"), 1).when(c("low_bid") < c("bottom"), -1)
+    breaks = d.where(~opening).join(ranges, ["symbol", "day"]).withColumn("direction", side).where("direction IS NOT NULL")
+    return breaks.groupBy("symbol", "day").agg(F.min("ts").alias("ts"), F.min_by("direction", "ts").alias("direction")).where("direction <> 0")
+
+
 def outcomes(samples: DataFrame) -> DataFrame:
     """Wins, losses, means and profit factor of each symbol; if any result is unknown, its means and factor are too."""
     known = F.count("net_c") == F.count(F.lit(1))

@@ -90,3 +90,40 @@ def stress(bars: DataFrame, position: str, cost_bps: float, multiples: list[floa
     d = d.withColumn("traded", F.abs(c("held") - F.coalesce(F.lag("held").over(w), F.lit(0.0))))
     d = d.withColumn("net", c("held") * c("r") - c("traded") * c("cost_multiple") * cost_bps / 1e4)
     return metrics(d, bars_per_year, ("symbol", "cost_multiple"))
+
+
+def by_label(run: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(symbol, label, n_bars, net) of a run's bars by the label of the bar before, which was known when they began."""
+    known = labels.select("symbol", "ts", F.lag(label).over(along()).alias(label))
+    return run.where(c("net").isNotNull()).join(known, ["symbol", "ts"]).groupBy("symbol", label).agg(F.count(F.lit(1)).alias("n_bars"), F.sum("net").alias("net"))
+
+
+def expectancy(trades: DataFrame, pnl: str, keys=("symbol",)) -> DataFrame:
+    """Of each key's trades: n, mean, mean win, mean loss, and the 5th percentile."""
+    x = c(pnl)
+    return trades.where(x.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.avg(F.when(x > 0, x)).alias("mean_win"), F.avg(F.when(x < 0, x)).alias("mean_loss"), F.percentile(x, 0.05).alias("worst_5"))
+
+
+def hac_alpha(run: DataFrame, bars_per_year: float, benchmark: str = "r", lags: int = 5) -> DataFrame:
+    """(symbol, n, alpha, beta, t) of net on the benchmark, t from Bartlett-weighted lagged products of residuals; 18 bars at least."""
+    w, whole = along(), Window.partitionBy("symbol")
+    d = run.where(c("net").isNotNull() & c(benchmark).isNotNull()).withColumn("b", c(benchmark))
+    d = d.withColumns({"beta": F.regr_slope("net", "b").over(whole), "a": F.regr_intercept("net", "b").over(whole)}).withColumn("u", c("net") - c("a") - c("beta") * c("b"))
+    sums = {"s00": F.sum(c("u") * c("u")), "s01": F.sum(c("u") * c("u") * c("b")), "s11": F.sum(c("u") * c("u") * c("b") * c("b"))}
+    for k in range(1, lags + 1):
+        d = d.withColumns({f"u{k}": F.lag("u", k).over(w), f"b{k}": F.lag("b", k).over(w)})
+        q, uu = 1 - k / (lags + 1), c("u") * c(f"u{k}")
+        for name, x in (("s00", 2 * uu), ("s01", uu * (c("b") + c(f"b{k}"))), ("s11", 2 * uu * c("b") * c(f"b{k}"))):
+            sums[name] = sums[name] + q * F.coalesce(F.sum(x), F.lit(0.0))
+    g = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("sb"), F.sum(c("b") * c("b")).alias("sbb"), F.max("a").alias("a"), F.max("beta").alias("beta"), *[v.alias(k) for k, v in sums.items()])
+    det = c("n") * c("sbb") - c("sb") * c("sb")
+    p, q = c("sbb") / F.nullif(det, F.lit(0.0)), -c("sb") / F.nullif(det, F.lit(0.0))
+    variance = p * p * c("s00") + 2 * p * q * c("s01") + q * q * c("s11")
+    return g.where(c("n") >= 18).select("symbol", "n", (c("a") * bars_per_year).alias("alpha"), "beta", (c("a") / F.nullif(F.sqrt(F.greatest(variance, F.lit(0.0))), F.lit(0.0))).alias("t"))
+
+
+def chronological(rows: DataFrame, shares: tuple[float, float] = (0.6, 0.2), keys=("symbol",)) -> DataFrame:
+    """rows with part: discovery, validation or locked by place in time, cut at whole rows below each share."""
+    n, i = F.count(F.lit(1)).over(Window.partitionBy(*keys)), F.row_number().over(along(keys)) - 1
+    first, second = F.floor(n * shares[0]), F.floor(n * (shares[0] + shares[1]))
+    return rows.withColumn("part", F.when(i < first, "discovery").when(i < second, "validation").otherwise("locked"))

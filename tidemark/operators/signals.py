@@ -145,3 +145,25 @@ def regimes(bars: DataFrame, n: int = 20, high_vol: float = 0.8, trend: float =
     d = d.withColumns({"vol_rank": trailing_percentile("_vol", 4 * n, n), "er": efficiency_ratio("close", n), "drift": c("close") - back("close", n)})
     label = F.when(c("vol_rank").isNull() | c("er").isNull(), "UNKNOWN").when(c("vol_rank") >= high_vol, "HIGH_VOL").when(c("er") >= trend, F.when(c("drift") > 0, "TREND_UP").otherwise("TREND_DOWN")).otherwise("RANGE")
     return d.withColumn("regime", label).drop("_r", "_vol", "close_step")
+
+
+def adaptive_regimes(bars: DataFrame, n: int = 20, back_atr: int = 60) -> DataFrame:
+    """label: trend_up or trend_down at an efficiency ratio of 0.3 or more, range at 0.2 or less, else transition; with _high_vol where the mean true range
+    exceeds 1.5 times the median of the `back_atr` before; warming_up where a part is unknown."""
+    from ..functions.indicators import efficiency_ratio, true_range
+
+    d = bars.withColumns({"close_step": F.abs(c("close") - back("close")), "_tr": true_range()})
+    d = d.withColumns({"er": efficiency_ratio("close", n), "drift": c("close") - back("close", n), "_atr": sma("_tr", n)})
+    d = d.withColumn("_usual", gated(F.percentile("_atr", 0.5), c("_atr"), prior(back_atr), back_atr))
+    base = F.when(c("er") >= 0.3, F.when(c("drift") > 0, "trend_up").otherwise("trend_down")).when(c("er") <= 0.2, "range").otherwise("transition")
+    label = F.when(c("er").isNull() | c("_usual").isNull(), "warming_up").otherwise(F.concat(base, F.when(c("_atr") > 1.5 * c("_usual"), "_high_vol").otherwise("")))
+    return d.withColumn("label", label).drop("close_step", "_tr", "_atr", "_usual")
+
+
+def timed_rule(bars: DataFrame, direction: Column, hold: int, out: str = "position") -> DataFrame:
+    """bars with the side of the last direction for `hold` bars from its bar on, 0 else; directions are 1, -1, or null or 0 for none."""
+    n = F.row_number().over(along())
+    d = bars.withColumns({"_n": n, "_side": direction}).withColumn("_event", F.when(c("_side") != 0, F.struct("_n", "_side")))
+    last = F.last("_event", True).over(so_far())
+    d = d.withColumn("_last", last)
+    return d.withColumn(out, F.when(c("_n") - c("_last._n") < hold, c("_last._side")).otherwise(0)).drop("_n", "_side", "_event", "_last")

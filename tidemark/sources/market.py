@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frames import no_nan
@@ -100,3 +100,19 @@ def read_bars(spark: SparkSession, root: str, timeframe: str, version: str, star
     bars = spark.read.parquet(f"{root}/bars").where((F.col("timeframe") == timeframe) & (F.col("version").cast("string") == version))
     bars = bars if start is None else bars.where(F.col("ts") >= start)
     return (bars if end is None else bars.where(F.col("ts") < end)).select(*BAR_COLUMNS)
+
+
+def agreement(left: DataFrame, right: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(n, max_diff, corr, same_sign): two copies of a series where both are known, and the share of changes with equal sign. Series are slow: one window over all stamps."""
+    both = left.select(*keys, F.col(value).alias("a")).join(right.select(*keys, F.col(value).alias("b")), keys).where("a IS NOT NULL AND b IS NOT NULL")
+    w = Window.orderBy(*keys)
+    da, db = F.signum(F.col("a") - F.lag("a").over(w)), F.signum(F.col("b") - F.lag("b").over(w))
+    d = both.withColumn("same", (da == db).cast("double"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_diff"), F.corr("a", "b").alias("corr"), F.avg("same").alias("same_sign"))
+
+
+def row_chain(rows: DataFrame, keys: list[str], order: list[str], text: Column) -> DataFrame:
+    """(keys, n, head): a hash chain over a group's rows in order, each link the SHA-256 of the link before and the row's text. Groups must be bounded (a month of bars)."""
+    g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, text.alias("_text")))).alias("r"))
+    head = F.aggregate("r", F.lit(""), lambda link, x: F.sha2(F.concat(link, F.coalesce(x["_text"], F.lit(""))), 256))
+    return g.select(*keys, F.size("r").cast("long").alias("n"), head.alias("head"))
