@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import catalog
 from tidemark.frames import carried_last, islands
 from tidemark.functions import inference, selection
-from tidemark.operators import assays, backtest, engine, ledger, panels, quality, signals
+from tidemark.operators import assays, backtest, engine, evidence, ledger, panels, quality, signals
 from tidemark.operators.asof import asof
 from tidemark.operators.resample import ticks_to_bars
 from tidemark.sources import market
@@ -221,3 +221,46 @@ def test_opening_range_drops_days_that_break_both_sides(spark):
     row = lambda day, hour, top, bottom: ("x", t + dt.timedelta(days=day, hours=hour), top, bottom)
     quotes = spark.createDataFrame([row(0, 8, 10, 5), row(0, 9, 10, 5), row(0, 10, 11, 6), row(1, 8, 10, 5), row(1, 9, 12, 3), row(2, 9, 12, 3)], "symbol string, ts timestamp_ntz, high_ask long, low_bid long")
     assert [(r.ts.hour, r.direction) for r in assays.opening_range(quotes, 8, 6).collect()] == [(10, 1)]
+
+
+def stamped(spark, rows):
+    t0 = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([("x", None if s is None else t0 + dt.timedelta(seconds=s), n) for s, n in rows], "symbol string, ts timestamp_ntz, seq long")
+
+
+def test_nearest_match_uses_a_fill_once_and_later_of_ties(spark):
+    got = evidence.nearest_match(stamped(spark, [(10, 1), (12, 2), (500, 3), (None, 4)]), stamped(spark, [(8, 11), (12, 12), (900, 13)]), 60)
+    assert {r.seq: (r.fill_seq, r.distance_s) for r in got.collect()} == {1: (12, 2.0), 2: (11, 4.0), 3: (None, None), 4: (None, None)}
+
+
+def test_nearest_match_equals_one_fold_over_all(spark):
+    ticks = market.ticks(spark, SF).select("symbol", "ts", "seq").collect()
+    left, right = [[t for t in ticks if t.seq % 2 == k] for k in (1, 0)]
+    used, want = set(), {}
+    for i in sorted(left, key=lambda t: (t.symbol, t.ts, t.seq)):
+        near = [(-abs((f.ts - i.ts).total_seconds()), f.ts, f.seq) for f in right if f.symbol == i.symbol and f.seq not in used and abs((f.ts - i.ts).total_seconds()) <= 3600]
+        want[i.seq] = max(near)[2] if near else None
+        used.add(want[i.seq])
+    t = market.ticks(spark, SF)
+    got = {r.seq: r.fill_seq for r in evidence.nearest_match(t.where("seq % 2 = 1"), t.where("seq % 2 = 0"), 3600).collect()}
+    assert got == want
+
+
+def test_logs_and_reports_are_read_by_pattern(spark, tmp_path):
+    (tmp_path / "a.log").write_text("12:00 deal #7 buy 0.10 at 1900.5\nnoise\n12:01 deal #8 sell x at 1901\n")
+    rows = evidence.read_log(spark, str(tmp_path / "a.log"), r"deal #(\d+) (\w+) (\S+) at (\S+)", {"deal": "long", "side": "string", "lots": "double", "price": "double"}).orderBy("deal").collect()
+    assert [tuple(r) for r in rows] == [(7, "buy", 0.1, 1900.5), (8, "sell", None, 1901.0)]
+    (tmp_path / "r.html").write_text("<table><tr><th>Deal</th><th>Price</th></tr><tr><td>7</td>\n<td><b>1900.5</b></td></tr><tr><td>total</td></tr></table>")
+    assert [r.cells for r in evidence.read_report_rows(spark, str(tmp_path / "r.html"), 2).orderBy("row").collect()] == [["Deal", "Price"], ["7", "1900.5"]]
+
+
+def test_gates_refuse_unknown_values(spark):
+    m = spark.createDataFrame([("x", None, 0.1)], "symbol string, sharpe double, max_drawdown double")
+    got = {r.gate: r.passed for r in evidence.gates(m, {"s": ("sharpe", ">=", 0.5), "d": ("max_drawdown", "<=", 0.2)}).collect()}
+    assert got == {"s": False, "d": True}
+
+
+def test_short_rsi_rule_leaves_after_most_bars(spark):
+    b = bars(spark, [10, 20, 30, 40, 39, 38, 37, 36]).withColumn("v", F.when(F.col("close") == 39, 1.0).otherwise(50.0))
+    got = [r.position for r in signals.short_rsi_rule(b, "v", 5, 3, 2, 2).orderBy("ts").collect()]
+    assert got == [0, 0, 0, 0, 1, 1, 0, 0]

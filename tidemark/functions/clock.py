@@ -37,3 +37,15 @@ def session(stamp: Column) -> Column:
 def shift_days(df: DataFrame, col: str, days: int) -> DataFrame:
     """A slow series stamped when it was known: its date plus a publication delay."""
     return df.withColumn(col, F.date_add(col, days))
+
+
+def clock_fit(reference: DataFrame, candidate: DataFrame, shifts_s: list[int], least: int = 200, value: str = "r") -> DataFrame:
+    """(symbol, shift_s, n, corr): the shift of a candidate's stamps whose values correlate best with the reference's (ts, value), where `least` stamps or more meet; ties to the smaller shift.
+
+    The candidate has a row for each shift, and one equi-join finds the meetings of all."""
+    moved = candidate.where(F.col(value).isNotNull()).withColumn("shift_s", F.explode(F.array(*[F.lit(x) for x in shifts_s])))
+    moved = moved.select("symbol", "shift_s", (F.col("ts") + F.make_dt_interval(secs=F.col("shift_s"))).alias("ts"), F.col(value).alias("_c"))
+    met = moved.join(reference.select("ts", F.col(value).alias("_r")).where("_r IS NOT NULL"), "ts")
+    fits = met.groupBy("symbol", "shift_s").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("_c", "_r"), 9).alias("corr")).where((F.col("n") >= least) & F.col("corr").isNotNull())
+    best = F.max_by(F.struct("shift_s", "n", "corr"), F.struct("corr", -F.col("shift_s")))
+    return fits.groupBy("symbol").agg(best.alias("b")).select("symbol", "b.*")

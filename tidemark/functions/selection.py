@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import along
+from .inference import block_bootstrap
 
 
 def variant_nets(bars: DataFrame, positions: dict[str, Column], cost_bps: float) -> DataFrame:
@@ -59,3 +60,14 @@ def overfitting(nets: DataFrame, groups: int = 6, chosen: int = 2) -> DataFrame:
     best = F.max_by("tested", F.struct(F.round("known", 9), "variant"))
     g = g.groupBy("symbol", "fold").agg((F.round(best, 9) < F.round(F.percentile("tested", 0.5), 9)).cast("double").alias("below"))
     return g.groupBy("symbol").agg(F.count(F.lit(1)).alias("folds"), F.avg("below").alias("pbo"))
+
+
+def reality_check(nets: DataFrame, draws: int, block: int, seed: int = 0) -> DataFrame:
+    """(symbol, best, draws, p): the highest mean net of a symbol's variants, and how often the best of centred means in circular block draws reaches it.
+
+    Every variant of a symbol has the same rows, so the hashed block starts draw the same rows for each."""
+    resampled = block_bootstrap(nets, "net", draws, block, seed, ("symbol", "variant"))
+    means = nets.groupBy("symbol", "variant").agg(F.avg("net").alias("observed"))
+    best = means.groupBy("symbol").agg(F.max("observed").alias("best"))
+    d = resampled.join(means, ["symbol", "variant"]).groupBy("symbol", "draw").agg(F.max(F.col("mean") - F.col("observed")).alias("top"))
+    return d.join(best, "symbol").groupBy("symbol", "best").agg(F.count(F.lit(1)).alias("draws"), F.avg((F.round("top", 12) >= F.round("best", 12)).cast("double")).alias("p"))

@@ -127,3 +127,10 @@ def chronological(rows: DataFrame, shares: tuple[float, float] = (0.6, 0.2), key
     n, i = F.count(F.lit(1)).over(Window.partitionBy(*keys)), F.row_number().over(along(keys)) - 1
     first, second = F.floor(n * shares[0]), F.floor(n * (shares[0] + shares[1]))
     return rows.withColumn("part", F.when(i < first, "discovery").when(i < second, "validation").otherwise("locked"))
+
+
+def growth(metrics: DataFrame, bars_per_year: float) -> DataFrame:
+    """(symbol, cagr, calmar) from metrics(): yearly growth, null where all was lost, and its ratio to the deepest drawdown."""
+    total = 1 + c("total_return")
+    cagr = F.when(total > 0, F.pow(total, bars_per_year / c("n_bars")) - 1)
+    return metrics.select("symbol", cagr.alias("cagr"), (cagr / F.nullif(c("max_drawdown"), F.lit(0.0))).alias("calmar"))

@@ -167,3 +167,32 @@ def timed_rule(bars: DataFrame, direction: Column, hold: int, out: str = "positi
     last = F.last("_event", True).over(so_far())
     d = d.withColumn("_last", last)
     return d.withColumn(out, F.when(c("_n") - c("_last._n") < hold, c("_last._side")).otherwise(0)).drop("_n", "_side", "_event", "_last")
+
+
+def hysteresis(bars: DataFrame, x: str, band: float, long_only: bool = False, out: str = "position") -> DataFrame:
+    """1 once x is above the band, -1 (0 if long_only) once it is below the negative band, else what was held; 0 before the first. A carried value, no fold."""
+    event = F.when(c(x) > band, 1).when(c(x) < -band, 0 if long_only else -1)
+    return bars.withColumn("_event", event).withColumn(out, F.coalesce(F.last("_event", True).over(so_far()), F.lit(0))).drop("_event")
+
+
+def sampled(bars: DataFrame, x: str, every: int, out: str = "position") -> DataFrame:
+    """x as of the last bar 0, every, 2 * every, ... before this one, held one bar later; null is 0."""
+    d = bars.withColumn("_n", F.row_number().over(along()) - 1)
+    d = d.withColumn("_kept", F.max_by(F.struct(c(x).alias("v")), F.when(c("_n") % every == 0, c("_n"))).over(so_far()))
+    return d.withColumn(out, F.coalesce(F.lag(c("_kept.v")).over(along()), F.lit(0))).drop("_n", "_kept")
+
+
+def short_rsi_rule(bars: DataFrame, x: str, low: float, trend: int, leave: int, most: int, out: str = "position") -> DataFrame:
+    """Long from flat when x is under `low` over the long mean, short when it is over 100 - low under it; left when the close crosses the mean of `leave` bars, or after `most` bars."""
+    slow, fast = sma("close", trend), sma("close", leave)
+    code = F.when((c(x) < low) & (c("close") > slow), 1).when((c(x) > 100 - low) & (c("close") < slow), 2).otherwise(0) + F.when(c("close") > fast, 4).when(c("close") < fast, 8).otherwise(0)
+    coded = bars.withColumn("code", F.coalesce(code, F.lit(0)))
+
+    def step(state: int, row) -> int:
+        # the state counts bars held, with the side as its sign
+        if state == 0:
+            return 1 if row.code & 1 else -1 if row.code & 2 else 0
+        done = abs(state) >= most or row.code & (4 if state > 0 else 8)
+        return 0 if done else state + (1 if state > 0 else -1)
+
+    return fold(coded, out, step).drop("code").withColumn(out, sign(c(out)))

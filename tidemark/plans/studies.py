@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..frames import along
-from ..functions import selection
-from ..functions.indicators import c
-from ..operators import assays, backtest, engine, ledger, panels, signals
+from ..functions import clock, selection
+from ..functions.indicators import c, rsi, simple_return, sma
+from ..operators import assays, backtest, engine, evidence, ledger, panels, signals
 from ..operators.resample import quote_bars
 from ..sources import market
-from .market import FIFO, NUMBERED, RUN, YEAR, W, bars6, product, query, six, sma_run
+from .market import FIFO, NUMBERED, ORACLE, QUERIES, RUN, YEAR, W, bars6, query, six, sma_run
 
 BY_ROW = "WINDOW w AS (PARTITION BY symbol ORDER BY row)"
 
@@ -197,3 +197,83 @@ def fixed_unit_trades(spark, d):
     b = bars6(spark, d)
     spread = F.avg(c("high") - c("low")).over(along().rowsBetween(-13, 0))
     return engine.trades(engine.run_plan(b.withColumns({"target": signals.sma_cross(5, 20), "size": F.lit(0.5), "stop_dist": 2 * spread}), 2.0, 0.05))
+
+
+@query(NUMBERED + """, p AS (SELECT symbol, row, mid_c - 500 AS lim, list({b: bid_c, a: ask_c}) OVER (PARTITION BY symbol ORDER BY row ROWS BETWEEN 1 FOLLOWING AND 32 FOLLOWING) AS path FROM num),
+f AS (SELECT *, coalesce(list_position(list_transform(path, lambda q: q.a <= lim), true), 0) AS fill FROM p WHERE row % 5 = 0),
+r AS (SELECT *, CASE WHEN fill > 0 THEN path[fill + 1:] END AS rest FROM f), l AS (SELECT *, coalesce(list_position(list_transform(rest, lambda q: q.b <= lim - 1000 OR q.b >= lim + 1000), true), 0) AS x FROM r),
+o AS (SELECT *, CASE WHEN x > 0 THEN rest[x].b END AS bid, CASE WHEN fill > 0 THEN path[len(path)].b END AS last FROM l)
+SELECT symbol, row, CASE WHEN fill > 0 THEN fill END AS fill_rows, CASE WHEN x > 0 THEN x END AS exit_rows, CASE WHEN fill = 0 THEN 'unfilled' WHEN bid <= lim - 1000 THEN 'stop' WHEN bid IS NOT NULL THEN 'target' ELSE 'open' END AS result,
+CASE WHEN fill = 0 THEN 0 WHEN bid <= lim - 1000 THEN bid - lim WHEN bid IS NOT NULL THEN 1000 ELSE last - lim END AS pnl_c FROM o""")
+def limit_orders(spark, d):
+    return evidence.limit_replay(market.ticks(spark, d), 500, 1000, 1000, 32, 5)
+
+
+GATES = {"return": ("total_return", ">=", 0.0), "sharpe": ("sharpe", ">=", 0.5), "drawdown": ("max_drawdown", "<=", 0.2), "trades": ("trades", ">=", 20)}
+METRICS = "(" + ORACLE["flagship_sma_backtest"] + ")"
+
+
+def on_metrics(sql: str):
+    """A query whose DuckDB twin reads the rounded metrics of the moving-average rule as m."""
+
+    def add(f):
+        query("x")(f)
+        ORACLE[f.__name__] = sql.replace("FROM m", f"FROM {METRICS} AS m")
+        return f
+
+    return add
+
+
+@on_metrics(" UNION ALL ".join(f"SELECT symbol, '{g}' AS gate, {col}::DOUBLE AS value, {b}::DOUBLE AS bound, coalesce({col} {how} {b}, false) AS passed FROM m" for g, (col, how, b) in GATES.items()))
+def gate_table(spark, d):
+    return evidence.gates(QUERIES["flagship_sma_backtest"](spark, d), GATES)
+
+
+@on_metrics(f"SELECT symbol, {six(f'CASE WHEN 1 + total_return > 0 THEN pow(1 + total_return, {YEAR} / n_bars) - 1 END')} AS cagr, {six(f'CASE WHEN 1 + total_return > 0 THEN (pow(1 + total_return, {YEAR} / n_bars) - 1) / nullif(max_drawdown, 0) END')} AS calmar FROM m")
+def growth_ratios(spark, d):
+    return backtest.growth(QUERIES["flagship_sma_backtest"](spark, d), YEAR)
+
+
+@query(NETS + f""", n AS (SELECT symbol, variant, net, row_number() OVER (PARTITION BY symbol, variant ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol, variant) AS n FROM nets WHERE net IS NOT NULL), z AS (SELECT DISTINCT symbol, n FROM n),
+dr AS (SELECT symbol, n, unnest(range(0, 50)) AS draw FROM z), bl AS (SELECT *, unnest(range(0, ceil(n / 5)::BIGINT)) AS b FROM dr),
+st AS (SELECT symbol, n, draw, unnest(range(0, 5)) AS o, (('0x' || substr(md5('3:' || draw || ':' || b), 1, 12))::BIGINT % n) AS i FROM bl),
+mm AS (SELECT st.symbol, n.variant, st.draw, avg(n.net) AS mean FROM st JOIN n ON n.symbol = st.symbol AND n.i = (st.i + st.o) % st.n GROUP BY ALL), ob AS (SELECT symbol, variant, avg(net) AS observed FROM nets GROUP BY ALL),
+tp AS (SELECT mm.symbol, draw, max(mean - observed) AS top FROM mm JOIN ob ON mm.symbol = ob.symbol AND mm.variant = ob.variant GROUP BY ALL), be AS (SELECT symbol, max(observed) AS best FROM ob GROUP BY symbol)
+SELECT tp.symbol, {six("any_value(best)")} AS best, count(*) AS draws, {six("avg((round(top, 12) >= round(best, 12))::INT)")} AS p FROM tp JOIN be ON tp.symbol = be.symbol GROUP BY tp.symbol""")
+def reality_check(spark, d):
+    return selection.reality_check(cross_nets(spark, d), 50, 5, 3)
+
+
+@query(f""", x AS (SELECT symbol, ts, (close / (CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN avg(close) OVER (w ROWS 19 PRECEDING) END) - 1) AS x, row_number() OVER w - 1 AS n FROM bars {W}),
+y AS (SELECT symbol, ts, coalesce(last_value(CASE WHEN x > 0.1 THEN 1 WHEN x < -0.1 THEN -1 END IGNORE NULLS) OVER w, 0) AS held, sign(x)::INT AS s, n FROM x {W}),
+z AS (SELECT *, max(CASE WHEN n % 7 = 0 THEN n END) OVER w AS k FROM y {W}), q AS (SELECT z.symbol, z.ts, z.held, v.s AS kept FROM z LEFT JOIN y v ON v.symbol = z.symbol AND v.n = z.k)
+SELECT symbol, ts, held, coalesce(lag(kept) OVER w, 0) AS cadence FROM q {W}""")
+def held_positions(spark, d):
+    b = bars6(spark, d).withColumn("x", c("close") / sma("close", 20) - 1)
+    b = signals.hysteresis(b, "x", 0.1, out="held").withColumn("s", signals.sign(c("x")))
+    return signals.sampled(b, "s", 7, "cadence").select("symbol", "ts", "held", "cadence")
+
+
+@query(f""", r AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS r FROM bars {W}), k AS (SELECT symbol, ts, r, unnest([-43200, -21600, 0, 21600, 43200])::INT AS shift_s FROM r WHERE r IS NOT NULL),
+m AS (SELECT k.symbol, shift_s, count(*) AS n, round(corr(k.r, v.r), 9) AS corr FROM k JOIN r v ON v.symbol = 'view' AND v.r IS NOT NULL AND v.ts = k.ts + to_seconds(k.shift_s) GROUP BY ALL)
+SELECT symbol, arg_max(shift_s, (corr, -shift_s)) AS shift_s, arg_max(n, (corr, -shift_s)) AS n, {six("arg_max(corr, (corr, -shift_s))")} AS corr FROM m WHERE n >= 20 AND corr IS NOT NULL GROUP BY symbol""")
+def clock_shift(spark, d):
+    r = bars6(spark, d).select("symbol", "ts", simple_return().alias("r"))
+    return clock.clock_fit(r.where("symbol = 'view'"), r, [-43200, -21600, 0, 21600, 43200], 20)
+
+
+@query(f""", k AS (SELECT symbol, ts, sign(close - open)::INT AS label FROM bars), i AS (SELECT *, lag(label) OVER w AS b FROM k {W}) SELECT symbol, b AS from_label, label AS to_label, count(*) AS n FROM i WHERE b IS NOT NULL AND b <> label GROUP BY ALL""")
+def label_changes(spark, d):
+    return evidence.changes(bars6(spark, d), signals.sign(c("close") - c("open")))
+
+
+@query()
+def matched_intents(spark, d):
+    """Odd ticks as intents, even ones as fills, within ten minutes."""
+    t = market.ticks(spark, d).select("symbol", "ts", "seq")
+    return evidence.nearest_match(t.where("seq % 2 = 1"), t.where("seq % 2 = 0"), 600)
+
+
+@query()
+def short_rsi_positions(spark, d):
+    return signals.short_rsi_rule(rsi(bars6(spark, d), 2, "rsi2", 100.0), "rsi2", 15, 20, 5, 5).select("symbol", "ts", "position")
