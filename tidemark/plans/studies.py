@@ -95,7 +95,7 @@ for _name in ASSAYS:
 @query(""", d AS (SELECT *, ts::DATE AS day, hour(ts) AS h FROM quotes), r AS (SELECT symbol, day, max(high_ask) AS top, min(low_bid) AS bottom FROM d WHERE h = 8 GROUP BY ALL),
 b AS (SELECT symbol, day, ts, CASE WHEN high_ask > top AND low_bid < bottom THEN 0 WHEN high_ask > top THEN 1 WHEN low_bid < bottom THEN -1 END AS direction FROM d JOIN r USING (symbol, day) WHERE h BETWEEN 9 AND 14),
 f AS (SELECT symbol, day, min(ts) AS ts, arg_min(direction, ts) AS direction FROM b WHERE direction IS NOT NULL GROUP BY ALL) SELECT * FROM f WHERE direction <> 0""")
-def opening_range_breaks(spark, d):
+def breaks_of_opening_range(spark, d):
     return assays.opening_range(quote_bars(market.ticks(spark, d)), 8, 6)
 
 
