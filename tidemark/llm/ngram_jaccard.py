@@ -58,12 +58,22 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many of each row's hashes fall into each of BUCKETS parts. The sum of smaller counts of two rows is no less than their overlap."""
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """How many of each row's hashes fall into each of BUCKETS parts: bytes, or 32-bit numbers in a row that has more than 255 in some part. The sum of smaller counts of two rows is no less than their overlap."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     counts = np.bincount(row * BUCKETS + (mix(hashes) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=len(sizes) * BUCKETS).reshape(-1, BUCKETS)
-    counts[counts.max(1, initial=0) > 255] = 255  # too many to count in a byte: bounds nothing
-    return counts.astype(np.uint8)
+    wide = counts.max(1, initial=0) > 255
+    if not wide.any():
+        return binaries(counts.astype(np.uint8).ravel(), np.full(len(sizes), BUCKETS))
+    parts = [x.astype(np.uint32 if w else np.uint8).view(np.uint8) for x, w in zip(counts, wide, strict=True)]
+    return binaries(np.concatenate(parts), np.where(wide, 4 * BUCKETS, BUCKETS))
+
+
+def counts_of(sketch: pd.Series) -> np.ndarray:
+    """A row of BUCKETS counts for each sketch; bytes where all are bytes."""
+    if sketch.str.len().max() == BUCKETS:
+        return np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BUCKETS)
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == BUCKETS else np.uint32).astype(np.uint32) for x in sketch])
 
 
 def _describe(n: int):
@@ -83,7 +93,7 @@ def _describe(n: int):
                         pa.array(np.concatenate([sizes, np.full(m, -1)])),
                         pa.array(np.concatenate([c1, grams_[common].view(np.int64)])),
                         pa.array(np.concatenate([c2, times[common]])),
-                        pa.concat_arrays([binaries(sketches(hashes, sizes).ravel(), np.full(k, BUCKETS)), pa.nulls(m, pa.binary())]),
+                        pa.concat_arrays([sketches(hashes, sizes), pa.nulls(m, pa.binary())]),
                     ],
                     names=["k1", "k2", "n", "c1", "c2", "sketch"],
                 )
@@ -130,7 +140,7 @@ def candidates(pdf: pd.DataFrame, a: int, b: int) -> tuple[np.ndarray, np.ndarra
     """Rows (x, y) of a block (sorted by n) that sizes and sketches allow a link, of different components: x of part i, y of part j."""
     own, n, component = (pdf[x].to_numpy() for x in ("own", "n", "component"))
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BUCKETS)
+    sketch = counts_of(pdf["sketch"])
     rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
     found_x, found_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(rows), 32):
