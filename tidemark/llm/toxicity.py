@@ -62,8 +62,25 @@ def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int,
     return [(f, e, high - low) for low, high, f, e in found]
 
 
+def spaced(of: np.ndarray, word: np.ndarray, at: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which hits (document, word, place), in order of place, count: a document's first one of a word, and each that is apart[word] places or more
+    after the last that counted. The drift has then spent that one's score, so repeating one word is no better than having it once."""
+    counts = np.ones(len(at), bool)
+    again = np.lexsort((at, word, of))
+    same = (of[again[1:]] == of[again[:-1]]) & (word[again[1:]] == word[again[:-1]])
+    if not same.any():
+        return counts
+    last = 0
+    for i, repeated in zip(again.tolist(), [False, *same.tolist()], strict=True):
+        if repeated and at[i] - last < apart[word[i]]:
+            counts[i] = False
+        else:
+            last = at[i]
+    return counts
+
+
 def scan(texts: pa.Array, words: np.ndarray, scores: np.ndarray) -> Iterator[tuple[int, np.ndarray, dict[int, list[tuple[int, int, float]]]]]:
-    """(first row, words of each text, segments of the texts that have some) of each chunk. A word of the lexicon counts where a text has it first; else mere repetition would be a passage."""
+    """(first row, words of each text, segments of the texts that have some) of each chunk. Words of the lexicon count wherever they stand, but for close repeats (see spaced)."""
     for at, _, data, offsets in text_chunks(texts):
         hashes, _, first = word_hashes(data, offsets, lower=True, letters=True)
         sizes = np.diff(first)
@@ -72,8 +89,7 @@ def scan(texts: pa.Array, words: np.ndarray, scores: np.ndarray) -> Iterator[tup
             place = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
             hit = np.flatnonzero(words[place] == hashes)
             of = owners(first)[hit]
-            _, once = np.unique(of * len(words) + place[hit], return_index=True)
-            hit = np.sort(hit[once])
+            hit = hit[spaced(of, place[hit], hit, scores / -DRIFT + 1)]
             of = owners(first)[hit]
             edges = np.flatnonzero(np.diff(of, prepend=-1, append=len(sizes)))
             local, value = hit - first[of], scores[place[hit]]
