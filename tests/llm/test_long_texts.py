@@ -30,5 +30,5 @@ def test_sketches_bound_every_overlap():
     for a in range(4):
         for b in range(a):
             assert np.minimum(counts[a], counts[b]).sum() >= len(np.intersect1d(grams[a], grams[b]))
-    block = pd.DataFrame({"own": 0, "i": 0, "j": 0, "n": sizes, "component": range(4), "sketch": sketch})
+    block = pd.DataFrame({"own": 0, "i": 0, "j": 0, "n": sizes, "c": range(4), "component": range(4), "sketch": sketch})
     assert set(zip(*map(np.ndarray.tolist, ngram_jaccard.candidates(block, 85, 100)), strict=True)) == {(0, 1), (2, 3)}

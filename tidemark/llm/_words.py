@@ -37,10 +37,11 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(21, (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
+        have = np.full(max(n, CHUNK), base, np.uint64)
         have[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if n <= CHUNK:  # longer ones are for one very long text
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -102,6 +103,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def released() -> None:
+    """Gives Arrow's free memory back at the end of a task, for Python workers live on."""
+    pa.default_memory_pool().release_unused()
+
+
 def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Binary array of the items' bytes; lengths counts items of data."""
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64) * data.itemsize

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: blocks of the sparse product of the document-by-n-gram incidence with its transpose, under size-derived bounds."""
+"""N-gram Jaccard join: the sparse product of the document-by-n-gram incidence with its transpose, in blocks and under size-derived bounds."""
 
 from __future__ import annotations
 
@@ -7,17 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import components, document_key, read, written
-from ._words import binaries, grams, mix, owners, ragged, text_chunks, word_hashes
+from ._words import binaries, grams, mix, owners, ragged, released, text_chunks, word_hashes
 
 #: Columns that come first in `common` go last in every row's order. Only speed depends on their choice, so a bounded number will do.
 MOST_COMMON = 1 << 19
-#: Documents of a chunk that must share an n-gram before it is reported as common.
-COMMON_HERE = 4
-#: Parts of the sketch that bounds an overlap, and classes of a block of the product.
+#: N-grams among which repeats are counted at once, to find common ones.
+COUNTED = 1 << 21
+#: Documents of a column up to which all its terms of the product are accumulated; larger ones are resolved around representatives, then in blocks.
+SMALL = 32
+#: Parts of the sketch that bounds an overlap, and classes of a block of a large column.
 BUCKETS, BLOCK = 256, 1500
 #: N-grams of a part of a block, and those whose overlaps are counted at once.
 BLOCK_GRAMS = 1 << 21
@@ -35,38 +37,54 @@ def incidence(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     hashes = grams(words, n)
     same = of[: len(hashes)] == of[n - 1 : n - 1 + len(hashes)]
     hashes, row = hashes[same], of[: len(hashes)][same]
-    for d in np.flatnonzero((sizes > 0) & (sizes < n)):
-        hashes = np.append(hashes, grams(words[first[d] : first[d + 1]], int(sizes[d])) + np.uint64(sizes[d]))
-        row = np.append(row, d)
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
+    short = np.flatnonzero((sizes > 0) & (sizes < n))
+    if len(short):
+        whole = [grams(words[first[d] : first[d + 1]], int(sizes[d])) + np.uint64(sizes[d]) for d in short]
+        hashes, row = np.concatenate([hashes, *whole]), np.concatenate([row, short])
+        order = np.argsort(row, kind="stable")
+        hashes, row = hashes[order], row[order]
+    counts = np.bincount(row, minlength=len(sizes))
+    if len(hashes) < 64 * len(sizes):
+        hashes = hashes[np.lexsort((hashes, row))]
+    else:
+        for part in np.split(hashes, np.cumsum(counts)[:-1]):  # views, sorted in place
+            part.sort()
     new = np.ones(len(row), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
     return hashes[new], np.bincount(row[new], minlength=len(sizes))
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each row's set."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    """Two 64-bit hashes of each row's set: documents of the same class share both."""
     out = []
     for salt in (0x1234567, 0x9ABCDEF1):
         total = np.zeros(len(sizes), np.uint64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0]
-        if len(row):
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        if len(hashes):
             total[sizes > 0] = np.add.reduceat(mix(hashes ^ np.uint64(salt)), starts)
         out.append(mix(total + sizes.astype(np.uint64)).view(np.int64))
     return out[0], out[1]
 
 
+def firsts(c: np.ndarray, d: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first row of each class that has n-grams."""
+    full = np.flatnonzero(sizes > 0)
+    return np.sort(full[np.unique(np.stack([c[full], d[full]], 1), axis=0, return_index=True)[1]])
+
+
 def sketches(hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """How many of each row's hashes fall into each of BUCKETS parts: bytes, or 32-bit numbers in a row that has more than 255 in some part. The sum of smaller counts of two rows is no less than their overlap."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    counts = np.bincount(row * BUCKETS + (mix(hashes) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=len(sizes) * BUCKETS).reshape(-1, BUCKETS)
-    wide = counts.max(1, initial=0) > 255
-    if not wide.any():
-        return binaries(counts.astype(np.uint8).ravel(), np.full(len(sizes), BUCKETS))
-    parts = [x.astype(np.uint32 if w else np.uint8).view(np.uint8) for x, w in zip(counts, wide, strict=True)]
-    return binaries(np.concatenate(parts), np.where(wide, 4 * BUCKETS, BUCKETS))
+    parts, lengths = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    ends = np.cumsum(sizes)
+    for at in range(0, len(sizes), 4096):
+        of = sizes[at : at + 4096]
+        inside = hashes[ends[at] - sizes[at] : ends[min(at + 4096, len(sizes)) - 1]]
+        row = np.repeat(np.arange(len(of)), of)
+        counts = np.bincount(row * BUCKETS + (mix(inside) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=len(of) * BUCKETS).reshape(-1, BUCKETS)
+        wide = counts.max(1, initial=0) > 255
+        parts += [x.astype(np.uint32).view(np.uint8) if w else x.astype(np.uint8) for x, w in zip(counts, wide, strict=True)] if wide.any() else [counts.astype(np.uint8).ravel()]
+        lengths.append(np.where(wide, 4 * BUCKETS, BUCKETS))
+    return binaries(np.concatenate(parts), np.concatenate(lengths))
 
 
 def counts_of(sketch: pd.Series) -> np.ndarray:
@@ -76,62 +94,72 @@ def counts_of(sketch: pd.Series) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.uint8 if len(x) == BUCKETS else np.uint32).astype(np.uint32) for x in sketch])
 
 
+def prefix_length(sizes: np.ndarray, a: int, b: int) -> np.ndarray:
+    """n - ceil(a n / b) + 1: linked sets share one of their first so many n-grams in a common order."""
+    return np.where(sizes > 0, sizes + (-a * sizes // b) + 1, 0)
+
+
 def _describe(n: int):
-    """Rows (k1, k2, n, c1, c2, sketch) of documents, and (n = -1, c1: gram, c2: documents) of the n-grams that are common in a chunk."""
+    """Rows (k1, k2, n, c, d) of documents, and (n = -1, c: gram, d: classes) of n-grams that several classes of a stretch of documents share."""
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams_, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times > 1
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(none), -1)), pa.array(grams_[often].view(np.int64)), pa.array(times[often])], names=["k1", "k2", "n", "c", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for at, end, data, offsets in text_chunks(batch.column(2)):
                 hashes, sizes = incidence(data, offsets, n)
-                c1, c2 = signatures(hashes, sizes)
-                grams_, times = np.unique(hashes, return_counts=True)
-                common = times >= COMMON_HERE
-                k, m = end - at, int(common.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.concat_arrays([batch.column(i).slice(at, k), pa.nulls(m, pa.int64())]) for i in (0, 1)),
-                        pa.array(np.concatenate([sizes, np.full(m, -1)])),
-                        pa.array(np.concatenate([c1, grams_[common].view(np.int64)])),
-                        pa.array(np.concatenate([c2, times[common]])),
-                        pa.concat_arrays([sketches(hashes, sizes), pa.nulls(m, pa.binary())]),
-                    ],
-                    names=["k1", "k2", "n", "c1", "c2", "sketch"],
-                )
+                c, d = signatures(hashes, sizes)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, end - at) for i in (0, 1)), pa.array(sizes.astype(np.int64)), pa.array(c), pa.array(d)], names=["k1", "k2", "n", "c", "d"])
+                first = firsts(c, d, sizes)
+                held.append(hashes[ragged((np.cumsum(sizes) - sizes)[first], sizes[first])])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield repeated(held)
+                    held, size = [], 0
+        if held:
+            yield repeated(held)
+        released()
 
     return run
 
 
 def _prefixes(n: int, a: int, b: int, common: np.ndarray):
-    """Rows (gram, c1, n): the first grams of each document's order, of which two linked documents share one at least."""
+    """Rows (gram, c, d, n): the first grams of each class's order, of which two linked ones share one at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 hashes, sizes = incidence(data, offsets, n)
-                c1, _ = signatures(hashes, sizes)
+                c, d = signatures(hashes, sizes)
+                first = firsts(c, d, sizes)
+                hashes, sizes, c, d = hashes[ragged((np.cumsum(sizes) - sizes)[first], sizes[first])], sizes[first], c[first], d[first]
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 at = np.minimum(np.searchsorted(common[:, 0], hashes), max(0, len(common) - 1))
                 often = np.where(common[at, 0] == hashes, common[at, 1], 0) if len(common) else np.zeros(len(hashes), np.uint64)
-                order = np.lexsort((hashes, often, row))
-                take = np.where(sizes > 0, sizes + (-a * sizes // b) + 1, 0)
-                starts = np.cumsum(sizes) - sizes
-                pick = order[ragged(starts, take)]
-                of = np.repeat(np.arange(len(sizes)), take)
-                pairs = np.unique(np.stack([hashes[pick].view(np.int64), c1[of], sizes[of]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(3)], names=["gram", "c", "n"])
+                order = np.lexsort((often, row))  # stable, so equal counts stay in the order of hashes
+                take = prefix_length(sizes, a, b)
+                pick = order[ragged(np.cumsum(sizes) - sizes, take)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64)), *(pa.array(np.repeat(x, take)) for x in (c, d, sizes.astype(np.int64)))], names=["gram", "c", "d", "n"])
+        released()
 
     return run
 
 
 def _sets(n: int):
-    """Rows (k1, c, n, grams) of documents (k1, text), with the sorted hashes as bytes."""
+    """Rows (k1, c, d, n, grams, sketch) of documents (k1, text), with the sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in text_chunks(batch.column(1)):
                 hashes, sizes = incidence(data, offsets, n)
-                c1, _ = signatures(hashes, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(c1), pa.array(sizes.astype(np.int64)), binaries(hashes, sizes)], names=["k1", "c", "n", "grams"])
+                c, d = signatures(hashes, sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(c), pa.array(d), pa.array(sizes.astype(np.int64)), binaries(hashes, sizes), sketches(hashes, sizes)], names=["k1", "c", "d", "n", "grams", "sketch"])
+        released()
 
     return run
 
@@ -148,30 +176,33 @@ def candidates(pdf: pd.DataFrame, a: int, b: int) -> tuple[np.ndarray, np.ndarra
         y = columns[(n[columns] * b >= n[x[0]] * a) & (n[columns] * a <= n[x[-1]] * b)]
         if not len(y):
             continue
-        most = np.minimum(sketch[x][:, None], sketch[y][None]).sum(2, dtype=np.int64)
-        fits = (most * (a + b) >= a * (n[x][:, None] + n[y][None])) & (component[x][:, None] != component[y][None]) & ((x[:, None] < y[None]) | (i != j))
+        fits = (component[x][:, None] != component[y][None]) & ((x[:, None] < y[None]) | (i != j))
         p, q = np.nonzero(fits)
-        found_x.append(x[p])
-        found_y.append(y[q])
+        for step in range(0, len(p), 1 << 15):
+            u, v = x[p[step : step + (1 << 15)]], y[q[step : step + (1 << 15)]]
+            most = np.minimum(sketch[u], sketch[v]).sum(1, dtype=np.int64)
+            fit = most * (a + b) >= a * (n[u] + n[v])
+            found_x.append(u[fit])
+            found_y.append(v[fit])
     return np.concatenate(found_x), np.concatenate(found_y)
 
 
-def _alive(a: int, b: int):
-    """Of a block of the product: the classes that have a partner within the bounds."""
+def _partnered(a: int, b: int):
+    """Of a block of a large column: the classes that have a partner within the bounds."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "c"])
-        kept = np.unique(pdf["c"].to_numpy()[np.concatenate(candidates(pdf, a, b))])
-        return pd.DataFrame({"hub": pdf["hub"].iloc[0], "c": kept})
+        pdf = pdf.sort_values(["n", "c", "d"])
+        kept = np.unique(np.concatenate(candidates(pdf, a, b)))
+        return pdf.iloc[kept][["hub", "c", "d"]]
 
     return block
 
 
 def _product(a: int, b: int):
-    """Of a block of the product: (a, b) nodes of links that join its components, fewer than it has rows. A row's overlaps are counted at once, for the partners within the bounds that are not joined to it yet."""
+    """Of a block of a large column: (a, b) nodes of links that join its components, fewer than it has rows. A row's overlaps are counted at once, for the partners within the bounds that are not joined to it yet."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "c"])
+        pdf = pdf.sort_values(["n", "c", "d"])
         x, y = candidates(pdf, a, b)
         n, node = pdf["n"].to_numpy(), pdf["node"].to_numpy()
         sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
@@ -198,84 +229,117 @@ def _product(a: int, b: int):
 
 
 def _overlaps(a: int, b: int):
-    """Keeps the pairs whose sets overlap enough: a row of the product, one block of pairs at a time."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            linked = np.zeros(len(part), bool)
-            for i, (x, y) in enumerate(zip(part["grams_a"], part["grams_b"], strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
+    """Rows (node_x, node_y, grams_x, grams_y) to those whose sets overlap enough, as (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                common = int(hit.sum())
                 linked[i] = b * common >= a * (len(x) + len(y) - common)
-            yield part.loc[linked, ["a", "b"]]
+            kept = pa.array(linked)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+        released()
 
     return run
 
 
 def blocks(members: DataFrame):
-    """members (hub, c, n, ...) dealt out to pairs (i, j) of parts of about BLOCK rows and BLOCK_GRAMS n-grams at most: own is a row's part. A large group becomes many small tasks."""
+    """members (hub, c, d, n, ...) dealt out to pairs (i, j) of parts of about BLOCK rows and BLOCK_GRAMS n-grams at most: own is a row's part. A large group becomes many small tasks."""
     parts = members.groupBy("hub").agg((1 + F.floor(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS))).cast("int").alias("parts"))
-    own = members.join(parts, "hub").withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = members.join(parts, "hub").withColumn("own", F.pmod(F.xxhash64("c", "d"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rest = [c for c in members.columns if c != "hub"]
     return own.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest).groupBy("hub", "i", "j")
 
 
+def sizes_fit(a: int, b: int, x: str = "n", y: str = "n_y") -> Column:
+    """Whether sets of n and n_y elements can have a similarity of a / b."""
+    return F.least(x, y) * b >= F.greatest(x, y) * a
+
+
+def small_columns(shared: DataFrame, a: int, b: int) -> DataFrame:
+    """(c, d, c_y, d_y): pairs of classes left by the product of the columns with at most SMALL classes, shared (gram, c, d, n).
+
+    A pair's terms are added up to its overlap inside both prefixes. Beyond the prefix that ends first in the common order at most n minus the prefix's
+    length n-grams are shared, so a pair whose sum doesn't reach the rest of the needed a (n_x + n_y) / (a + b) can't link. Pairs that share a larger
+    column too may be discarded here, for that column decides them.
+    """
+    other = shared.select("gram", *[F.col(x).alias(f"{x}_y") for x in ("c", "d", "n")])
+    terms = shared.join(other, "gram").where((F.struct("c", "d") < F.struct("c_y", "d_y")) & sizes_fit(a, b))
+    total = terms.groupBy("c", "d", "n", "c_y", "d_y", "n_y").agg(F.count(F.lit(1)).alias("overlap"))
+    beyond = F.floor((F.greatest("n", "n_y") * a + b - 1) / b) - 1
+    return total.where((F.col("overlap") + beyond) * (a + b) >= (F.col("n") + F.col("n_y")) * a).select("c", "d", "c_y", "d_y")
+
+
+def large_columns(shared: DataFrame, a: int, b: int) -> DataFrame:
+    """(c, d, c_y, d_y): the classes of each larger column with four representatives of it (y), linear in the column."""
+    me = F.struct("c", "d", "n")
+    hashed = [F.min(F.struct(F.xxhash64(F.lit(k), "c", "d").alias("h"), me.alias("me")))["me"] for k in (1, 2)]
+    chosen = shared.groupBy("gram").agg(F.array(F.min(me), F.max(me), *hashed).alias("chosen")).select("gram", F.explode("chosen").alias("y"))
+    pairs = shared.join(chosen.select("gram", *[F.col(f"y.{x}").alias(f"{x}_y") for x in ("c", "d", "n")]), "gram")
+    return pairs.where(((F.col("c") != F.col("c_y")) | (F.col("d") != F.col("d_y"))) & sizes_fit(a, b)).select("c", "d", "c_y", "d_y")
+
+
 def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents (k1, n, c1, c2): id and class of n-gram set, components (c1, c2, component) of classes, named by their smallest ids).
+    """(documents (k1, k2, n, c, d): key and class of n-gram set, components (c, d, component) of classes, named by their smallest ids).
 
-    Prefix columns of the incidence matrix give the candidates: a document of n grams keeps its n - ceil(a n / b) + 1 rarest, and linked documents
-    share one of them. Copies are one class. Columns with the same smallest class, their hub, are one block of the product; sizes and sketches
-    bound every overlap in it, and only classes with a partner within the bounds are fetched as sets. Each column is first reduced to stars around
-    its smallest and its largest class, linear in the column. Then the blocks get the sets of the classes that have partners in other components, and overlaps are
-    counted inside each block: no pair is left undecided that could join two components, and a block gives fewer rows than it has classes.
+    Documents with the same set are one class, a row of the incidence matrix. A row of n grams keeps its n - ceil(a n / b) + 1 rarest columns, of which
+    linked rows share one. Small columns are multiplied out and their terms accumulated (small_columns); what the bounds leave is decided by whole
+    sets. Large columns are first reduced to links with a few representatives. Where one then still holds several components, the product goes
+    over blocks of its rows under size and sketch bounds: a block's overlaps are counted in place, it gives fewer links than it has rows, and no
+    pair that could join two components is left undecided.
     """
     k2 = document_key(id_col, text_col)[1]
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), k2, F.col(text_col).alias("text"))
-    described = written(source.mapInArrow(_describe(n), "k1 long, k2 long, n long, c1 long, c2 long, sketch binary"), "ngram-rows")
+    described = written(source.mapInArrow(_describe(n), "k1 long, k2 long, n long, c long, d long"), "ngram-rows")
     rows = described.where("n >= 0")
-    top = described.where("n < 0").groupBy("c1").agg(F.sum("c2").alias("docs")).orderBy(F.desc("docs"), "c1").limit(MOST_COMMON).toPandas()
-    common = np.stack([top["c1"].to_numpy(np.int64).view(np.uint64), top["docs"].to_numpy(np.int64).view(np.uint64)], 1) if len(top) else np.zeros((0, 2), np.uint64)
+    top = described.where("n < 0").groupBy("c").agg(F.sum("d").alias("docs")).orderBy(F.desc("docs"), "c").limit(MOST_COMMON).toPandas()
+    common = np.stack([top["c"].to_numpy(np.int64).view(np.uint64), top["docs"].to_numpy(np.int64).view(np.uint64)], 1) if len(top) else np.zeros((0, 2), np.uint64)
     common = common[np.argsort(common[:, 0])]
-    first = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("k1", "k2")).alias("f"))
-    node = F.when(F.col("k1") < 2**63 - 1, F.col("k1")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned("c1", 2))
-    classes = first.select("c1", "c2", "f.*").withColumn("node", node)
-    postings = written(source.select("text").mapInArrow(_prefixes(n, a, b, common), "gram long, c long, n long"), "ngram-prefixes")
-
-    columns = postings.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-    shared = written(postings.join(columns, "gram").select("c", "low", "high").distinct(), "ngram-columns")
-    sketch = rows.where("n > 0").groupBy("c1").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumnRenamed("c1", "c")
-    members = shared.select(F.col("low").alias("hub"), "c").distinct().join(sketch, "c")
-    alive = blocks(members.withColumn("component", F.col("c"))).applyInPandas(_alive(a, b), "hub long, c long").select("c").distinct()
-    alive = written(alive, "ngram-alive")
-    wanted = classes.join(alive.withColumnRenamed("c", "c1"), "c1").select("k1", "k2")
+    first = rows.where("n > 0").groupBy("c", "d").agg(F.min(F.struct("k1", "k2")).alias("f"))
+    node = F.when(F.col("k1") < 2**63 - 1, F.col("k1")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned("c", 2))
+    classes = first.select("c", "d", "f.*").withColumn("node", node)
+    postings = written(source.select("text").mapInArrow(_prefixes(n, a, b, common), "gram long, c long, d long, n long"), "ngram-prefixes")
+    several = postings.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("c0 != c1 or d0 != d1").select("gram")
+    shared = written(postings.join(several, "gram").distinct(), "ngram-columns")
+    count = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+    shared = written(shared.join(count, "gram"), "ngram-columns")
+    small, large = shared.where(F.col("rows") <= SMALL).drop("rows"), shared.where(F.col("rows") > SMALL).drop("rows")
+    pairs = written(small_columns(small, a, b).union(large_columns(large, a, b)).distinct(), "ngram-pairs")
+
+    used = pairs.select("c", "d").union(pairs.select("c_y", "d_y")).union(large.select("c", "d")).distinct()
+    wanted = written(classes.join(used, ["c", "d"]).select("k1", "k2"), "ngram-wanted")
     texts = source.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["k1", "k2"], "left_semi")
-    sets = texts.select("k1", "text").mapInArrow(_sets(n), "k1 long, c long, n long, grams binary").withColumn("node", F.when(F.col("k1") < 2**63 - 1, F.col("k1")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned("c", 2)))
-    sets = written(sets.select("c", "n", "node", "grams"), "ngram-sets")
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        """(a, b) nodes of the pairs (a, b) of classes that are linked."""
-        left = sets.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("node").alias("node_a"), F.col("grams").alias("grams_a"))
-        right = sets.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("node").alias("node_b"), F.col("grams").alias("grams_b"))
-        fits = (F.least("n_a", "n_b") * b >= F.greatest("n_a", "n_b") * a) & (F.col("node_a") != F.col("node_b"))
-        full = pairs.join(left, "a").join(right, "b").where(fits)
-        return full.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "grams_a", "grams_b").mapInPandas(_overlaps(a, b), "a long, b long").distinct()
-
-    near = shared.join(alive, "c")
-    star = near.select("c", F.explode(F.array("low", "high")).alias("hub")).where("c != hub").join(alive.withColumnRenamed("c", "hub"), "hub")
-    edges = written(decided(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()), "ngram-edges")
+    sets = texts.select("k1", "text").mapInArrow(_sets(n), "k1 long, c long, d long, n long, grams binary, sketch binary")
+    sets = written(sets.select("c", "d", "n", "sketch", "grams", node.alias("node")), "ngram-sets")
+
+    # a representative's set meets its column's sets where they are, after they moved once
+    left = sets.select("c", "d", F.col("node").alias("node_x"), F.col("grams").alias("grams_x"))
+    right = sets.select(F.col("c").alias("c_y"), F.col("d").alias("d_y"), F.col("node").alias("node_y"), F.col("grams").alias("grams_y"))
+    full = pairs.join(left, ["c", "d"]).join(right, ["c_y", "d_y"]).select("node_x", "node_y", "grams_x", "grams_y")
+    edges = written(full.mapInArrow(_overlaps(a, b), "a long, b long").distinct(), "ngram-edges")
     found = components(edges, "ngram-stars")
-    label = sets.join(found, "node", "left").groupBy("c", "n").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    open_ = near.select(F.col("low").alias("hub"), "c").distinct().join(label, "c")
-    split = open_.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("hub")
-    open_ = written(open_.join(split, "hub").join(sketch.select("c", "sketch"), "c"), "ngram-open")
-    partnered = blocks(open_).applyInPandas(_alive(a, b), "hub long, c long").distinct()
-    whole = sets.groupBy("c").agg(F.min("node").alias("node"), F.min("grams").alias("grams"))
-    more = blocks(open_.join(partnered, ["hub", "c"], "left_semi").join(whole, "c")).applyInPandas(_product(a, b), "a long, b long")
-    more = written(edges.union(more), "ngram-edges")
-    found = components(more, "ngram-links")
-    return rows, classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
+
+    label = sets.join(found, "node", "left").groupBy("c", "d").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    hub = large.groupBy("gram").agg(F.min("c").alias("hub"))
+    member = large.join(hub, "gram").select("hub", "c", "d", "n").distinct().join(label, ["c", "d"])
+    open_ = member.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("hub")
+    whole = sets.groupBy("c", "d").agg(F.min("node").alias("node"), F.first("sketch").alias("sketch"))
+    open_ = written(member.join(open_, "hub").join(whole, ["c", "d"]), "ngram-open")
+    if open_.take(1):
+        some = blocks(open_).applyInPandas(_partnered(a, b), "hub long, c long, d long").distinct()
+        content = sets.groupBy("c", "d").agg(F.first("grams").alias("grams"))
+        more = blocks(open_.join(some, ["hub", "c", "d"], "left_semi").join(content, ["c", "d"])).applyInPandas(_product(a, b), "a long, b long")
+        found = components(written(edges.union(more), "ngram-edges"), "ngram-links")
+    return rows, classes.join(found, "node", "left").select("c", "d", F.coalesce("component", "node").alias("component"))
+
+
+def document_groups(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k1, k2, n, component), a row for each row of docs: its document_key() with a null id last (k1 of 2^63 - 1), the size of its set, and a number that linked rows share (null where the set is empty)."""
+    rows, parts = links(docs, n, *similarity, id_col, text_col)
+    return rows.join(parts.withColumnRenamed("component", "_c"), ["c", "d"], "left").select("k1", "k2", "n", F.when(F.col("n") > 0, F.col("_c")).alias("component"))
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,11 +350,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80
     nothing, so they are their own component. Repeated rows share a component, and so do different texts that are each their class's first under one id. A null id takes part in links; a component of null ids only has
     a null component_id. No rows give no rows. Other columns are not read.
     """
-    rows, parts = links(docs, n, *similarity, id_col, text_col)
-    joined = rows.join(parts, ["c1", "c2"], "left")
     own = F.when(F.col("k1") < 2**63 - 1, F.col("k1"))
     component = F.when(F.col("n") == 0, own).when(F.col("component") < NO_ID, F.col("component"))
-    return joined.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return document_groups(docs, n, similarity, id_col, text_col).select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
