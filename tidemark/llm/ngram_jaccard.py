@@ -14,7 +14,7 @@ from ._common import components, document_key, read, written
 from ._words import binaries, grams, mix, owners, ragged, released, text_chunks, word_hashes
 
 #: Columns that come first in `common` go last in every row's order. Only speed depends on their choice, so a bounded number will do.
-MOST_COMMON = 1 << 19
+MOST_COMMON = 1 << 18
 #: N-grams among which repeats are counted at once, to find common ones.
 COUNTED = 1 << 21
 #: Documents of a column up to which all its terms of the product are accumulated; larger ones are resolved around representatives, then in blocks.
@@ -128,6 +128,13 @@ def _describe(n: int):
     return run
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's two columns of numbers as bytes, for the driver."""
+    for batch in batches:
+        pairs = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)
+        yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], names=["pairs"])
+
+
 def _prefixes(n: int, a: int, b: int, common: np.ndarray):
     """Rows (gram, c, d, n): the first grams of each class's order, of which two linked ones share one at least."""
 
@@ -295,8 +302,8 @@ def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), k2, F.col(text_col).alias("text"))
     described = written(source.mapInArrow(_describe(n), "k1 long, k2 long, n long, c long, d long"), "ngram-rows")
     rows = described.where("n >= 0")
-    top = described.where("n < 0").groupBy("c").agg(F.sum("d").alias("docs")).orderBy(F.desc("docs"), "c").limit(MOST_COMMON).toPandas()
-    common = np.stack([top["c"].to_numpy(np.int64).view(np.uint64), top["docs"].to_numpy(np.int64).view(np.uint64)], 1) if len(top) else np.zeros((0, 2), np.uint64)
+    top = described.where("n < 0").groupBy("c").agg(F.sum("d").alias("docs")).orderBy(F.desc("docs"), "c").limit(MOST_COMMON)
+    common = np.frombuffer(b"".join(bytes(r["pairs"]) for r in top.mapInArrow(_pairs, "pairs binary").collect()), np.uint64).reshape(-1, 2)
     common = common[np.argsort(common[:, 0])]
     first = rows.where("n > 0").groupBy("c", "d").agg(F.min(F.struct("k1", "k2")).alias("f"))
     node = F.when(F.col("k1") < 2**63 - 1, F.col("k1")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned("c", 2))
