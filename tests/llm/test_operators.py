@@ -59,11 +59,11 @@ def test_substring_dedup(docs, empty, hot, monkeypatch):
     words = [WORD.findall(t or "") for _, t in TEXTS]
     seen = Counter(" ".join(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     want = []
-    for (i, _), w in zip(TEXTS, words, strict=True):
+    for (i, t), w in zip(TEXTS, words, strict=True):
         gone = {j for s in range(len(w) - 34) if seen[" ".join(w[s : s + 35])] > 1 for j in range(s, s + 35)}
-        want.append(str((i, len(w), len(gone))))
+        want.append(str((i, t, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone) if gone else None)))
     got = substring_dedup.substring_dedup(docs).collect()
-    assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"])) for r in got) == sorted(want)
+    assert sorted(str((r["doc_id"], r["text"], r["n_words"], r["n_removed"], r["kept_text"])) for r in got) == sorted(want)
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
@@ -101,35 +101,54 @@ def test_code_lengths_are_bounded_and_complete():
     assert lengths.max() <= 6 and lengths[-1] == 0 and math.isclose(sum(2.0 ** -int(x) for x in lengths if x), 1.0)
 
 
-def brute_lines(rows, run=3):
-    """n_removed of each (doc_id, text), ids in order; rows that repeat are one place."""
+def brute_lines(rows, run=3, words=50):
+    """(lines, removed lines, kept text) of each (doc_id, text), ids in order; rows that repeat are one place."""
     seen, out = set(), {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines = [x.strip(" \t\r") for x in (t or "").split("\n")]
-        lines = [x for x in lines if x]
+        raw = (t or "").split("\n")
+        full = [p for p, x in enumerate(raw) if x.strip(" \t\r")]
+        lines = [raw[p].strip(" \t\r") for p in full]
         gone = set()
-        for s in range(len(lines) - run + 1):
-            key = tuple(lines[s : s + run])
-            if key in seen:
-                gone |= set(range(s, s + run))
-            seen.add(key)
-        out[(i, t)] = (len(lines), len(gone))
+        for n in range(1, run + 1):
+            for s in range(len(lines) - n + 1):
+                key = tuple(lines[s : s + n])
+                if n < run and sum(len(WORD.findall(x)) for x in key) < words:
+                    continue
+                if key in seen:
+                    gone |= {full[p] for p in range(s, s + n)}
+                seen.add(key)
+        out[(i, t)] = (len(lines), len(gone), t if t is None or not gone else "\n".join(x for p, x in enumerate(raw) if p not in gone))
     return out
 
 
-def test_line_dedup(docs, empty):
-    want = brute_lines(TEXTS)
-    got = line_dedup.line_dedup(docs).collect()
-    assert len(got) == len(TEXTS)
+LONG = " ".join(f"q{i}" for i in range(55))
+PAIR = " ".join(f"r{i}" for i in range(30))
+LINE_TEXTS = [*TEXTS, (30, LONG), (31, f"{LONG}\nshort"), (32, f"before\n {LONG}\t\nafter"), (33, f"{PAIR}\n\n{PAIR} x"), (34, f"{PAIR}\n{PAIR} x\nmore"), (35, f"{PAIR}\nother"), (36, f"a\nb\na\nb\na\nb\na\nb"), (37, "")]
+
+
+def test_line_dedup(spark, docs, empty):
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(LINE_TEXTS[len(TEXTS) :], "doc_id long, text string"))
+    # two texts share the null id and their order is that of a hash, but they have no windows
+    want = brute_lines(LINE_TEXTS)
+    got = line_dedup.line_dedup(more).collect()
+    assert len(got) == len(LINE_TEXTS)
     for r in got:
-        if r["doc_id"] is not None:
-            assert (r["n_lines"], r["n_removed"]) == want[(r["doc_id"], r["text"])], r
-        assert (r["kept_text"] is None) == (r["text"] is None)
+        assert (r["n_lines"], r["n_removed"], r["kept_text"]) == want[(r["doc_id"], r["text"])], r
     by = {r["doc_id"]: r for r in got}
     assert by[11]["kept_text"] == "first\nlast" and by[10]["kept_text"] == LINES
+    assert by[31]["kept_text"] == "short" and by[32]["kept_text"] == "before\nafter" and by[34]["kept_text"] == "more" and by[35]["n_removed"] == 0
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_clashing_columns_are_replaced_and_operators_chain(docs):
+    named = docs.withColumns({c: F.lit("mine") for c in ("_a", "_b", "_k1", "k2", "runs", "row", "kept_text", "N_REMOVED", "lines")})
+    once = line_dedup.line_dedup(named)
+    both = substring_dedup.substring_dedup(once)
+    twice = line_dedup.line_dedup(both.withColumn("text", F.coalesce("kept_text", "text")))
+    assert {r[0] for r in twice.select(F.concat("_a", "_b", "_k1", "k2", "runs", "row", "lines")).distinct().collect()} == {"mine" * 7}
+    assert len(twice.columns) == len({c.lower() for c in twice.columns}) and twice.count() == len(TEXTS)
+
+
 def brute_components(rows, n, a, b):
     def shingles(t):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

@@ -42,6 +42,13 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def unclashed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of df's struct `row`, in the order of columns, and the new ones, which replace those of the same name (in any case)."""
+    named = {n.lower() for n in new}
+    df = df.select("row", F.struct(*[c.alias(n) for n, c in new.items()]).alias("new"))
+    return df.select(*[df["row"].getField(c).alias(c) for c in columns if c.lower() not in named], *[df["new"].getField(n).alias(n) for n in new])
+
+
 def no_rows(df: DataFrame) -> bool:
     return not df.take(1)
 
