@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE, WORD, document_key, read, written
-from ._words import grams, text_chunks, word_hashes
+from ._common import SPACE, WORD, document_key, read, unclashed, written
+from ._words import grams, released, text_chunks, word_hashes
 
 WINDOW = 35
 #: Words of the grams whose minimum names the shard of a window.
 GRAM = 10
 #: Segments of one anchor beyond which its segments are cut into single windows, each a shard key of its own.
 HOT = 500
+#: Anchors up to which the hot ones are broadcast, 8 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 RUN_SCHEMA = "anchor long, k1 long, k2 long, start int, n int"
 
@@ -125,29 +127,42 @@ def _runs(window: int, gram: int):
                 words, _, first = word_hashes(data, offsets)
                 anchor, of, start, n = anchor_runs(words, first, window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(k1[at + of]), pa.array(k2[at + of]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "k1", "k2", "start", "n"])
+        released()
 
     return run
 
 
+SEGMENT_SCHEMA = "k1 long, k2 long, start int, anchor long, key binary, segment string, n long"
+
+
 def _segments(window: int):
-    """Rows (k1, k2, start, anchor, key, segment) of the candidate runs of each document."""
+    """Of the candidate runs of each document: rows (k1, k2, start, key) of their places, and (anchor, key, segment, n) of the distinct segments of a stretch of documents."""
     word = re.compile(WORD)
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("key", pa.binary()), ("segment", pa.string()), ("n", pa.int64())])
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out: list[tuple] = []
-            for k1, k2, text, runs in part.itertuples(index=False):
+    def rows(places: list[tuple], kinds: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
+        found = [*places, *((None, None, None, *k, *v) for k, v in kinds.items())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places: list[tuple] = []
+            kinds: dict[tuple[int, bytes], list] = {}
+            for at in range(batch.num_rows):
+                k1, k2, text, runs = (batch.column(i)[at].as_py() for i in range(4))
                 words = word.findall(text or "")
                 for r in runs:
                     anchor, start, n, hot = r["anchor"], r["start"], r["n"], r["hot"]
                     for s, m in [(s, 1) for s in range(start, start + n)] if hot else [(start, n)]:
                         segment = " ".join(words[s : s + m + window - 1])
                         key = hashlib.md5(segment.encode()).digest()
-                        out.append((k1, k2, s, int.from_bytes(key[:7], "little") if hot else anchor, key, segment))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["k1", "k2", "start", "anchor", "key", "segment"])
-                    out = []
-            yield pd.DataFrame(out, columns=["k1", "k2", "start", "anchor", "key", "segment"])
+                        places.append((k1, k2, s, None, key, None, None))
+                        kinds.setdefault((int.from_bytes(key[:7], "little") if hot else anchor, key), [segment, 0])[1] += 1
+                if len(places) > 20_000:
+                    yield rows(places, kinds)
+                    places, kinds = [], {}
+            yield rows(places, kinds)
+        released()
 
     return cut
 
@@ -206,27 +221,35 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: st
     keys = document_key(id_col, text_col)
     source = docs.select(*keys, F.col(text_col).alias("text"))
     runs = written(source.mapInArrow(_runs(window, gram), RUN_SCHEMA), "anchor-runs")
-    hot = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot"))
-    wanted = runs.join(hot, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("runs"))
-    texts = written(source.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "runs"), "anchor-texts")
-    segments = texts.mapInPandas(_segments(window), "k1 long, k2 long, start int, anchor long, key binary, segment string")
-    distinct = segments.groupBy("anchor", "key", "segment").agg(F.count(F.lit(1)).alias("n"))
+    count = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "anchor-counts")
+    often = count.where(F.col("c") > HOT).select("anchor")
+    if often.count() <= BROADCAST_ROWS:  # so their many runs stay where they are
+        often = F.broadcast(often)
+    marked = runs.join(often.withColumn("hot", F.lit(True)), "anchor", "left")
+    wanted = marked.where("hot").union(marked.where("hot is null").join(count.select("anchor"), "anchor").withColumn("hot", F.lit(False)))
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("runs"))
+    cut = written(source.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_segments(window), SEGMENT_SCHEMA), "anchor-segments")
+    distinct = cut.where("segment is not null").groupBy("anchor", "key").agg(F.first("segment").alias("segment"), F.sum("n").alias("n"))
     shards = max(1, runs.count() // 50_000)
     hits = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_match(window), "key binary, hits array<int>")
-    starts = segments.select("k1", "k2", "start", "key").join(hits, "key").groupBy("k1", "k2").agg(F.collect_set(F.transform("hits", lambda h: h + F.col("start"))).alias("starts"))
-    return texts.select("k1", "k2", "text").join(starts, ["k1", "k2"]).mapInPandas(_cut(window), "k1 long, k2 long, n_removed long, kept_text string").dropDuplicates(["k1", "k2"])
+    places = cut.where("segment is null").select("k1", "k2", "start", "key")
+    starts = written(places.join(hits, "key").groupBy("k1", "k2").agg(F.collect_set(F.transform("hits", lambda h: h + F.col("start"))).alias("starts")), "repeated-starts")
+    return source.join(starts, ["k1", "k2"]).select("k1", "k2", "text", "starts").mapInPandas(_cut(window), "k1 long, k2 long, n_removed long, kept_text string").dropDuplicates(["k1", "k2"])
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the words of repeated windows removed: n_words, n_removed, and kept_text (words joined by one space; null where nothing was removed).
 
     A window repeats if its words also start anywhere else in docs, overlapping places of the same document included. Null and empty texts
-    have no words. Rows that repeat id and text count each, so both lose all their windows. No rows give no rows. Columns of docs stay as they are.
+    have no words. Rows that repeat id and text count each, so both lose all their windows. No rows give no rows. Columns of docs stay as they are,
+    but for those named like the three new ones, which are replaced.
     """
     k1, k2 = document_key(id_col, text_col)
     lost = repeated(docs, window, id_col=id_col, text_col=text_col).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    whole = docs.withColumns({"_a": k1, "_b": k2, "n_words": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")})
-    return whole.join(lost, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left").drop("_a", "_b", "_k1", "_k2").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
+    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), k1, k2, n_words)
+    both = whole.join(lost, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
+    return unclashed(both, docs.columns, n_words=F.col("n_words"), n_removed=F.coalesce("n_removed", F.lit(0)).cast("long"), kept_text=F.col("kept_text"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
