@@ -7,19 +7,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read, written
-from ._words import owners, text_chunks, word_hashes
+from ._words import owners, released, text_chunks, word_hashes
 
-#: Labelled rows that the model is fitted on, those of the smallest id hashes, and words of its lexicon: both bound what is broadcast.
-LABELLED, LEXICON = 20_000, 50_000
-#: Standard errors by which a word's log-odds must exceed zero.
+#: Labelled rows that the model is fitted on, those of the smallest id hashes. They bound the words of the lexicon, and so what is broadcast.
+LABELLED = 20_000
+#: Standard errors by which a word's log-odds must differ from zero; those of others are taken for zero.
 LEAST_Z = 3.5
-#: Strength of a word's prior as a part of its own count, and the score of a word outside the lexicon.
+#: Strength of a word's prior as a part of its own count, and what every word's score is lowered by, so that clean text scores less than zero.
 PRIOR, DRIFT = 0.1, -0.25
 #: Expected number of segments as good in a clean text of the same length, below which a segment is significant.
 SIGNIFICANT = 0.01
@@ -39,15 +38,16 @@ class Model:
     offset: float = 0.0
 
 
-def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """(first place, end, score) of all maximal scoring segments (Ruzzo and Tompa), where each place but those in `at` scores drift < 0.
+def segments(at: list[int], score: list[float], drift: float, more: list[float] | None = None) -> list[tuple[int, int, float]]:
+    """(first place, end, score) of all maximal scoring segments (Ruzzo and Tompa), where each place but those in `at` scores drift < 0, and the places
+    between at[i - 1] and at[i] together more[i] <= 0 besides.
 
     Only segments that begin and end at a positive score can be maximal, so the scan is linear in len(at).
     """
     found: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
     total, last = 0.0, 0
-    for place, s in zip(at, score, strict=True):
-        total += drift * (place - last)
+    for place, s, besides in zip(at, score, more or [0.0] * len(at), strict=True):
+        total += drift * (place - last) + besides
         low, high, first = total, total + s, place
         total, last = high, place + 1
         while True:
@@ -87,14 +87,18 @@ def scan(texts: pa.Array, words: np.ndarray, scores: np.ndarray) -> Iterator[tup
         found: dict[int, list[tuple[int, int, float]]] = {}
         if len(words) and len(hashes):
             place = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-            hit = np.flatnonzero(words[place] == hashes)
+            known = words[place] == hashes
+            clean = np.flatnonzero(known & (scores[place] < 0))
+            spent = np.concatenate([[0.0], np.cumsum(scores[place[clean]] - DRIFT)])
+            hit = np.flatnonzero(known & (scores[place] > 0))
             of = owners(first)[hit]
             hit = hit[spaced(of, place[hit], hit, scores / -DRIFT + 1)]
             of = owners(first)[hit]
             edges = np.flatnonzero(np.diff(of, prepend=-1, append=len(sizes)))
             local, value = hit - first[of], scores[place[hit]]
+            more = np.minimum(np.diff(spent[np.searchsorted(clean, hit)], prepend=0.0), 0.0)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                found[int(of[a])] = segments(local[a:b].tolist(), value[a:b].tolist(), DRIFT)
+                found[int(of[a])] = segments(local[a:b].tolist(), value[a:b].tolist(), DRIFT, more[a:b].tolist())
         yield at, sizes, found
 
 
@@ -153,12 +157,13 @@ def fit_logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> t
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of labelled documents: labels (doc_id, toxic 0 or 1) of at most LABELLED rows, so labels are broadcast and of docs only labelled texts are shuffled, to count copies once.
 
-    A word's score is its log-odds between toxic and clean documents, with a Dirichlet prior that deals out its count by the labels' shares; the lexicon are
-    the words whose z is LEAST_Z or more. lambda comes from the words' shares in clean documents, K from clean documents' best segments by
+    A word's score is its log-odds between toxic and clean documents, with a Dirichlet prior that deals out its count by the labels' shares, where it differs
+    from zero by LEAST_Z standard errors, to either side: clean words cut segments. Other words score DRIFT. Of equal texts with several labels the
+    toxic one counts. lambda comes from the words' shares in clean documents, K from clean documents' best segments by
     maximum likelihood, and a logistic curve takes the statistic to a probability.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    known = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "toxicity-labelled")
+    known = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-labelled")
     counted = known.mapInArrow(_counts, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sums = counted.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = float(sums["t"] or 0), float(sums["c"] or 0)
@@ -169,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total_t, total_c = t * (1 + PRIOR), c * (1 + PRIOR)
     odds = F.log(in_toxic / (total_t - in_toxic)) - F.log(in_clean / (total_c - in_clean))
     z = odds / F.sqrt(1 / in_toxic + 1 / in_clean)
-    top = counted.withColumns({"odds": odds, "z": z, "share": in_clean / total_c}).where((F.col("z") >= LEAST_Z) & (F.col("toxic") > 1)).orderBy(F.desc("z"), "word").limit(LEXICON).toPandas()
+    top = counted.withColumns({"odds": odds, "z": z, "share": in_clean / total_c}).where(((F.col("z") >= LEAST_Z) & (F.col("toxic") > 1)) | (F.col("z") <= -LEAST_Z)).select("word", "odds", "share").toPandas()
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     model = Model(words[order], top["odds"].to_numpy(float)[order])
@@ -210,27 +215,29 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         least = -math.log(SIGNIFICANT)
         for batch in batches:
             for at, sizes, found in scan(batch.column(1), model.words, model.scores):
-                x = np.array([min(BINS / 2, statistic(int(n), found.get(i, []), model.lam, model.log_k)) for i, n in enumerate(sizes)])
-                p = 1 / (1 + np.exp(-(model.weight * x + model.offset)))
+                x = np.array([statistic(int(n), found.get(i, []), model.lam, model.log_k) for i, n in enumerate(sizes)])
+                p = 1 / (1 + np.exp(-np.clip(model.weight * x + model.offset, -700, 700)))
                 passages = [[{"start": f, "end": e, "score": s} for f, e, s in found.get(i, []) if model.lam * s - model.log_k - math.log(max(n, 1)) >= least] for i, n in enumerate(sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(passages, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))], names=["doc_id", "score", "predicted", "passages"])
+        released()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, passages array<struct<start: int, end: int, score: double>>")
 
 
 def filter_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is predicted clean, all columns as they are. Null and empty texts are judged like texts without toxic words."""
+    column = docs.columns.index(text_col)
 
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for text in texts:
-            keep = np.ones(len(text), bool)
-            for at, sizes, found in scan(pa.array(text, pa.string()), model.words, model.scores):
-                for i, n in enumerate(sizes.tolist()):
-                    x = min(BINS / 2, statistic(n, found.get(i, []), model.lam, model.log_k))
-                    keep[at + i] = model.weight * x + model.offset < 0
-            yield pd.Series(keep)
-
-    return docs.where(F.pandas_udf(clean, "boolean")(F.col(text_col)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for at, sizes, found in scan(batch.column(column), model.words, model.scores):
+                x = np.array([statistic(int(n), found.get(i, []), model.lam, model.log_k) for i, n in enumerate(sizes)])
+                keep[at : at + len(sizes)] = model.weight * x + model.offset < 0
+            yield batch.filter(pa.array(keep))
+        released()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
