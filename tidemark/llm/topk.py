@@ -9,48 +9,77 @@ from pyspark.sql import functions as F
 
 from ._common import read, written
 
-PIVOTS = 32
-#: Vectors of a block of candidates, and of a block of queries.
-BLOCK, QUERIES = 4096, 256
-#: Candidates scored at once between two looks at the next bound.
-STEP = 64
+#: Pivots of each dimension count, and rows (those of the smallest id hashes) that they are chosen among and that give each query its first threshold.
+PIVOTS, SAMPLE = 1024, 8192
+#: Vectors of a block of candidates, and queries that are broadcast in one round.
+BLOCK, QUERIES = 4096, 16_384
+#: Dimension counts whose pivots are broadcast; vectors of further ones are bounded by their lengths alone.
+DIMENSIONS = 16
+#: Pivots looked at between two eliminations, and candidates scored between two looks at the next bound.
+CHUNK, STEP = 64, 64
 #: Largest squared length (of integers) at which double arithmetic gives exact inner products.
 EXACT = 2.0**52
 
 
-def pack(vectors: np.ndarray) -> bytes:
-    return np.ascontiguousarray(vectors, np.float64).tobytes()
-
-
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * (x @ pivots.T)), 0))
-
-
-def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(rows (query, candidate, score): the k best of the block for each query, ties to the smaller id; candidates scored).
-
-    |d(q, p) - d(c, p)| over pivots p bounds the distance of q and c from below, and so their inner product from above. Candidates are scored
-    in the order of that bound until the next bound is below the k-th best score. A hundred-millionth of the squares' size covers rounding.
+    return np.sqrt(np.maximum(((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * (x @ pivots.T)), 0)).astype(np.float32)
+
+
+def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
+    """Rows of x, each the one farthest from all before it; fewer where no other row is left."""
+    chosen, low = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < min(k, len(x)):
+        far = int(np.argmax(low))
+        if low[far] <= 0:
+            break
+        chosen.append(far)
+        np.minimum(low, ((x - x[far]) ** 2).sum(1), out=low)
+    return np.array(chosen)
+
+
+def kth_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """A score that each query's k-th best candidate reaches: its k-th best among the given rows, less what rounding may take; minus infinity if they are fewer."""
+    out = np.full(len(q), -np.inf)
+    for at in range(0, len(q), 1024):
+        part = slice(at, at + 1024)
+        score = q[part] @ rows.T
+        score[q_ids[part][:, None] == ids[None]] = -np.inf
+        if len(rows) >= k:
+            out[part] = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k]
+    return out - 1e-6 * np.abs(out) if len(rows) >= k else out
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int, threshold: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """(rows (query, candidate, score): of the block's candidates those that can be among the k best of each query, k at most, ties to the smaller id;
+    candidates scored). threshold: a score that each query's k-th best reaches.
+
+    |d(q, p) - d(c, p)| over pivots p bounds the distance of q and c from below, and so their inner product from above. Pivots are looked at a
+    few at a time, and candidates whose bound is below the threshold leave. The others are scored in the order of their bounds until the next
+    is below the k-th best score. A millionth of the squares' size covers the rounding of distances to single precision.
     """
     dq, dc = distances(q, pivots), distances(c, pivots)
     nq, nc = (q**2).sum(1), (c**2).sum(1)
     big = max(nq.max(initial=0), nc.max(initial=0)) >= EXACT
     out, scored = [], 0
     for i, query in enumerate(q_ids):
-        low = np.zeros(len(c))
-        for p in range(pivots.shape[0]):
-            np.maximum(low, np.abs(dc[:, p] - dq[i, p]), out=low)
-        bound = (nq[i] + nc - low**2) / 2 + 1e-8 * (nq[i] + nc) + 1e-3
+        least = -np.inf if threshold is None else threshold[i]
+        alive, low = np.flatnonzero(c_ids != query), np.zeros(len(c), np.float32)
+        ceiling = (nq[i] + nc) * (0.5 + 1e-6) + 1e-3
+        for p in range(0, pivots.shape[0], CHUNK):
+            low[alive] = np.maximum(low[alive], np.abs(dc[alive, p : p + CHUNK] - dq[i, p : p + CHUNK]).max(1))
+            alive = alive[ceiling[alive] - low[alive].astype(np.float64) ** 2 / 2 >= least]
+            if len(alive) <= STEP:
+                break
+        bound = ceiling[alive] - low[alive].astype(np.float64) ** 2 / 2
         order = np.argsort(-bound, kind="stable")
         best: list[tuple[int, int]] = []
         for at in range(0, len(order), STEP):
             if len(best) == k and bound[order[at]] < -best[-1][0]:
                 break
-            take = order[at : at + STEP]
-            take = take[c_ids[take] != query]
+            take = alive[order[at : at + STEP]]
             score = [sum(int(a) * int(b) for a, b in zip(q[i], v, strict=True)) for v in c[take]] if big else (c[take] @ q[i]).astype(np.int64).tolist()
             scored += len(take)
-            best = sorted([*best, *((-s, int(j)) for s, j in zip(score, c_ids[take].tolist(), strict=True))])[:k]
+            best = sorted([*best, *((-s, int(j)) for s, j in zip(score, c_ids[take].tolist(), strict=True) if s >= least)])[:k]
         out += [(int(query), j, -s) for s, j in best]
     return out, scored
 
@@ -58,9 +87,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def topk_inner_product(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `queries` holds, the k other rows of highest integer inner product of floor(scale * vector).
 
-    Blocks of queries meet blocks of candidates, each block of bounded size, by an equality join on block numbers: the stated query set against all
-    rows. The pivots, PIVOTS vectors for each dimension count, are the only thing broadcast. Each pair of blocks gives at most k rows for each query.
-    Vectors that are null, empty or hold a null or non-finite component take no part; vectors meet only those of their own length. Ties go to the
+    Rows are packed once into blocks of bounded size. Queries go to all blocks in rounds of QUERIES at most, so what is broadcast is bounded: a
+    round's queries, the pivots and the sample they come from. A query starts with its k-th best score in the sample as threshold, so blocks
+    return few rows. Vectors that are null, empty or hold a null or non-finite component take no part; vectors meet only those of their own length. Ties go to the
     smaller id; fewer than k candidates give fewer rows. A null id takes no part. Rows that repeat an id are candidates each, but never of
     a query with that id. Scores must fit 64 bits. No rows give no rows.
     """
@@ -68,31 +97,40 @@ def topk_inner_product(vectors: DataFrame, queries: Column, k: int = 10, scale:
     fine = F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = written(vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("q"), F.size(vector_col).alias("dim"), scaled.alias("v")), "topk-vectors")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m")).first()
-    blocks, q_blocks = 1 + total["n"] // BLOCK, 1 + total["m"] // QUERIES
-    by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
-    first = rows.withColumn("r", F.row_number().over(by_hash)).where(f"r <= {PIVOTS}").select("dim", "v").limit(PIVOTS * 64).collect()
-    pivots: dict[int, np.ndarray] = {}
-    for dim in {r["dim"] for r in first}:
-        pivots[dim] = np.array([r["v"] for r in first if r["dim"] == dim])
+    blocks, rounds = 1 + total["n"] // BLOCK, 1 + total["m"] // QUERIES
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for dim in [r["dim"] for r in rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(DIMENSIONS).collect()]:
+        some = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").select("id", "v").limit(SAMPLE).toPandas()
+        sample = np.stack(some["v"].to_numpy())
+        known[dim] = (some["id"].to_numpy(np.int64), sample, sample[farthest_first(sample, min(PIVOTS, len(sample) // 2 + 1))])
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["dim", "block"]].head(1).assign(ids=[pdf["id"].to_numpy(np.int64).tobytes()], data=[pack(np.stack(pdf["v"].to_numpy()))])
+        data = np.stack(pdf["v"].to_numpy())
+        small = np.abs(data).max() < 2**31  # whole numbers, so nothing is lost
+        return pdf[["dim", "block"]].head(1).assign(ids=[pdf["id"].to_numpy(np.int64).tobytes()], data=[data.astype(np.int32 if small else np.float64).tobytes()])
 
-    def blocked(df: DataFrame, n: int) -> DataFrame:
-        return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("dim", "block").applyInPandas(packed, "dim int, block int, ids binary, data binary")
+    def unpacked(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(ids, np.int64)
+        return ids, np.frombuffer(data, np.int32 if len(data) == 4 * dim * len(ids) else np.float64).astype(np.float64).reshape(-1, dim)
 
-    candidates = blocked(rows, blocks).withColumnsRenamed({"ids": "c_ids", "data": "c_data"})
-    asked = blocked(rows.where("q"), q_blocks).withColumnsRenamed({"ids": "q_ids", "data": "q_data", "block": "q_block"}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    def blocked(df: DataFrame, n: int, name: str) -> DataFrame:
+        return written(df.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).repartition(min(n, 256 + n // 16), "dim", "block").groupBy("dim", "block").applyInPandas(packed, "dim int, block int, ids binary, data binary"), name)
 
     def search(parts):
         for part in parts:
-            found = []
-            for dim, q_ids, q, c_ids, c in part[["dim", "q_ids", "q_data", "c_ids", "c_data"]].itertuples(index=False):
-                found += search_block(np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, dim), np.frombuffer(c_ids, np.int64), np.frombuffer(c).reshape(-1, dim), pivots.get(dim, np.zeros((0, dim))), k)[0]
-            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    pairs = asked.join(candidates, ["dim", "block"]).repartition(F.xxhash64("q_block", "block"))
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+            for dim, q_ids, q_data, c_ids, c_data in part[["dim", "q_ids", "q_data", "ids", "data"]].itertuples(index=False):
+                (q_ids, q), (c_ids, c) = unpacked(q_ids, q_data, dim), unpacked(c_ids, c_data, dim)
+                s_ids, sample, pivots = known.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros((0, dim))))
+                found = search_block(q_ids, q, c_ids, c, pivots, k, kth_best(q_ids, q, s_ids, sample, k))[0]
+                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    candidates = blocked(rows, blocks, "topk-blocks")
+    asked = blocked(rows.where("q"), rounds, "topk-queries").withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
+    found = None
+    for r in range(rounds):
+        pairs = candidates.drop("block").join(F.broadcast(asked.where(F.col("block") == r).drop("block")), "dim")
+        part = written(pairs.mapInPandas(search, "query_id long, vec_id long, score long"), "topk-found")
+        found = part if found is None else found.union(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
