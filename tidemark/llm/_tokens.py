@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 
 from ._words import ragged
 
-#: Words a worker remembers before it starts anew; bounds its memory.
-REMEMBERED = 800_000
+#: Bytes of the words and ids, with their objects, that a worker remembers before it starts anew.
+REMEMBERED = 64 << 20
 #: Characters tokenized at once.
 CHARACTERS = 1 << 21
 #: Two texts whose ids must be those of their parts, for a tokenizer that drops white space.
@@ -31,6 +31,7 @@ class Encoder:
 
         self.full = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.remembered = 0
         ids = lambda s: self.full.encode(s, add_special_tokens=False).ids
         self.by_words = all(ids(f" {a} \n\t{b}  ") == ids(a) + ids(b) for a in PROBES for b in PROBES)
         self.lowers = self.by_words and ids("ABC'S É") == ids("abc's é")
@@ -52,11 +53,13 @@ class Encoder:
             plain = self.direct and self._plain(word)
             found = [t.id for t in self.full.model.tokenize(self._shown(word))] if plain else self.full.encode(word, add_special_tokens=False).ids
             ids = self.known[word] = array("I", found).tobytes()
+            self.remembered += 200 + len(word) + len(ids)
         return ids
 
     def _words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
+        if self.remembered > REMEMBERED:
             self.known.clear()
+            self.remembered = 0
         known, out = self.known, []
         for w in words:
             ids = known.get(w)

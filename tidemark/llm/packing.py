@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ._common import gapless, read, written
 from ._tokens import encoder, slices, vocabulary_path
+from ._words import released
 
 CAPACITY = 2048
 #: Pieces that one task ranks at once.
@@ -141,6 +142,7 @@ def _pieces(path: str, end_id: int | None, capacity: int, with_ids: bool):
                 cut = [plain[4 * a : 4 * (a + n)] for a, n in zip(first.tolist(), length.tolist(), strict=True)]
                 columns = [batch.column(0).slice(at, end - at).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in cut], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(cut, pa.binary())] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        released()
 
     return run
 
