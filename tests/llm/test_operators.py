@@ -172,8 +172,9 @@ def brute_components(rows, n, a, b):
     return sorted(str((rows[x][0], len(sets[x]), min((i for i in ids[find(x)] if i is not None), default=None))) for x in range(len(rows)))
 
 
-@pytest.mark.parametrize("block, small", [(1500, 32), (3, 2), (1500, 1)])
-def test_ngram_jaccard(spark, docs, empty, block, small, monkeypatch):
+@pytest.mark.parametrize("block, small, crowded", [(1500, 32, 10_000), (3, 2, 3)])
+def test_ngram_jaccard(spark, docs, empty, block, small, crowded, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "CROWDED", crowded)
     monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
     monkeypatch.setattr(ngram_jaccard, "SMALL", small)
     base = [f"t{i}" for i in range(40)]

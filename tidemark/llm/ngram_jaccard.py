@@ -21,6 +21,8 @@ COUNTED = 1 << 21
 SMALL = 32
 #: Parts of the sketch that bounds an overlap, and classes of a block of a large column.
 BUCKETS, BLOCK = 256, 1500
+#: Rows of a column from which it is found by a broadcast and not dealt out as one.
+CROWDED = 10_000
 #: N-grams of a part of a block, and those whose overlaps are counted at once.
 BLOCK_GRAMS = 1 << 21
 #: Rows of two numbers each up to which document keys are broadcast; more are joined by a shuffle.
@@ -136,7 +138,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(n: int, a: int, b: int, common: np.ndarray):
-    """Rows (gram, c, d, n): the first grams of each class's order, of which two linked ones share one at least."""
+    """Rows (gram, c, n): the first grams of each class's order, of which two linked ones share one at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,14 +146,14 @@ def _prefixes(n: int, a: int, b: int, common: np.ndarray):
                 hashes, sizes = incidence(data, offsets, n)
                 c, d = signatures(hashes, sizes)
                 first = firsts(c, d, sizes)
-                hashes, sizes, c, d = hashes[ragged((np.cumsum(sizes) - sizes)[first], sizes[first])], sizes[first], c[first], d[first]
+                hashes, sizes, c = hashes[ragged((np.cumsum(sizes) - sizes)[first], sizes[first])], sizes[first], c[first]
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 at = np.minimum(np.searchsorted(common[:, 0], hashes), max(0, len(common) - 1))
                 often = np.where(common[at, 0] == hashes, common[at, 1], 0) if len(common) else np.zeros(len(hashes), np.uint64)
                 order = np.lexsort((often, row))  # stable, so equal counts stay in the order of hashes
                 take = prefix_length(sizes, a, b)
                 pick = order[ragged(np.cumsum(sizes) - sizes, take)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64)), *(pa.array(np.repeat(x, take)) for x in (c, d, sizes.astype(np.int64)))], names=["gram", "c", "d", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64)), *(pa.array(np.repeat(x, take)) for x in (c, sizes.astype(np.int32)))], names=["gram", "c", "n"])
         released()
 
     return run
@@ -267,26 +269,36 @@ def sizes_fit(a: int, b: int, x: str = "n", y: str = "n_y") -> Column:
 
 
 def small_columns(shared: DataFrame, a: int, b: int) -> DataFrame:
-    """(c, d, c_y, d_y): pairs of classes left by the product of the columns with at most SMALL classes, shared (gram, c, d, n).
+    """(c, c_y): pairs of classes left by the product of the columns with at most SMALL classes, shared (gram, c, n).
 
     A pair's terms are added up to its overlap inside both prefixes. Beyond the prefix that ends first in the common order at most n minus the prefix's
     length n-grams are shared, so a pair whose sum doesn't reach the rest of the needed a (n_x + n_y) / (a + b) can't link. Pairs that share a larger
     column too may be discarded here, for that column decides them.
     """
-    other = shared.select("gram", *[F.col(x).alias(f"{x}_y") for x in ("c", "d", "n")])
-    terms = shared.join(other, "gram").where((F.struct("c", "d") < F.struct("c_y", "d_y")) & sizes_fit(a, b))
-    total = terms.groupBy("c", "d", "n", "c_y", "d_y", "n_y").agg(F.count(F.lit(1)).alias("overlap"))
+    other = shared.select("gram", F.col("c").alias("c_y"), F.col("n").alias("n_y"))
+    terms = shared.join(other, "gram").where((F.col("c") < F.col("c_y")) & sizes_fit(a, b))
+    total = terms.groupBy("c", "n", "c_y", "n_y").agg(F.count(F.lit(1)).alias("overlap"))
     beyond = F.floor((F.greatest("n", "n_y") * a + b - 1) / b) - 1
-    return total.where((F.col("overlap") + beyond) * (a + b) >= (F.col("n") + F.col("n_y")) * a).select("c", "d", "c_y", "d_y")
+    return total.where((F.col("overlap") + beyond) * (a + b) >= (F.col("n") + F.col("n_y")) * a).select("c", "c_y")
 
 
 def large_columns(shared: DataFrame, a: int, b: int) -> DataFrame:
-    """(c, d, c_y, d_y): the classes of each larger column with four representatives of it (y), linear in the column."""
-    me = F.struct("c", "d", "n")
-    hashed = [F.min(F.struct(F.xxhash64(F.lit(k), "c", "d").alias("h"), me.alias("me")))["me"] for k in (1, 2)]
+    """(c, c_y): the classes of each larger column with four representatives of it (y), linear in the column."""
+    me = F.struct("c", "n")
+    hashed = [F.min(F.struct(F.xxhash64(F.lit(k), "c").alias("h"), me.alias("me")))["me"] for k in (1, 2)]
     chosen = shared.groupBy("gram").agg(F.array(F.min(me), F.max(me), *hashed).alias("chosen")).select("gram", F.explode("chosen").alias("y"))
-    pairs = shared.join(chosen.select("gram", *[F.col(f"y.{x}").alias(f"{x}_y") for x in ("c", "d", "n")]), "gram")
-    return pairs.where(((F.col("c") != F.col("c_y")) | (F.col("d") != F.col("d_y"))) & sizes_fit(a, b)).select("c", "d", "c_y", "d_y")
+    pairs = shared.join(chosen.select("gram", F.col("y.c").alias("c_y"), F.col("y.n").alias("n_y")), "gram")
+    return pairs.where((F.col("c") != F.col("c_y")) & sizes_fit(a, b)).select("c", "c_y")
+
+
+def shared_columns(postings: DataFrame) -> DataFrame:
+    """The distinct rows (gram, c, n) of postings whose gram two classes hold. Crowded columns are found by a broadcast, if they are few, so none is dealt out as one."""
+    several = written(postings.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high").select("gram", "rows"), "ngram-several")
+    crowded = several.where(F.col("rows") > CROWDED).select("gram")
+    if not 0 < crowded.count() <= BROADCAST_ROWS:
+        return postings.join(several.select("gram"), "gram").distinct()
+    rest = postings.join(several.where(F.col("rows") <= CROWDED).select("gram"), "gram").distinct()
+    return rest.union(postings.join(F.broadcast(crowded), "gram").distinct())
 
 
 def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -308,32 +320,33 @@ def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -
     first = rows.where("n > 0").groupBy("c", "d").agg(F.min(F.struct("k1", "k2")).alias("f"))
     node = F.when(F.col("k1") < 2**63 - 1, F.col("k1")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned("c", 2))
     classes = first.select("c", "d", "f.*").withColumn("node", node)
-    postings = written(source.select("text").mapInArrow(_prefixes(n, a, b, common), "gram long, c long, d long, n long"), "ngram-prefixes")
-    several = postings.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("c0 != c1 or d0 != d1").select("gram")
-    shared = written(postings.join(several, "gram").distinct(), "ngram-columns")
-    count = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
-    shared = written(shared.join(count, "gram"), "ngram-columns")
-    small, large = shared.where(F.col("rows") <= SMALL).drop("rows"), shared.where(F.col("rows") > SMALL).drop("rows")
-    pairs = written(small_columns(small, a, b).union(large_columns(large, a, b)).distinct(), "ngram-pairs")
-
-    used = pairs.select("c", "d").union(pairs.select("c_y", "d_y")).union(large.select("c", "d")).distinct()
-    wanted = written(classes.join(used, ["c", "d"]).select("k1", "k2"), "ngram-wanted")
+    postings = written(source.select("text").mapInArrow(_prefixes(n, a, b, common), "gram long, c long, n int"), "ngram-prefixes")
+    shared = written(shared_columns(postings), "ngram-columns")
+    large = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SMALL).select("gram")
+    large = written(shared.join(large, "gram"), "ngram-large")
+    small = shared.join(large.select("gram").distinct(), "gram", "left_anti")
+    # columns and pairs go by the first hash of a class; whole sets then tell classes that share it apart
+    same = classes.groupBy("c").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("c", F.col("c").alias("c_y"))
+    pairs = written(small_columns(small, a, b).union(large_columns(large, a, b)).union(same).distinct(), "ngram-pairs")
+
+    used = pairs.select("c").union(pairs.select("c_y")).union(large.select("c")).distinct()
+    wanted = written(classes.join(used, "c").select("k1", "k2"), "ngram-wanted")
     texts = source.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["k1", "k2"], "left_semi")
     sets = texts.select("k1", "text").mapInArrow(_sets(n), "k1 long, c long, d long, n long, grams binary, sketch binary")
     sets = written(sets.select("c", "d", "n", "sketch", "grams", node.alias("node")), "ngram-sets")
 
     # a representative's set meets its column's sets where they are, after they moved once
-    left = sets.select("c", "d", F.col("node").alias("node_x"), F.col("grams").alias("grams_x"))
-    right = sets.select(F.col("c").alias("c_y"), F.col("d").alias("d_y"), F.col("node").alias("node_y"), F.col("grams").alias("grams_y"))
-    full = pairs.join(left, ["c", "d"]).join(right, ["c_y", "d_y"]).select("node_x", "node_y", "grams_x", "grams_y")
+    left = sets.select("c", F.col("node").alias("node_x"), F.col("grams").alias("grams_x"))
+    right = sets.select(F.col("c").alias("c_y"), F.col("node").alias("node_y"), F.col("grams").alias("grams_y"))
+    full = pairs.join(left, "c").join(right, "c_y").where("node_x != node_y").select("node_x", "node_y", "grams_x", "grams_y")
     edges = written(full.mapInArrow(_overlaps(a, b), "a long, b long").distinct(), "ngram-edges")
     found = components(edges, "ngram-stars")
 
     label = sets.join(found, "node", "left").groupBy("c", "d").agg(F.min(F.coalesce("component", "node")).alias("component"))
     hub = large.groupBy("gram").agg(F.min("c").alias("hub"))
-    member = large.join(hub, "gram").select("hub", "c", "d", "n").distinct().join(label, ["c", "d"])
+    member = large.join(hub, "gram").select("hub", "c").distinct().join(label, "c")
     open_ = member.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("hub")
-    whole = sets.groupBy("c", "d").agg(F.min("node").alias("node"), F.first("sketch").alias("sketch"))
+    whole = sets.groupBy("c", "d").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     open_ = written(member.join(open_, "hub").join(whole, ["c", "d"]), "ngram-open")
     if open_.take(1):
         some = blocks(open_).applyInPandas(_partnered(a, b), "hub long, c long, d long").distinct()
