@@ -105,6 +105,16 @@ def test_first_passage_over_stretches(spark):
     assert small.where("own").count() == t.count()
 
 
+def test_first_passage_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for horizon in (1, 3, 7, 64):
+        mid = np.cumsum(rng.integers(-3, 4, 200))
+        want = [next((j for j in range(1, horizon + 1) if i + j < 200 and abs(mid[i + j] - mid[i]) >= 5), 0) for i in range(200)]
+        assert assays.passage(mid, 5, horizon).tolist() == want
+
+
 def test_fifo_small(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, i, t + dt.timedelta(days=i), side, q, p) for i, (side, q, p) in enumerate([("buy", 5, 10), ("buy", 5, 20), ("sell", 7, 30), ("sell", 1, 5)])]

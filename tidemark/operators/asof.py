@@ -23,3 +23,11 @@ def asof(left: DataFrame, right: DataFrame, value: str = "value", strict: bool =
     age = seconds("ts") - seconds("_t_last")
     fresh = F.lit(True) if max_age_s is None else age <= max_age_s
     return done.select(*left.columns, F.when(fresh, F.col("_v_last")).alias(value), F.when(fresh, F.col("_t_last")).alias("matched_ts"))
+
+
+def asof_forward(left: DataFrame, right: DataFrame, value: str = "value", keys=("symbol",)) -> DataFrame:
+    """left with `value`, the right row's first one at or after ts, and matched_ts: an as-of join on mirrored stamps. Rows of one right stamp give their greatest value."""
+    mirror = lambda x: F.timestamp_micros(-F.unix_micros(F.col(x).cast("timestamp"))).cast("timestamp_ntz")
+    probe = left.withColumns({"_ts": F.col("ts"), "ts": mirror("ts")})
+    found = asof(probe, right.withColumn("ts", mirror("ts")), value, keys=keys)
+    return found.withColumns({"ts": F.col("_ts"), "matched_ts": mirror("matched_ts")}).select(*left.columns, value, "matched_ts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,15 +62,40 @@ def with_ahead(rows: DataFrame, ahead: int, behind: int = 0, stretch: int = 50_0
     return rows.withColumn("stretch", F.explode(touched)).withColumn("own", c("stretch") == home)
 
 
-def first_passage(ticks: DataFrame, cents: int, horizon: int, stride: int) -> DataFrame:
-    """(symbol, row, hit_rows, hit): for every stride-th row, in how many rows the mid moves by `cents` or more within the horizon, and to which side; null if it doesn't."""
-    w = Window.partitionBy("symbol", "stretch").orderBy("row").rowsBetween(1, horizon)
+def passage(mid: np.ndarray, cents: int, horizon: int) -> np.ndarray:
+    """In how many rows each mid is first left by `cents` or more within the horizon, 0 if it isn't. Extremes of 1, 2, 4, ... rows are looked up
+    from long to short, so a row costs the logarithm of the horizon and no path is built."""
+    levels = max(1, int(horizon).bit_length())
+    high = [np.append(mid[1:], np.iinfo(np.int64).min)]  # high[k][i]: of the 2**k rows after i
+    low = [np.append(mid[1:], np.iinfo(np.int64).max)]
+    at = np.arange(len(mid))
+    for k in range(levels - 1):
+        later = np.minimum(at + (1 << k), len(mid) - 1)
+        high.append(np.maximum(high[k], high[k][later]))
+        low.append(np.minimum(low[k], low[k][later]))
+    free = at.copy()  # up to this row nothing was hit
+    for k in reversed(range(levels)):
+        free = np.where((high[k][free] < mid + cents) & (low[k][free] > mid - cents), np.minimum(free + (1 << k), len(mid) - 1), free)
+    rows = free + 1 - at
+    return np.where((free < len(mid) - 1) & (rows <= horizon), rows, 0)
+
+
+def first_passage(ticks: DataFrame, cents: int, horizon: int) -> DataFrame:
+    """(symbol, row, hit_rows, hit): for every row, in how many rows the mid moves by `cents` or more within the horizon, and to which side; null if it doesn't.
+
+    Each stretch of rows with the horizon after it is a task of its own."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        mid = pdf["mid_c"].to_numpy(np.int64)
+        rows = passage(mid, cents, horizon)
+        side = np.sign(mid[np.minimum(np.arange(len(mid)) + rows, len(mid) - 1)] - mid)
+        out = pd.DataFrame({"symbol": pdf["symbol"], "row": pdf["row"], "hit_rows": pd.array(rows, "Int32"), "hit": pd.array(side, "Int32")})
+        out.loc[rows == 0, ["hit_rows", "hit"]] = pd.NA
+        return out[pdf["own"].to_numpy()]
+
     s = with_ahead(numbered(ticks).select("symbol", "row", "mid_c"), horizon)
-    s = s.withColumn("path", F.collect_list("mid_c").over(w)).where((c("row") % stride == 0) & c("own"))
-    at = F.array_position(F.transform("path", lambda m: F.abs(m - c("mid_c")) >= cents), True)
-    hit = F.when(at > 0, at)
-    move = F.get("path", (hit - 1).cast("int")) - c("mid_c")
-    return s.select("symbol", "row", hit.alias("hit_rows"), F.signum(move.cast("double")).cast("int").alias("hit"))
+    return s.groupBy("symbol", "stretch").applyInPandas(search, "symbol string, row long, hit_rows int, hit int")
 
 
 def directional_panel(ticks: DataFrame, past: int = 16, horizons: tuple[int, ...] = (1, 4, 16), stride: int = 20) -> DataFrame:
@@ -106,7 +133,7 @@ def with_assay_moves(bars: DataFrame) -> DataFrame:
     """Quote bars with x, twice the mid at the close, r, its step, and width, the bar's range over it."""
     x = c("close_bid") + c("close_ask")
     d = bars.withColumn("x", x)
-    return d.withColumns({"r": c("x") - back("x"), "width": (c("high_ask") - c("low_bid")) / F.nullif(c("x"), F.lit(0))}).withColumn("width_mid", gated(F.percentile("width", 0.5), c("width"), prior(16), 16))
+    return d.withColumns({"r": c("x") - back("x"), "width": (c("high_ask") - c("low_bid")) / F.nullif(c("x"), F.lit(0))}).withColumn("width_mid", gated(F.percentile("width", 0.5), c("width"), prior(32), 32))
 
 
 def assay_directions() -> dict[str, Column]:
@@ -117,8 +144,8 @@ def assay_directions() -> dict[str, Column]:
     since = lambda n: F.signum((c("x") - F.lag("x", n).over(w)).cast("double")).cast("int")
     up, down = (F.sum(F.greatest(c("r") * k, F.lit(0))).over(w.rowsBetween(-1, 0)) for k in (1, -1))
     strength = F.coalesce(100.0 * up / F.nullif(up + down, F.lit(0)), F.lit(50.0))
-    quiet = c("width_mid") < gated(F.percentile("width_mid", 0.5), c("width_mid"), prior(64), 64)
-    top, bottom = gated(F.max("high_ask"), c("high_ask"), prior(16), 16), gated(F.min("low_bid"), c("low_bid"), prior(16), 16)
+    quiet = c("width_mid") < gated(F.percentile("width_mid", 0.5), c("width_mid"), prior(256), 256)
+    top, bottom = gated(F.max("high_ask"), c("high_ask"), prior(32), 32), gated(F.min("low_bid"), c("low_bid"), prior(32), 32)
     return {
         "volatility_ratio": F.when(ratio >= 1.5, step).when(ratio <= 0.75, -step).otherwise(0),
         "sequence": F.when((step == F.lag(step).over(w)) & (step == F.lag(step, 2).over(w)), step).otherwise(0),

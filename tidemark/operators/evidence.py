@@ -46,15 +46,15 @@ def nearest_match(intents: DataFrame, fills: DataFrame, within_s: float) -> Data
     return both.groupBy("symbol", "week").applyInPandas(run, "symbol string, seq long, fill_seq long, distance_s double")
 
 
-def limit_replay(ticks: DataFrame, below_c: int, stop_c: int, target_c: int, horizon: int, stride: int) -> DataFrame:
-    """(symbol, row, fill_rows, exit_rows, result, pnl_c) of a buy limit below_c under the mid of every stride-th row, for `horizon` rows.
+def limit_replay(ticks: DataFrame, below_c: int, stop_c: int, target_c: int, horizon: int) -> DataFrame:
+    """(symbol, row, fill_rows, exit_rows, result, pnl_c) of a buy limit below_c under the mid of every row, for `horizon` rows.
 
     It fills at the first ask at or under the limit and leaves at the first later bid stop_c under it (at that bid) or target_c over it (at the target).
     result: unfilled, stop, target, or open, which is valued at the last bid. Rows at a series' end have fewer rows ahead.
     """
     s = with_ahead(numbered(ticks).select("symbol", "row", "mid_c", "bid_c", "ask_c"), horizon)
     ahead = Window.partitionBy("symbol", "stretch").orderBy("row").rowsBetween(1, horizon)
-    s = s.withColumn("path", F.collect_list(F.struct("bid_c", "ask_c")).over(ahead)).where(c("own") & (c("row") % stride == 0)).withColumn("limit", c("mid_c") - below_c)
+    s = s.withColumn("path", F.collect_list(F.struct("bid_c", "ask_c")).over(ahead)).where(c("own")).withColumn("limit", c("mid_c") - below_c)
     s = s.withColumn("fill", F.array_position(F.transform("path", lambda q: q["ask_c"] <= c("limit")), True))
     s = s.withColumn("rest", F.when(c("fill") > 0, F.slice("path", (c("fill") + 1).cast("int"), horizon)))
     s = s.withColumn("leave", F.array_position(F.transform("rest", lambda q: (q["bid_c"] <= c("limit") - stop_c) | (q["bid_c"] >= c("limit") + target_c)), True))

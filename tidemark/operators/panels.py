@@ -31,14 +31,14 @@ def tick_states(past: int = 16) -> dict[str, Column]:
     }
 
 
-def state_panel(ticks: DataFrame, horizons: tuple[int, ...] = (4, 16, 64), past: int = 16, stride: int = 4) -> DataFrame:
-    """(symbol, state, horizon, n, mean_abs_c, up_share): moves of the mid over the horizons after each state, at every stride-th row that has `past` steps behind it."""
+def state_panel(ticks: DataFrame, horizons: tuple[int, ...] = (4, 16, 64), past: int = 16) -> DataFrame:
+    """(symbol, state, horizon, n, mean_abs_c, up_share): moves of the mid over the horizons after each state, at every row that has `past` steps behind it."""
     rows = previous(numbered(ticks), ["mid_c"], order=TICK)
     rows = rows.select("symbol", "row", "mid_c", (c("ask_c") - c("bid_c")).alias("spread_c"), (c("mid_c") - c("prev_mid_c")).alias("move_c"))
     s = with_ahead(rows, max(horizons), past)
     states = F.array(*[F.when(on, F.lit(name)) for name, on in tick_states(past).items()])
     ends = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("mid_c", h).over(by_row()).alias("m")) for h in horizons])
-    s = s.withColumns({"states": F.array_compact(states), "ends": ends}).where(c("own") & (c("row") % stride == 0) & (c("row") > past))
+    s = s.withColumns({"states": F.array_compact(states), "ends": ends}).where(c("own") & (c("row") > past))
     s = s.select("symbol", "mid_c", F.explode("states").alias("state"), "ends").select("symbol", "mid_c", "state", F.explode("ends").alias("e")).where("e.m IS NOT NULL")
     move = c("e.m") - c("mid_c")
     return s.groupBy("symbol", "state", c("e.horizon").alias("horizon")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(move)).alias("mean_abs_c"), F.avg((move > 0).cast("double")).alias("up_share"))

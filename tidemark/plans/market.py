@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import along
-from ..functions import clock, inference
+from ..functions import clock, inference, placebo
 from ..functions.indicators import back, c, channel, ema, rolling_ols_z, rolling_quantile, rolling_z, rsi, simple_return, sma, trailing_percentile, true_range
 from ..operators import assays, backtest, ledger, quality, signals
 from ..operators.asof import asof
@@ -294,11 +294,11 @@ def run_lengths(spark, d):
 NUMBERED = ", num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1 AS row FROM ticks)\n"
 
 
-@query(NUMBERED + """, p AS (SELECT symbol, row, mid_c, list(mid_c) OVER (PARTITION BY symbol ORDER BY row ROWS BETWEEN 1 FOLLOWING AND 64 FOLLOWING) AS path FROM num),
-h AS (SELECT *, list_position(list_transform(path, lambda m: abs(m - mid_c) >= 5000), true) AS pos FROM p WHERE row % 10 = 0)
+@query(NUMBERED + """, p AS (SELECT symbol, row, mid_c, list(mid_c) OVER (PARTITION BY symbol ORDER BY row ROWS BETWEEN 1 FOLLOWING AND 4096 FOLLOWING) AS path FROM num),
+h AS (SELECT *, list_position(list_transform(path, lambda m: abs(m - mid_c) >= 30000), true) AS pos FROM p)
 SELECT symbol, row, CASE WHEN pos > 0 THEN pos END AS hit_rows, CASE WHEN pos > 0 THEN sign(path[pos] - mid_c)::INT END AS hit FROM h""")
 def first_passage(spark, d):
-    return assays.first_passage(market.ticks(spark, d), 5000, 64, 10)
+    return assays.first_passage(market.ticks(spark, d), 30000, 4096)
 
 
 @query(NUMBERED + f""", p AS (SELECT symbol, row, sign(mid_c - lag(mid_c, 16) OVER w)::INT AS side, lead(mid_c) OVER w AS entry, lead(ask_c - bid_c) OVER w AS es, {", ".join(f"lead(mid_c, {h + 1}) OVER w AS m{h}, lead(ask_c - bid_c, {h + 1}) OVER w AS s{h}" for h in (1, 4, 16))} FROM num WINDOW w AS (PARTITION BY symbol ORDER BY row)),
@@ -332,9 +332,14 @@ for _family in ("range_expansion", "price_velocity", "range_breakout", "breakout
     impulse_study(_family)
 
 
+#: Round turns: between two neighbouring ends of the running sums of both sides, one lot of either side is at hand.
 FIFO = """, c AS (SELECT *, sum(qty) OVER (PARTITION BY position_key, side ORDER BY ts, seq) AS e FROM fills WHERE qty > 0),
-turns AS (SELECT b.position_key, b.seq AS open_seq, s.seq AS close_seq, (least(b.e, s.e) - greatest(b.e - b.qty, s.e - s.qty))::BIGINT AS qty, b.price_c AS open_price_c, s.price_c AS close_price_c
-  FROM c b JOIN c s ON b.position_key = s.position_key AND b.side = 'buy' AND s.side = 'sell' AND b.e > s.e - s.qty AND s.e > b.e - b.qty)
+b AS (SELECT * FROM c WHERE side = 'buy'), s AS (SELECT * FROM c WHERE side = 'sell'),
+most AS (SELECT position_key, least(max(e) FILTER (side = 'buy'), max(e) FILTER (side = 'sell')) AS most FROM c GROUP BY 1),
+ends AS (SELECT DISTINCT c.position_key, c.e AS p FROM c JOIN most ON c.position_key = most.position_key AND c.e <= most.most),
+steps AS (SELECT *, p - coalesce(lag(p) OVER (PARTITION BY position_key ORDER BY p), 0) AS qty FROM ends),
+opened AS (SELECT steps.*, b.seq AS open_seq, b.price_c AS open_price_c FROM steps ASOF JOIN b ON steps.position_key = b.position_key AND steps.p <= b.e),
+turns AS (SELECT opened.position_key, open_seq, s.seq AS close_seq, opened.qty::BIGINT AS qty, open_price_c, s.price_c AS close_price_c FROM opened ASOF JOIN s ON opened.position_key = s.position_key AND opened.p <= s.e)
 """
 
 
@@ -382,20 +387,28 @@ def bootstrap_of_mean(spark, d):
     return inference.bootstrap_interval(inference.block_bootstrap(sma_run(spark, d), "net", 50, 5, 7))
 
 
-@query(f""", m AS (SELECT *, sign(close - lag(close) OVER w)::INT AS state, lead(close) OVER w > close AS up, row_number() OVER w <= 60 AS train FROM bars {W})
-SELECT symbol, state, count(*) AS n, {six("(count(*) FILTER (up) + 1) / (count(*) + 2)")} AS p_up FROM m WHERE train AND state IS NOT NULL AND up IS NOT NULL GROUP BY ALL""")
+@query(f""", m AS (SELECT *, sign(close - lag(close) OVER w)::INT AS state, lead(close) OVER w > close AS up, row_number() OVER w - 1 < floor(count(*) OVER (PARTITION BY symbol) * 0.6::DOUBLE) AS train FROM bars {W}),
+k AS (SELECT symbol, state, count(*) AS n, (count(*) FILTER (up) + 1) / (count(*) + 2) AS p_up FROM m WHERE train AND state IS NOT NULL AND up IS NOT NULL GROUP BY ALL),
+o AS (SELECT symbol, state, count(*) AS n_after, avg(up::INT) AS up_share_after FROM m WHERE NOT train AND state IS NOT NULL AND up IS NOT NULL GROUP BY ALL)
+SELECT symbol, state, n, {six("p_up")} AS p_up, n_after, {six("up_share_after")} AS up_share_after FROM k FULL JOIN o USING (symbol, state)""")
 def markov_states(spark, d):
-    w = along()
-    b = bars6(spark, d).withColumns({"state": F.signum(c("close") - back("close")).cast("int"), "up": F.lead("close").over(w) > c("close"), "train": F.row_number().over(w) <= 60})
-    return inference.markov(b.where("state IS NOT NULL AND up IS NOT NULL"), "state", "up", "train")
+    """Learned from each symbol's discovery part, and what the bars after it did."""
+    b = backtest.chronological(bars6(spark, d)).withColumns({"state": F.signum(c("close") - back("close")).cast("int"), "up": F.lead("close").over(along()) > c("close"), "train": c("part") == "discovery"})
+    known = b.where("state IS NOT NULL AND up IS NOT NULL")
+    after = known.where(~c("train")).groupBy("symbol", "state").agg(F.count(F.lit(1)).alias("n_after"), F.avg(c("up").cast("double")).alias("up_share_after"))
+    return inference.markov(known, "state", "up", "train").join(after, ["symbol", "state"], "full")
 
 
-@query()
+SKEWED = """, m0 AS (SELECT symbol, count(net) AS n, avg(net) AS m, stddev_samp(net) AS sd, stddev_pop(net) AS sp FROM run GROUP BY symbol), m1 AS (SELECT r.symbol, any_value(n) AS n, any_value(m) / any_value(sd) AS s, avg(pow(net - m, 3)) / pow(any_value(sp), 3) AS g, avg(pow(net - m, 4)) / pow(any_value(sp), 4) AS k FROM run r JOIN m0 ON r.symbol = m0.symbol WHERE net IS NOT NULL AND sd > 0 GROUP BY r.symbol),
+m2 AS (SELECT *, sqrt(greatest(1e-12, 1 - g * s + (k - 1) / 4 * s * s)) AS w FROM m1)
+"""
+
+
+@query(RUN + SKEWED + f""", z AS (SELECT symbol, n, s, s * sqrt(n - 1) / w AS z, (s - {inference.expected_max_sharpe(5, 1.0)!r}::DOUBLE / sqrt(n - 1)) * sqrt(n - 1) / w AS zd FROM m2)
+SELECT symbol, n, {six("s")} AS sharpe, {six(placebo.normal_cdf("z"))} AS psr, {six(placebo.normal_cdf("zd"))} AS dsr FROM z""")
 def sharpe_inference(spark, d):
-    """Probabilistic and deflated Sharpe ratios of each symbol: the moments are one row for each."""
-    rows = inference.moments(sma_run(spark, d)).collect()
-    out = [(r["symbol"], r["n"], sr := r["mean"] / r["sd"], inference.probabilistic_sharpe(sr, r["n"], r["skew"], r["kurt"]), inference.deflated_sharpe(sr, len(rows), r["n"], r["skew"], r["kurt"])) for r in rows if r["sd"]]
-    return spark.createDataFrame(out, "symbol string, n long, sharpe double, psr double, dsr double")
+    """Probabilistic Sharpe ratios, and deflated ones for five trials."""
+    return placebo.sharpe_chances(inference.moments(sma_run(spark, d)), 5).select("symbol", "n", "sharpe", "psr", "dsr")
 
 
 @query("SELECT d::TIMESTAMP + INTERVAL '22 hours' AS start, d::TIMESTAMP + INTERVAL '23 hours' AS \"end\" FROM (SELECT unnest(generate_series(DATE '2024-01-08', DATE '2024-01-18', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) BETWEEN 1 AND 4 UNION ALL SELECT TIMESTAMP '2024-01-12 22:00:00', TIMESTAMP '2024-01-14 23:00:00'")

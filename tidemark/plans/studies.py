@@ -18,17 +18,17 @@ BY_ROW = "WINDOW w AS (PARTITION BY symbol ORDER BY row)"
 @query(NUMBERED + f""", a AS (SELECT symbol, row, mid_c, ask_c - bid_c AS s, mid_c - lag(mid_c) OVER w AS m FROM num {BY_ROW}),
 b AS (SELECT *, lag(m) OVER w AS pm, sum(s) OVER p AS ss, sum(abs(m)) OVER p AS sm, {", ".join(f"lead(mid_c, {h}) OVER w AS m{h}" for h in (4, 16, 64))} FROM a WINDOW w AS (PARTITION BY symbol ORDER BY row), p AS (PARTITION BY symbol ORDER BY row ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING)),
 st AS ({" UNION ALL ".join(f"SELECT *, '{n}' AS state FROM b WHERE {e}" for n, e in (("wide", "s * 16 > ss"), ("tight", "s * 16 < ss"), ("large", "abs(m) * 16 > sm"), ("small", "abs(m) * 16 < sm"), ("run", "m * pm > 0"), ("turn", "m * pm < 0"), ("any", "true")))}),
-u AS ({" UNION ALL ".join(f"SELECT symbol, state, {h} AS horizon, m{h} - mid_c AS move FROM st WHERE row % 4 = 0 AND row > 16 AND m{h} IS NOT NULL" for h in (4, 16, 64))})
+u AS ({" UNION ALL ".join(f"SELECT symbol, state, {h} AS horizon, m{h} - mid_c AS move FROM st WHERE row > 16 AND m{h} IS NOT NULL" for h in (4, 16, 64))})
 SELECT symbol, state, horizon, count(*) AS n, {six("avg(abs(move))")} AS mean_abs_c, {six("avg((move > 0)::INT)")} AS up_share FROM u GROUP BY ALL""")
 def state_panel(spark, d):
     return panels.state_panel(market.ticks(spark, d))
 
 
-@query(NUMBERED + f""", q AS (SELECT *, min(bid_c) OVER near <= bid_c AS buy, max(ask_c) OVER near >= ask_c AS sell, greatest(max(mid_c) OVER far - mid_c, mid_c - min(mid_c) OVER far) AS ex, lead(mid_c, 64) OVER (PARTITION BY symbol ORDER BY row) AS e FROM num
-  WINDOW near AS (PARTITION BY symbol ORDER BY row ROWS BETWEEN 1 FOLLOWING AND 16 FOLLOWING), far AS (PARTITION BY symbol ORDER BY row ROWS BETWEEN 1 FOLLOWING AND 64 FOLLOWING))
+@query(NUMBERED + f""", q AS (SELECT *, min(bid_c) OVER near <= bid_c AS buy, max(ask_c) OVER near >= ask_c AS sell, greatest(max(mid_c) OVER far - mid_c, mid_c - min(mid_c) OVER far) AS ex, lead(mid_c, 256) OVER (PARTITION BY symbol ORDER BY row) AS e FROM num
+  WINDOW near AS (PARTITION BY symbol ORDER BY row ROWS BETWEEN 1 FOLLOWING AND 16 FOLLOWING), far AS (PARTITION BY symbol ORDER BY row ROWS BETWEEN 1 FOLLOWING AND 256 FOLLOWING))
 SELECT symbol, count(*) AS n, {six("avg(buy::INT)")} AS buy_share, {six("avg(sell::INT)")} AS sell_share, {six("avg((buy AND sell)::INT)")} AS both_share, {six("avg(CASE WHEN buy AND sell THEN ask_c - bid_c - 2 ELSE 0 END)")} AS mean_net_c, {six("avg(ex)")} AS mean_excursion_c FROM q WHERE e IS NOT NULL GROUP BY symbol""")
 def two_sided_quotes(spark, d):
-    return panels.two_sided_quotes(market.ticks(spark, d), 16, 64)
+    return panels.two_sided_quotes(market.ticks(spark, d))
 
 
 @query(NUMBERED + f""", q AS (SELECT symbol, (sign(bid_c - lag(bid_c) OVER w)::INT + 1) * 3 + sign(ask_c - lag(ask_c) OVER w)::INT + 1 AS state, lead(mid_c, 5) OVER w - lead(mid_c) OVER w AS move FROM num {BY_ROW})
@@ -62,7 +62,7 @@ ASSAYS = {
     "sequence": ("sign(lag(r) OVER w) AS a, sign(lag(r, 2) OVER w) AS b", "CASE WHEN sign(r) = a AND sign(r) = b THEN sign(r) ELSE 0 END"),
     "alignment": ("sign(x - lag(x, 3) OVER w) AS a, sign(x - lag(x, 12) OVER w) AS b, sign(x - lag(x, 48) OVER w) AS e", "CASE WHEN a = b AND a = e THEN a ELSE 0 END"),
     "short_strength": ("greatest(r, 0) + greatest(lag(r) OVER w, 0) AS a, greatest(-r, 0) + greatest(-lag(r) OVER w, 0) AS b, lag(r) OVER w AS e", "CASE WHEN e IS NULL THEN 0 WHEN coalesce(100.0 * a / nullif(a + b, 0), 50) <= 10 THEN 1 WHEN coalesce(100.0 * a / nullif(a + b, 0), 50) >= 90 THEN -1 ELSE 0 END"),
-    "compression": ("CASE WHEN n > 80 THEN quantile_cont(m, 0.5) OVER (w ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) END AS e, max(high_ask) OVER (w ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS a, min(low_bid) OVER (w ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS b", "CASE WHEN m < e AND x > 2 * a THEN 1 WHEN m < e AND x < 2 * b THEN -1 ELSE 0 END"),
+    "compression": ("CASE WHEN n > 288 THEN quantile_cont(m, 0.5) OVER (w ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING) END AS e, max(high_ask) OVER (w ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING) AS a, min(low_bid) OVER (w ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING) AS b", "CASE WHEN m < e AND x > 2 * a THEN 1 WHEN m < e AND x < 2 * b THEN -1 ELSE 0 END"),
 }
 
 
@@ -70,7 +70,7 @@ def assay_sql(name: str) -> str:
     columns, direction = ASSAYS[name]
     return f""", x AS (SELECT *, close_bid + close_ask AS x, row_number() OVER w AS n, lag(ts) OVER w AS pt FROM quotes {W}),
 r0 AS (SELECT *, x - lag(x) OVER w AS r, (high_ask - low_bid) / nullif(x, 0) AS width FROM x {W}),
-r1 AS (SELECT *, CASE WHEN n > 16 THEN quantile_cont(width, 0.5) OVER (w ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) END AS m, sum(CASE WHEN epoch(ts - pt) > 86400 THEN 1 ELSE 0 END) OVER w AS g FROM r0 {W}),
+r1 AS (SELECT *, CASE WHEN n > 32 THEN quantile_cont(width, 0.5) OVER (w ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING) END AS m, sum(CASE WHEN epoch(ts - pt) > 86400 THEN 1 ELSE 0 END) OVER w AS g FROM r0 {W}),
 z AS (SELECT *, {columns} FROM r1 {W}),
 d AS (SELECT *, {direction} AS direction, lead(open_bid) OVER w AS ib, lead(open_ask) OVER w AS ia, lead(close_bid, 6) OVER w AS ob, lead(close_ask, 6) OVER w AS oa, lead(g, 6) OVER w AS eg FROM z {W}),
 k AS (SELECT *, row_number() OVER w AS k FROM d WHERE direction <> 0 AND eg = g {W}),
@@ -200,13 +200,13 @@ def fixed_unit_trades(spark, d):
 
 
 @query(NUMBERED + """, p AS (SELECT symbol, row, mid_c - 500 AS lim, list({b: bid_c, a: ask_c}) OVER (PARTITION BY symbol ORDER BY row ROWS BETWEEN 1 FOLLOWING AND 32 FOLLOWING) AS path FROM num),
-f AS (SELECT *, coalesce(list_position(list_transform(path, lambda q: q.a <= lim), true), 0) AS fill FROM p WHERE row % 5 = 0),
+f AS (SELECT *, coalesce(list_position(list_transform(path, lambda q: q.a <= lim), true), 0) AS fill FROM p),
 r AS (SELECT *, CASE WHEN fill > 0 THEN path[fill + 1:] END AS rest FROM f), l AS (SELECT *, coalesce(list_position(list_transform(rest, lambda q: q.b <= lim - 1000 OR q.b >= lim + 1000), true), 0) AS x FROM r),
 o AS (SELECT *, CASE WHEN x > 0 THEN rest[x].b END AS bid, CASE WHEN fill > 0 THEN path[len(path)].b END AS last FROM l)
 SELECT symbol, row, CASE WHEN fill > 0 THEN fill END AS fill_rows, CASE WHEN x > 0 THEN x END AS exit_rows, CASE WHEN fill = 0 THEN 'unfilled' WHEN bid <= lim - 1000 THEN 'stop' WHEN bid IS NOT NULL THEN 'target' ELSE 'open' END AS result,
 CASE WHEN fill = 0 THEN 0 WHEN bid <= lim - 1000 THEN bid - lim WHEN bid IS NOT NULL THEN 1000 ELSE last - lim END AS pnl_c FROM o""")
 def limit_orders(spark, d):
-    return evidence.limit_replay(market.ticks(spark, d), 500, 1000, 1000, 32, 5)
+    return evidence.limit_replay(market.ticks(spark, d), 500, 1000, 1000, 32)
 
 
 GATES = {"return": ("total_return", ">=", 0.0), "sharpe": ("sharpe", ">=", 0.5), "drawdown": ("max_drawdown", "<=", 0.2), "trades": ("trades", ">=", 20)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,28 @@ def monthly(series: DataFrame, lag_months: int) -> DataFrame:
     return series.groupBy(F.trunc("ts", "MM").alias("m")).agg(F.max_by("value", "ts").alias("value")).select(F.last_day(F.add_months("m", lag_months)).alias("ts"), "value")
 
 
+def weekly(series: DataFrame, lag_days: int) -> DataFrame:
+    """(ts, value): the last value of each week from Monday, stamped at its Sunday and delayed until it was published."""
+    return series.groupBy(F.trunc("ts", "WEEK").alias("w")).agg(F.max_by("value", "ts").alias("value")).select(F.date_add("w", 6 + lag_days).alias("ts"), "value")
+
+
+def positions_report(spark: SparkSession, path: str, market_code: str, delay_days: int = 3) -> DataFrame:
+    """(ts, value, spec_net, comm_net, spec_share, oi) of a weekly report of traders' positions: rows of one market, known delay_days after their date; value is spec_net.
+
+    Columns: date, code, oi, spec_long, spec_short, comm_long, comm_short. Rows without a date or open interest are dropped; of repeated dates the last stays."""
+    raw = spark.read.csv(path, header=True)
+    number = lambda n: F.expr(f"try_cast(replace(`{n}`, ',', '') AS double)")
+    d = raw.where(F.trim("code") == market_code).select(F.to_date("date").alias("date"), *[number(n).alias(n) for n in ("oi", "spec_long", "spec_short", "comm_long", "comm_short")]).where("date IS NOT NULL AND oi > 0")
+    one = d.groupBy("date").agg(F.max(F.struct("oi", "spec_long", "spec_short", "comm_long", "comm_short")).alias("r")).select("date", "r.*")
+    net = F.col("spec_long") - F.col("spec_short")
+    return one.select(F.date_add("date", delay_days).alias("ts"), net.alias("value"), net.alias("spec_net"), (F.col("comm_long") - F.col("comm_short")).alias("comm_net"), ((F.col("spec_long") + F.col("spec_short")) / F.col("oi")).alias("spec_share"), "oi")
+
+
+def write_bar_csv(bars: DataFrame, path: str) -> None:
+    """Bars as CSV parts with a header, stamps in UTC; read_bar_csv reads them back."""
+    bars.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("open_time"), "open", "high", "low", "close", "volume").write.csv(path, header=True)
+
+
 def merge_chunks(bars: DataFrame) -> DataFrame:
     """Chunks of one series: identical bars count once; stamps with different bars are an error when they are read."""
     prices = F.struct("open", "high", "low", "close")
@@ -85,14 +108,30 @@ def checksum(bars: DataFrame):
     return F.sum(F.xxhash64("symbol", "ts", "open", "high", "low", "close").cast("decimal(38,0)")).cast("string")
 
 
+def purge_version(spark: SparkSession, root: str, timeframe: str, version: str) -> None:
+    """Withdraws a version: a tombstone in the manifest hides it from readers at once. Stored files are never changed under a running reader."""
+    gone = spark.createDataFrame([(timeframe, version)], "timeframe string, version string")
+    gone.coalesce(1).write.mode("append").parquet(f"{root}/purged")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Registered versions that weren't purged."""
+    rows = spark.read.parquet(f"{root}/manifest")
+    try:
+        purged = spark.read.parquet(f"{root}/purged")
+    except AnalysisException:  # nothing was ever purged
+        return rows
+    return rows.join(purged.distinct(), ["timeframe", "version"], "left_anti")
+
+
 def latest_version(spark: SparkSession, root: str, timeframe: str) -> str | None:
-    return spark.read.parquet(f"{root}/manifest").where(F.col("timeframe") == timeframe).agg(F.max_by("version", "created_at")).first()[0]
+    return manifest(spark, root).where(F.col("timeframe") == timeframe).agg(F.max_by("version", "created_at")).first()[0]
 
 
 def usable_versions(spark: SparkSession, root: str) -> DataFrame:
     """Manifest rows whose stored bars are as many as registered."""
     stored = spark.read.parquet(f"{root}/bars").groupBy("timeframe", F.col("version").cast("string").alias("version")).agg(F.count(F.lit(1)).alias("stored"))
-    return spark.read.parquet(f"{root}/manifest").join(stored, ["timeframe", "version"]).where("stored = rows").drop("stored")
+    return manifest(spark, root).join(stored, ["timeframe", "version"]).where("stored = rows").drop("stored")
 
 
 def read_bars(spark: SparkSession, root: str, timeframe: str, version: str, start=None, end=None) -> DataFrame:
