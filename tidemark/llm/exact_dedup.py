@@ -34,12 +34,17 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
     return merged
 
 
+def lane_bits(rows: int | None, lane_rows: int) -> int:
+    """Leading bits of a digest whose lanes hold about lane_rows of so many rows at most."""
+    return min(32, ((rows or 0) // lane_rows).bit_length())
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, lane_rows: int = 200_000) -> DataFrame:
     """Rows (doc_id, keep_id, group_size, kept, text_sha256) of documents, one for each row of docs.
 
-    Each partition makes sorted runs of (SHA-256 of the text with white space collapsed, smallest id), one for each lane: a lane is a range
-    of digests, and their number grows with the rows, so that no merge holds more than about lane_rows. In each round, fan_in
-    neighbouring runs of a lane meet and are merged, until one is left: log(partitions) rounds over digests, never over texts.
+    Each partition makes a sorted run of (SHA-256 of the text with white space collapsed, smallest id). In each round, fan_in neighbouring runs
+    meet and are merged, until one is left: log(partitions) rounds over digests, never over texts. As runs grow they are cut into lanes, ranges of
+    digests: before each merge into fan_in times as many, so that no merge holds more than about lane_rows and their number follows the rows.
 
     Null text counts as empty. Equal ids and repeated rows: every row counts in group_size; all rows with the smallest id are kept. A null id is
     larger than any other: it is kept only where all ids of a group are null. No rows give no rows. Other columns are not read.
@@ -47,27 +52,41 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("t")).select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("check"), F.length("t").cast("long").alias("length"))
     rows = written(rows.withColumn("run", F.spark_partition_id()), "digests")
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.max("run").alias("last")).first()
-    bits = max(0, (stats["n"] // lane_rows).bit_length())
-    lane = F.conv(F.substring("text_sha256", 1, 4), 16, 10).cast("long")
-    lane = F.shiftright(lane, 16 - min(bits, 16))
-
-    def sorted_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries = np.zeros(len(pdf), ENTRY)
-        entries["digest"] = np.frombuffer(bytes.fromhex("".join(pdf["text_sha256"])), "S32")
-        entries["check"], entries["length"], entries["rows"] = pdf["check"], pdf["length"], pdf["n"]
-        entries["id"] = pdf["id"].fillna(NO_ID).astype("int64")
-        return pdf[["lane", "run"]].head(1).assign(entries=[merge_runs([entries]).tobytes()])
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["lane", "run"]].head(1).assign(entries=[merge_runs([np.frombuffer(x, ENTRY) for x in pdf["entries"]]).tobytes()])
-
-    local = rows.groupBy(lane.alias("lane"), "run", "text_sha256", "check", "length").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.count(F.lit(1)).alias("n"))
+    stats = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("run").alias("last")).first()
+    final, bits, step = lane_bits(stats["n"], lane_rows), lane_bits(stats["most"], lane_rows), (fan_in - 1).bit_length()
+
+    def split(run: int, entries: np.ndarray, bits: int) -> pd.DataFrame:
+        """A row for each lane of a sorted run."""
+        lane = entries["digest"].astype("S8").view(">u8").astype(np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(len(entries), np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+        parts = np.split(entries, starts[1:])
+        return pd.DataFrame({"lane": lane[starts].astype(np.int64), "run": run, "entries": [x.tobytes() for x in parts]})
+
+    def sorted_run(next_bits: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            entries = np.zeros(len(pdf), ENTRY)
+            entries["digest"] = np.frombuffer(bytes.fromhex("".join(pdf["text_sha256"])), "S32")
+            entries["check"], entries["length"], entries["rows"] = pdf["check"], pdf["length"], pdf["n"]
+            entries["id"] = pdf["id"].fillna(NO_ID).astype("int64")
+            return split(pdf["run"].iloc[0], merge_runs([entries]), next_bits)
+
+        return run
+
+    def merged(next_bits: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return split(pdf["run"].iloc[0], merge_runs([np.frombuffer(x, ENTRY) for x in pdf["entries"]]), next_bits)
+
+        return run
+
+    local = rows.groupBy("run", "text_sha256", "check", "length").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.count(F.lit(1)).alias("n"))
+    first_lane = F.shiftright(F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long"), 32 - bits)
     schema = "lane long, run int, entries binary"
-    runs = local.groupBy("lane", "run").applyInPandas(sorted_run, schema)
+    bits = min(final, bits + step)
+    runs = local.withColumn("lane", first_lane).groupBy("lane", "run").applyInPandas(sorted_run(bits), schema)
     left = (stats["last"] or 0) + 1
     while left > 1:
-        runs = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("lane", "run").applyInPandas(merged, schema)
+        bits = min(final, bits + step)
+        runs = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("lane", "run").applyInPandas(merged(bits), schema)
         left = -(-left // fan_in)
 
     def unpacked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
