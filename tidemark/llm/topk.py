@@ -17,6 +17,8 @@ BLOCK, QUERIES = 4096, 16_384
 DIMENSIONS = 16
 #: Pivots looked at between two eliminations, and candidates scored between two looks at the next bound.
 CHUNK, STEP = 64, 64
+#: Share of candidates that a chunk of pivots must eliminate for the next to be looked at.
+LEAST_SPARED = 0.01
 #: Largest squared length (of integers) at which double arithmetic gives exact inner products.
 EXACT = 2.0**52
 
@@ -54,7 +56,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     candidates scored). threshold: a score that each query's k-th best reaches.
 
     |d(q, p) - d(c, p)| over pivots p bounds the distance of q and c from below, and so their inner product from above. Pivots are looked at a
-    few at a time, and candidates whose bound is below the threshold leave. The others are scored in the order of their bounds until the next
+    few at a time, until they eliminate few more, and candidates whose bound is below the threshold leave. The others are scored in the order of their bounds until the next
     is below the k-th best score. A millionth of the squares' size covers the rounding of distances to single precision.
     """
     dq, dc = distances(q, pivots), distances(c, pivots)
@@ -67,8 +69,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         ceiling = (nq[i] + nc) * (0.5 + 1e-6) + 1e-3
         for p in range(0, pivots.shape[0], CHUNK):
             low[alive] = np.maximum(low[alive], np.abs(dc[alive, p : p + CHUNK] - dq[i, p : p + CHUNK]).max(1))
-            alive = alive[ceiling[alive] - low[alive].astype(np.float64) ** 2 / 2 >= least]
-            if len(alive) <= STEP:
+            left = alive[ceiling[alive] - low[alive].astype(np.float64) ** 2 / 2 >= least]
+            spared, alive = len(alive) - len(left), left
+            if len(alive) <= STEP or (p and spared < LEAST_SPARED * len(alive)):
                 break
         bound = ceiling[alive] - low[alive].astype(np.float64) ** 2 / 2
         order = np.argsort(-bound, kind="stable")
