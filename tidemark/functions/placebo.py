@@ -138,3 +138,50 @@ def surface(ratios: DataFrame, x: str, keys=("symbol",)) -> DataFrame:
     """(keys, mean, sd, peak, stability) of a rule's ratio over its parameters: stable if the peak lies less than two deviations over the mean."""
     s = ratios.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.max(x).alias("peak"))
     return s.withColumn("stability", F.when(c("peak") - c("mean") < 2 * c("sd"), "stable").otherwise("isolated"))
+
+
+def shuffled_labels(trades: DataFrame, draws: int, seed: int, keys=("symbol",)) -> DataFrame:
+    """(keys, label, n, observed, p) of trades (keys, row, net, label): the share of draws in which a label, dealt out anew over the same trades, nets no less."""
+    slots = trades.select(*keys, "label", F.row_number().over(Window.partitionBy(*keys).orderBy("label", "row")).alias("slot"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(ticket(seed, "draw", "row"), "row"))
+    dealt = drawn(trades.drop("label"), draws).withColumn("slot", rank).join(slots, [*keys, "slot"])
+    seen = trades.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("observed"))
+    sums = dealt.groupBy(*keys, "label", "draw").agg(F.sum("net").alias("_net")).join(seen, [*keys, "label"])
+    better = F.round("_net", 9) >= F.round("observed", 9)
+    return sums.groupBy(*keys, "label", "n", "observed").agg(F.avg(better.cast("double")).alias("p"))
+
+
+def shuffled_order(trades: DataFrame, draws: int, seed: int, keys=("symbol",)) -> DataFrame:
+    """(keys, observed, p) of trades (keys, row, net): the deepest fall of their running sum, and the share of random orders with one as deep."""
+    d = drawn(trades, draws + 1).withColumn("_o", F.when(c("draw") == 0, c("row").cast("long")).otherwise(ticket(seed, "draw", "row")))
+    w = Window.partitionBy(*keys, "draw").orderBy("_o", "row").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_c", F.sum("net").over(w)).withColumn("_down", F.greatest(F.lit(0.0), F.max("_c").over(w)) - c("_c"))
+    deepest = d.groupBy(*keys, "draw").agg(F.round(F.max("_down"), 12).alias("d"))
+    seen = deepest.where("draw = 0").select(*keys, c("d").alias("observed"))
+    return deepest.where("draw > 0").join(seen, list(keys)).groupBy(*keys, "observed").agg(F.avg((c("d") >= c("observed")).cast("double")).alias("p"))
+
+
+def random_choice(values: DataFrame, variants: list[str], draws: int, seed: int, keys=("symbol",)) -> DataFrame:
+    """(keys, best, best_net, expected, q05, q95): the best single variant (ties to the smaller name), and the nets of choosing one at random at every row."""
+    nets = values.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in variants])
+    ranked = F.array_min(F.array(*[F.struct((-F.round(v, 12)).alias("m"), F.lit(v).alias("v"), c(v).alias("net")) for v in variants]))
+    total = sum((c(v) for v in variants[1:]), c(variants[0]))
+    seen = nets.withColumn("_b", ranked).select(*keys, c("_b.v").alias("best"), c("_b.net").alias("best_net"), (total / len(variants)).alias("expected"))
+    pick = F.get(F.array(*[c(v) for v in variants]), (ticket(seed, "draw", "row") % len(variants)).cast("int"))
+    sums = drawn(values.select(*keys, "row", *variants), draws).groupBy(*keys, "draw").agg(F.sum(pick).alias("_net"))
+    q = sums.groupBy(*keys).agg(F.percentile("_net", 0.05).alias("q05"), F.percentile("_net", 0.95).alias("q95"))
+    return seen.join(q, list(keys))
+
+
+def ledger_gate(trades: DataFrame, extra_cost: float, least_t: float, keys=("symbol",)) -> DataFrame:
+    """(keys, trades, days, net, stressed_net, win_rate, profit_factor, day_t, passed) of trades (keys, ts, gross, cost): passed if the net is positive with extra_cost more for each trade, and the mean of trading days is least_t errors above zero."""
+    t = trades.withColumns({"_net": c("gross") - c("cost"), "_day": F.to_date("ts")})
+    days = t.groupBy(*keys, "_day").agg(F.sum("_net").alias("_d")).groupBy(*keys).agg(F.count(F.lit(1)).alias("days"), (F.avg("_d") / F.nullif(F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1))), F.lit(0.0))).alias("day_t"))
+    won, lost = F.sum(F.greatest(c("_net"), F.lit(0.0))), -F.sum(F.least(c("_net"), F.lit(0.0)))
+    s = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.sum("_net").alias("net"), F.sum(c("_net") - extra_cost).alias("stressed_net"), F.avg((c("_net") > 0).cast("double")).alias("win_rate"), (won / F.nullif(lost, F.lit(0.0))).alias("profit_factor"))
+    return s.join(days, list(keys)).withColumn("passed", F.coalesce((c("stressed_net") > 0) & (c("day_t") >= least_t), F.lit(False)))
+
+
+def interaction(neither: Column, first: Column, second: Column, both: Column) -> Column:
+    """What two changes do together beyond the sum of each alone."""
+    return both - first - second + neither

@@ -182,7 +182,12 @@ def detectors(k: float = 2.0, lookback: int = 20) -> dict[str, Column]:
     top, bottom = gated(F.max("high"), c("high"), prior(lookback), lookback), gated(F.min("low"), c("low"), prior(lookback), lookback)
     breakout = F.when(c("close") > top, 1).when(c("close") < bottom, -1).otherwise(0)
     expansion = F.when(c("high") - c("low") > k * usual, side).otherwise(0)
+    # volatility of 6 returns against that of the 18 before them
+    recent = gated(F.stddev_pop("return1"), c("return1"), along().rowsBetween(-5, 0), 6)
+    before = gated(F.stddev_pop("return1"), c("return1"), along().rowsBetween(-23, -6), 18)
+    drift = F.signum(c("close") - back("close", 6)).cast("int")
     return {
+        "vol_expansion": F.when((before > 0) & (recent > k * before), drift).otherwise(0),
         "range_expansion": expansion,
         "price_velocity": F.when(F.abs(move) > k * spread, F.signum(move).cast("int")).otherwise(0),
         "range_breakout": breakout,
@@ -192,7 +197,7 @@ def detectors(k: float = 2.0, lookback: int = 20) -> dict[str, Column]:
 
 def impulse_events(bars: DataFrame, family: str, suppress: int = 12, **parameters) -> DataFrame:
     """(symbol, ts, direction) of a detector's events; bars within `suppress` bars after an event are none."""
-    d = bars.withColumn("move3", c("close") - back("close", 3)).withColumn("direction", detectors(**parameters)[family])
+    d = bars.withColumns({"move3": c("close") - back("close", 3), "return1": c("close") / F.nullif(back("close"), F.lit(0.0)) - 1}).withColumn("direction", detectors(**parameters)[family])
     return greedy(d.withColumn("shown", c("direction") != 0), "shown", suppress).select("symbol", "ts", "direction")
 
 

@@ -195,3 +195,37 @@ def routed(rows: DataFrame, lookback: int, least: int) -> DataFrame:
     return fit.groupBy("symbol", "row").agg(F.min(F.struct((-c("_mean")).alias("m"), "variant"))["variant"].alias("variant"))
 
 
+
+
+def bar_features(bars: DataFrame, lags: tuple[int, ...], spans: tuple[int, ...]) -> DataFrame:
+    """(symbol, ts, return_<lag>, activity_<span>, spread_bps) of quote bars: log moves of the mid, means of absolute one-bar moves, and the mean spread. Bars whose features aren't all known are left out."""
+    m = bars.withColumn("m", (c("close_bid") + c("close_ask")) / 2.0)
+    m = m.withColumn("r", F.abs(F.log(c("m") / back("m"))))
+    moves = {f"return_{k}": F.log(c("m") / back("m", k)) for k in lags}
+    activity = {f"activity_{k}": gated(F.avg("r"), c("r"), trailing(k), k) for k in spans}
+    f = m.withColumns(moves | activity | {"spread_bps": c("mean_spread") / c("m") * 1e4})
+    return f.select("symbol", "ts", *moves, *activity, "spread_bps").na.drop()
+
+
+def session_day(start: int) -> Column:
+    """The day on which the session that starts in the evening, at `start`, ends."""
+    return F.date_add(F.to_date("ts"), (F.hour("ts") >= start).cast("int"))
+
+
+def session_returns(bars: DataFrame, start: int, end: int, longest_s: float) -> DataFrame:
+    """(symbol, day, session_return): compound return of steps whose both ends lie in the hours [start, end), over midnight if start > end, without gaps over longest_s seconds; 0 for a day without one."""
+    h = F.hour("ts")
+    inside = (h >= start) & (h < end) if start <= end else (h >= start) | (h < end)
+    b = bars.withColumns({"_in": inside, "_r": simple_return(), "_gap": F.unix_micros(c("ts").cast("timestamp")) / 1e6 - F.unix_micros(back("ts").cast("timestamp")) / 1e6})
+    net = F.when(c("_in") & F.coalesce(back("_in"), F.lit(False)) & (c("_gap") <= longest_s), F.coalesce(c("_r"), F.lit(0.0))).otherwise(0.0)
+    day = session_day(start) if start > end else F.to_date("ts")
+    return b.select("symbol", day.alias("day"), net.alias("_net")).groupBy("symbol", "day").agg((F.product(1 + c("_net")) - 1).alias("session_return"))
+
+
+def with_overnight_move(bars: DataFrame, start: int, end: int) -> DataFrame:
+    """bars with move: the return from the first to the last bar of the night that ended on the bar's day, null unless it has bars of both evening and morning."""
+    h = F.hour("ts")
+    night = bars.where((h >= start) | (h < end)).select("symbol", "ts", "close", session_day(start).alias("_day"), (h >= start).alias("_evening"))
+    whole = night.groupBy("symbol", "_day").agg((F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("move"), F.count_if("_evening").alias("_e"), F.count_if(~c("_evening")).alias("_m"))
+    known = whole.where("_e > 0 AND _m > 0").select("symbol", "_day", "move")
+    return bars.withColumn("_day", F.to_date("ts")).join(known, ["symbol", "_day"], "left").drop("_day")

@@ -319,16 +319,42 @@ def bar_assay_reversal(spark, d):
     return assays.outcomes(assays.bar_samples(quote_bars(market.ticks(spark, d)), assays.reversal_direction(), 6, 86400))
 
 
+#: Direction of each impulse family over bars with the levels of IMPULSE.
+FAMILIES = {
+    "range_expansion": "CASE WHEN high - low > 1.2 * usual THEN side ELSE 0 END",
+    "price_velocity": "CASE WHEN abs(move) > 1.2 * spread THEN sign(move) ELSE 0 END",
+    "range_breakout": "CASE WHEN close > top THEN 1 WHEN close < bottom THEN -1 ELSE 0 END",
+    "breakout_with_expansion": "CASE WHEN high - low > 1.2 * usual AND (close > top AND side = 1 OR close < bottom AND side = -1) THEN side ELSE 0 END",
+    "vol_expansion": "CASE WHEN older > 0 AND recent > 1.2 * older THEN sign(close - lag(close, 6) OVER w) ELSE 0 END",
+}
+PRIOR = "(w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+IMPULSE = f""", i0 AS (SELECT *, row_number() OVER w AS n, close - lag(close, 3) OVER w AS move, close / nullif(lag(close) OVER w, 0) - 1 AS r, CASE WHEN close >= open THEN 1 ELSE -1 END AS side FROM bars {W}),
+i1 AS (SELECT *, CASE WHEN n > 20 THEN quantile_cont(high - low, 0.5) OVER {PRIOR} END AS usual, CASE WHEN n > 20 THEN max(high) OVER {PRIOR} END AS top, CASE WHEN n > 20 THEN min(low) OVER {PRIOR} END AS bottom,
+  CASE WHEN n > 26 THEN stddev_pop(move) OVER (w ROWS BETWEEN 23 PRECEDING AND 4 PRECEDING) END AS spread, CASE WHEN n > 6 THEN stddev_pop(r) OVER (w ROWS 5 PRECEDING) END AS recent, CASE WHEN n > 24 THEN stddev_pop(r) OVER (w ROWS BETWEEN 23 PRECEDING AND 6 PRECEDING) END AS older,
+  list({{h: high, l: low, c: close}}) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS path FROM i0 {W}),
+"""
+
+
+def impulse_sql(direction: str) -> str:
+    way = lambda x: f"direction * (x.{x} / entry - 1) * 1e4"
+    return IMPULSE + f"""d AS (SELECT *, ({direction})::INT AS direction FROM i1 {W}), e AS (SELECT *, close AS entry, row_number() OVER w AS k FROM d WHERE direction <> 0 {W}),
+f AS (SELECT symbol, k, n AS last, true AS taken FROM e WHERE k = 1 UNION ALL SELECT e.symbol, e.k, CASE WHEN e.n > f.last + 4 THEN e.n ELSE f.last END, e.n > f.last + 4 FROM f JOIN e ON e.symbol = f.symbol AND e.k = f.k + 1),
+p AS (SELECT e.symbol, e.ts, direction, entry, coalesce(len(path), 0) AS m, list_transform(path, lambda x: greatest({way("h")}, {way("l")})) AS good, list_transform(path, lambda x: least({way("h")}, {way("l")})) AS bad, path[len(path)].c AS c FROM e JOIN f ON e.symbol = f.symbol AND e.k = f.k AND taken),
+h AS (SELECT *, coalesce(list_position(list_transform(good, lambda x: x >= 5000), true), 0) AS hit, coalesce(list_position(list_transform(bad, lambda x: x <= -5000), true), 0) AS stop FROM p)
+SELECT symbol, ts, direction, CASE WHEN m < 4 THEN 'excluded' WHEN stop > 0 AND (hit = 0 OR stop <= hit) THEN 'stop' WHEN hit > 0 THEN 'target' ELSE 'time' END AS result,
+{six("CASE WHEN m = 4 THEN list_max(good) END")} AS mfe_bps, {six("CASE WHEN m = 4 THEN list_min(bad) END")} AS mae_bps, {six("CASE WHEN m = 4 THEN direction * (c / entry - 1) * 1e4 END")} AS return_bps FROM h"""
+
+
 def impulse_study(family: str):
     def run(spark, d):
         b = bars6(spark, d)
         return assays.measure_paths(b, assays.impulse_events(b, family, 4, k=1.2), 4, 5000, 5000)
 
     run.__name__ = f"impulse_{family}"
-    return query()(run)
+    return query(impulse_sql(FAMILIES[family]))(run)
 
 
-for _family in ("range_expansion", "price_velocity", "range_breakout", "breakout_with_expansion"):
+for _family in FAMILIES:
     impulse_study(_family)
 
 

@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..frames import along, gated, trailing
-from ..functions import clock, inference, placebo, selection
+from ..frames import along
+from ..functions import clock, placebo
 from ..functions.indicators import back, c, exponential, simple_return, sma, true_range
-from ..operators import backtest, checks, drivers, signals
+from ..operators import checks, drivers, signals
 from ..operators.asof import asof, asof_forward
-from ..operators.resample import quote_bars, resample
+from ..operators.resample import quote_bars
 from ..sources import market
-from .market import CLOSES, RUN, W, YEAR, _closes, _scratch, bars6, query, six, sma_run
+from .market import CLOSES, RUN, W, _closes, _scratch, bars6, query, six, sma_run
 from .studies import NETS, cross_nets
 
 #: Bars with two drivers: x, the ticks of a bar, and y, its range.
@@ -42,6 +42,10 @@ def z(x: str, n: int) -> str:
     return f"(CASE WHEN count({x}) {frame} = {n} THEN ({x} - avg({x}) {frame}) / nullif(stddev_samp({x}) {frame}, 0) END)"
 
 
+def product_of(x: str) -> str:
+    return f"CASE WHEN count(*) FILTER (1 + {x} = 0) > 0 THEN 0 ELSE exp(sum(ln(nullif(abs(1 + {x}), 0)))) * CASE WHEN count(*) FILTER (1 + {x} < 0) % 2 = 1 THEN -1 ELSE 1 END END"
+
+
 TREND = f"sign({growth('close', 12)})::INT"
 
 
@@ -309,3 +313,68 @@ def csv_series(spark, d):
     path = f"{_scratch(spark)}/series-{uuid.uuid4().hex}"
     market.daily_series(spark, d).select(c("ts").alias("date"), F.floor("value").alias("level")).write.csv(path, header=True)
     return market.read_series_csv(spark, path, "date", "level", positive=True)
+
+
+LAGS, SPANS = (1, 3, 5, 15, 60), (5, 15, 60)
+
+
+@query(f""", m AS (SELECT symbol, ts, (close_bid + close_ask) / 2.0 AS m, mean_spread, row_number() OVER w AS n FROM quotes {W}), r AS (SELECT *, abs(ln(m / lag(m) OVER w)) AS r FROM m {W}),
+f AS (SELECT symbol, ts, n, {", ".join(f"ln(m / lag(m, {k}) OVER w) AS return_{k}" for k in LAGS)}, {", ".join(f"CASE WHEN count(r) OVER (w ROWS {k - 1} PRECEDING) = {k} THEN avg(r) OVER (w ROWS {k - 1} PRECEDING) END AS activity_{k}" for k in SPANS)}, mean_spread / m * 1e4 AS spread_bps FROM r {W})
+SELECT symbol, ts, {", ".join(f"{six(f'return_{k}')} AS return_{k}" for k in LAGS)}, {", ".join(f"{six(f'activity_{k}')} AS activity_{k}" for k in SPANS)}, {six("spread_bps")} AS spread_bps FROM f WHERE return_60 IS NOT NULL AND activity_60 IS NOT NULL""")
+def bar_features(spark, d):
+    return drivers.bar_features(quote_bars(market.ticks(spark, d)), LAGS, SPANS)
+
+
+@query(f""", g AS (SELECT symbol, ts, close, hour(ts) >= 18 OR hour(ts) < 12 AS inside, epoch(ts - lag(ts) OVER w) AS gap, close / nullif(lag(close) OVER w, 0) - 1 AS r, (ts + CASE WHEN hour(ts) >= 18 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)::DATE AS day FROM bars {W}),
+e AS (SELECT *, CASE WHEN inside AND lag(inside) OVER w AND gap <= 32400 THEN r ELSE 0 END AS net FROM g {W}) SELECT symbol, day, {six(product_of("net") + " - 1")} AS session_return FROM e GROUP BY symbol, day""")
+def session_returns(spark, d):
+    """What bars from 18:00 to 12:00 earn inside each session, named by the day it ends."""
+    return drivers.session_returns(bars6(spark, d), 18, 12, 32400)
+
+
+@query(""", n AS (SELECT symbol, ts, close, hour(ts) >= 18 AS evening, hour(ts) < 12 AS morning, (ts + CASE WHEN hour(ts) >= 18 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)::DATE AS day FROM bars WHERE hour(ts) >= 18 OR hour(ts) < 12),
+m AS (SELECT symbol, day, arg_max(close, ts) / arg_min(close, ts) - 1 AS move FROM n GROUP BY ALL HAVING bool_or(evening) AND bool_or(morning))
+SELECT b.symbol, b.ts, CASE WHEN hour(b.ts) = 12 THEN coalesce(-sign(move)::INT, 0) ELSE 0 END AS reversal, CASE WHEN hour(b.ts) = 12 THEN coalesce(sign(move)::INT, 0) ELSE 0 END AS momentum FROM bars b LEFT JOIN m ON b.symbol = m.symbol AND b.ts::DATE = m.day""")
+def overnight_positions(spark, d):
+    """At 12:00, against and with the completed move of the night before."""
+    b = drivers.with_overnight_move(bars6(spark, d), 18, 12)
+    inside = signals.in_hours(12, 18)
+    side = F.coalesce(signals.sign(c("move")), F.lit(0))
+    return b.select("symbol", "ts", F.when(inside, -side).otherwise(0).alias("reversal"), F.when(inside, side).otherwise(0).alias("momentum"))
+
+
+@query(SIDES + f""", t1 AS (SELECT symbol, ts::DATE AS day, gross - cost - 0.0001 AS stressed, gross - cost AS net FROM e), dd AS (SELECT symbol, day, sum(net) AS net FROM t1 GROUP BY ALL), a AS (SELECT symbol, count(*) AS days, avg(net) / nullif(stddev_samp(net) / sqrt(count(*)), 0) AS t FROM dd GROUP BY symbol)
+SELECT t1.symbol, count(*) AS trades, any_value(days) AS days, {six("sum(net)")} AS net, {six("sum(stressed)")} AS stressed_net, {six("avg((net > 0)::INT)")} AS win_rate, {six("sum(greatest(net, 0)) / nullif(-sum(least(net, 0)), 0)")} AS profit_factor, {six("any_value(t)")} AS day_t, coalesce(sum(stressed) > 0 AND any_value(t) >= 2, false) AS passed FROM t1 JOIN a ON t1.symbol = a.symbol GROUP BY t1.symbol""")
+def ledger_gate(spark, d):
+    return placebo.ledger_gate(held_trades(spark, d).where("side != 0 AND gross IS NOT NULL"), 0.0001, 2.0)
+
+
+@query(WIDE + f""", u AS (SELECT symbol, row, unnest(['fast', 'middle', 'slow']) AS variant, unnest([fast, middle, slow]) AS net FROM vals), s AS (SELECT symbol, variant, sum(net) AS net FROM u GROUP BY ALL), b AS (SELECT symbol, arg_min(variant, (-round(net, 12), variant)) AS best, max(net) AS best_net, sum(net) / 3 AS expected FROM s GROUP BY symbol),
+dr AS (SELECT symbol, row, fast, middle, slow, unnest(range(0, 50)) AS draw FROM vals), m AS (SELECT symbol, draw, sum(CASE {DRAW.format(seed=13, row="row")} % 3 WHEN 0 THEN fast WHEN 1 THEN middle ELSE slow END) AS net FROM dr GROUP BY ALL)
+SELECT b.symbol, any_value(best) AS best, {six("any_value(best_net)")} AS best_net, {six("any_value(expected)")} AS expected, {six("quantile_cont(net, 0.05)")} AS q05, {six("quantile_cont(net, 0.95)")} AS q95 FROM m JOIN b ON m.symbol = b.symbol GROUP BY b.symbol""")
+def random_choice(spark, d):
+    return placebo.random_choice(wide_nets(spark, d), ["fast", "middle", "slow"], 50, 13)
+
+
+@query(SIDES + f""", t1 AS (SELECT symbol, row, gross - cost AS net, CASE WHEN row % 7 < 3 THEN 'a' ELSE 'b' END AS label FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY label, row) AS slot FROM t1), dr AS (SELECT t1.*, unnest(range(0, 30)) AS draw FROM t1),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol, draw ORDER BY {DRAW.format(seed=17, row="row")}, row) AS slot FROM dr), m AS (SELECT k.symbol, k.draw, o.label, sum(k.net) AS net FROM k JOIN o ON k.symbol = o.symbol AND k.slot = o.slot GROUP BY ALL), s AS (SELECT symbol, label, count(*) AS n, sum(net) AS observed FROM t1 GROUP BY ALL)
+SELECT s.symbol, s.label, any_value(n) AS n, {six("any_value(observed)")} AS observed, {six("avg((round(net, 9) >= round(observed, 9))::INT)")} AS p FROM m JOIN s ON m.symbol = s.symbol AND m.label = s.label GROUP BY ALL""")
+def label_placebo(spark, d):
+    t = held_trades(spark, d).where("side != 0 AND gross IS NOT NULL")
+    t = t.select("symbol", "row", (c("gross") - c("cost")).alias("net"), F.when(c("row") % 7 < 3, "a").otherwise("b").alias("label"))
+    return placebo.shuffled_labels(t, 30, 17)
+
+
+@query(SIDES + f""", t1 AS (SELECT symbol, row, gross - cost AS net FROM e), dr AS (SELECT t1.*, unnest(range(0, 31)) AS draw FROM t1), k AS (SELECT *, CASE WHEN draw = 0 THEN row ELSE {DRAW.format(seed=19, row="row")} END AS o FROM dr),
+c AS (SELECT symbol, draw, row, o, sum(net) OVER (PARTITION BY symbol, draw ORDER BY o, row) AS c FROM k), dd AS (SELECT symbol, draw, greatest(0, max(c) OVER (PARTITION BY symbol, draw ORDER BY o, row)) - c AS dd FROM c), x AS (SELECT symbol, draw, round(max(dd), 12) AS d FROM dd GROUP BY ALL)
+SELECT a.symbol, {six("any_value(a.d)")} AS observed, {six("avg((x.d >= a.d)::INT)")} AS p FROM x JOIN x a ON a.symbol = x.symbol AND a.draw = 0 AND x.draw > 0 GROUP BY a.symbol""")
+def order_placebo(spark, d):
+    t = held_trades(spark, d).where("side != 0 AND gross IS NOT NULL")
+    return placebo.shuffled_order(t.select("symbol", "row", (c("gross") - c("cost")).alias("net")), 30, 19)
+
+
+@query(WIDE + f", s AS (SELECT symbol, sum(fast) AS f, sum(middle) AS m, sum(slow) AS s FROM vals GROUP BY symbol) SELECT symbol, {six('s - f - m + 0')} AS interaction FROM s")
+def factorial_interaction(spark, d):
+    """Of the slow rule as both changes, fast and middle as one each, against no position."""
+    s = wide_nets(spark, d).groupBy("symbol").agg(F.sum("fast").alias("f"), F.sum("middle").alias("m"), F.sum("slow").alias("s"))
+    return s.select("symbol", placebo.interaction(F.lit(0.0), c("f"), c("m"), c("s")).alias("interaction"))
