@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.frames import carried_last, islands
-from tidemark.functions import inference, selection
-from tidemark.operators import assays, backtest, engine, evidence, ledger, panels, quality, signals
+from tidemark.frames import along, carried_last, islands
+from tidemark.functions import clock, inference, placebo, selection
+from tidemark.operators import assays, backtest, checks, engine, evidence, ledger, panels, quality, signals
 from tidemark.operators.asof import asof
 from tidemark.operators.resample import ticks_to_bars
 from tidemark.sources import market
+from tidemark.streaming import observe
 
 SF = "/root/testdata/sf0.001"
 
@@ -274,3 +275,55 @@ def test_short_rsi_rule_leaves_after_most_bars(spark):
     b = bars(spark, [10, 20, 30, 40, 39, 38, 37, 36]).withColumn("v", F.when(F.col("close") == 39, 1.0).otherwise(50.0))
     got = [r.position for r in signals.short_rsi_rule(b, "v", 5, 3, 2, 2).orderBy("ts").collect()]
     assert got == [0, 0, 0, 0, 1, 1, 0, 0]
+
+
+def test_batches_are_appended_once_and_in_order(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("x", t + dt.timedelta(hours=i), i, 7, 100 + i) for i in range(4)]
+    batch = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, session long, mid_c long")
+    assert observe.append_new(batch.where("seq < 3"), str(tmp_path / "log")) == 3
+    assert observe.append_new(batch.union(batch), str(tmp_path / "log")) == 1
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    known = spark.createDataFrame([("x", t + dt.timedelta(hours=2))], "symbol string, last timestamp")
+    assert observe.in_order(batch.where("seq > 1"), known).count() == 2
+    with pytest.raises(Exception, match="late tick"):
+        observe.in_order(batch, known).collect()
+
+
+def test_outcomes_of_attempts(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t, 5, 4, 6), (2, None, 5, 4, 6), (3, t - dt.timedelta(seconds=90), 5, 4, 6), (4, t + dt.timedelta(seconds=9), 5, 4, 6), (5, t, 0, 4, 6), (6, t, 5, 6, 4), (7, t, 5, 5, 5)]
+    d = spark.createDataFrame(rows, "k int, ts timestamp, mid_c long, bid_c long, ask_c long")
+    got = [r[0] for r in d.orderBy("k").select(observe.outcome(t.replace(tzinfo=dt.timezone.utc).timestamp(), 60, True)).collect()]
+    assert got == ["accepted", "no_stamp", "stale", "future", "bad_price", "crossed", "locked"]
+
+
+def test_timeframes_and_trader_reports(spark, tmp_path):
+    assert clock.periods_per_year("15m") == 24_192 and clock.periods_per_year("D1") == 252
+    with pytest.raises(ValueError, match="unknown"):
+        clock.periods_per_year("7x")
+    (tmp_path / "r.csv").write_text("date,code,oi,spec_long,spec_short,comm_long,comm_short\n2024-01-02, 88 ,\"1,000\",300,100,200,500\n2024-01-02,88,1000,300,100,200,500\n2024-01-09,88,0,1,1,1,1\n2024-01-09,77,9,1,1,1,1\n")
+    got = market.positions_report(spark, str(tmp_path / "r.csv"), "88").collect()
+    assert [(str(r["ts"]), r["value"], r["comm_net"], r["spec_share"]) for r in got] == [("2024-01-05", 200.0, -300.0, 0.4)]
+
+
+def test_look_ahead_is_found(spark):
+    b = bars(spark, [1, 2, 4, 3, 5, 4, 6, 8, 7, 9])
+    ahead = checks.truncation(b, lambda d: d.withColumn("p", F.lead("close").over(along())), "p", [4, 8]).collect()
+    assert [(r["checked"], r["differing"]) for r in ahead] == [(4, 1), (8, 1)]
+
+
+def test_normal_distribution_function(spark):
+    from statistics import NormalDist
+
+    x = [-38.0, -7.5, -7.0, -2.5, -0.1, 0.0, 0.3, 1.96, 6.9, 8.0]
+    d = spark.createDataFrame([(v,) for v in x], "x double").select("x", F.expr(placebo.normal_cdf("x")).alias("p")).collect()
+    assert [r["p"] for r in d] == pytest.approx([NormalDist().cdf(v) for v in x], rel=1e-9, abs=1e-15)
+
+
+def test_stretches_of_average_cost(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, i, t + dt.timedelta(days=i), side, q, p) for i, (side, q, p) in enumerate([("buy", 2, 10), ("sell", 2, 30), ("sell", 1, 50), ("buy", 3, 40), ("sell", 2, 45)])]
+    f = spark.createDataFrame(rows, "position_key long, seq long, ts timestamp, side string, qty long, price_c long")
+    got = [(r["seq"], r["net_qty"], r["avg_price_c"], r["realized_c"]) for r in ledger.average_cost(f).orderBy("seq").collect()]
+    assert got == [(0, 2, 10.0, 0.0), (1, 0, None, 40.0), (2, -1, 50.0, 0.0), (3, 2, 40.0, 10.0), (4, 0, None, 10.0)]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import along, gap_prefix, islands, previous, prior
+from ..frames import along, gap_prefix, previous, prior
 from ..functions.indicators import back, c, gated
 from .signals import greedy
 
@@ -38,9 +38,18 @@ def mutual_information(joint: DataFrame) -> DataFrame:
 def run_histogram(ticks: DataFrame) -> DataFrame:
     """(symbol, direction, length, runs) of completed runs of mid moves of one sign; the last run of a symbol stays open and is not counted."""
     p = previous(ticks, ["mid_c"], order=TICK).where("prev_mid_c IS NOT NULL").withColumn("direction", F.signum((c("mid_c") - c("prev_mid_c")).cast("double")).cast("int"))
-    i = islands(p, "direction", order=TICK).groupBy("symbol", "island", "direction").agg(F.count(F.lit(1)).alias("length"))
-    done = i.withColumn("last", F.max("island").over(Window.partitionBy("symbol"))).where("island < last")
-    return done.groupBy("symbol", "direction", "length").agg(F.count(F.lit(1)).alias("runs"))
+    i = day_islands(p.select("symbol", *TICK, "direction"), "direction").groupBy("symbol", "island", "direction").agg(F.count(F.lit(1)).alias("length"))
+    last = i.groupBy("symbol").agg(F.max("island").alias("last"))
+    return i.join(last, "symbol").where("island < last").groupBy("symbol", "direction", "length").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def day_islands(rows: DataFrame, value: str) -> DataFrame:
+    """rows with island, the number of the run of equal values that they belong to, from 1. Windows go over days; a table of one row for each day carries the count on."""
+    p = previous(rows, [value], order=TICK).withColumns({"_day": F.to_date("ts"), "_new": (~c(value).eqNullSafe(c(f"prev_{value}"))).cast("int")})
+    days = p.groupBy("symbol", "_day").agg(F.sum("_new").alias("_n"))
+    days = days.select("symbol", "_day", F.coalesce(F.sum("_n").over(Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("_new").over(Window.partitionBy("symbol", "_day").orderBy(*TICK).rowsBetween(Window.unboundedPreceding, 0))
+    return p.join(days, ["symbol", "_day"]).withColumn("island", c("_before") + inside).drop("_day", "_new", "_before", f"prev_{value}")
 
 
 def numbered(ticks: DataFrame) -> DataFrame:

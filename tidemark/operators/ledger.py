@@ -27,7 +27,13 @@ def fifo(fills: DataFrame) -> DataFrame:
 
 
 def average_cost(fills: DataFrame) -> DataFrame:
-    """(position_key, seq, net_qty, avg_price_c, realized_c) after each fill: same side averages the price in, the other side realises against it, and a flip opens at the fill's price."""
+    """(position_key, seq, net_qty, avg_price_c, realized_c) after each fill: same side averages the price in, the other side realises against it, and a flip opens at the fill's price.
+
+    A position that was flat starts anew, so its stretches between flat points are folded apart. Fills of no quantity are left out."""
+    signed = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
+    w = Window.partitionBy("position_key").orderBy("ts", "seq")
+    net = fills.where("qty > 0").withColumn("_net", F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = net.withColumn("_stretch", F.count(F.when(F.col("_net") == 0, 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, net, avg, out = pdf.sort_values(["ts", "seq"]), 0, 0.0, []
@@ -43,7 +49,7 @@ def average_cost(fills: DataFrame) -> DataFrame:
             out.append((seq, net, avg if net else None, realized))
         return pd.DataFrame(out, columns=["seq", "net_qty", "avg_price_c", "realized_c"]).assign(position_key=pdf["position_key"].iloc[0])
 
-    return fills.groupBy("position_key").applyInPandas(run, "seq long, net_qty long, avg_price_c double, realized_c double, position_key long")
+    return stretches.groupBy("position_key", "_stretch").applyInPandas(run, "seq long, net_qty long, avg_price_c double, realized_c double, position_key long")
 
 
 def cost_components(turns: DataFrame, components: dict[str, float]) -> DataFrame:

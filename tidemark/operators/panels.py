@@ -85,8 +85,12 @@ def gap_histogram(ticks: DataFrame, edges_s: list[float]) -> DataFrame:
     return p.groupBy("symbol", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_ranges(rows: DataFrame, key: str, number: str) -> DataFrame:
-    """(key, first_missing, last_missing, n): ranges of numbers that a key's sequence skips; repeated numbers count once."""
-    w = Window.partitionBy(key).orderBy(number)
-    d = rows.where(F.col(number).isNotNull()).select(key, number).distinct().withColumn("_before", F.lag(number).over(w))
-    return d.where(F.col(number) > F.col("_before") + 1).select(key, (F.col("_before") + 1).alias("first_missing"), (F.col(number) - 1).alias("last_missing"), (F.col(number) - F.col("_before") - 1).alias("n"))
+def missing_ranges(rows: DataFrame, key: str, number: str, stretch: int = 100_000) -> DataFrame:
+    """(key, first_missing, last_missing, n): ranges of numbers that a key's sequence skips; repeated numbers count once.
+
+    Windows go over stretches of numbers; a table of one row for each stretch carries the number before it."""
+    d = rows.where(F.col(number).isNotNull()).select(key, F.col(number).alias("_n")).distinct().withColumn("_s", F.floor(F.col("_n") / stretch))
+    tops = d.groupBy(key, "_s").agg(F.max("_n").alias("_top")).withColumn("_carry", F.lag("_top").over(Window.partitionBy(key).orderBy("_s"))).drop("_top")
+    before = F.coalesce(F.lag("_n").over(Window.partitionBy(key, "_s").orderBy("_n")), F.col("_carry"))
+    d = d.join(tops, [key, "_s"]).withColumn("_before", before).where(F.col("_n") > F.col("_before") + 1)
+    return d.select(key, (F.col("_before") + 1).alias("first_missing"), (F.col("_n") - 1).alias("last_missing"), (F.col("_n") - F.col("_before") - 1).alias("n"))

@@ -385,7 +385,11 @@ def cost_breakdown(spark, d):
     return ledger.cost_components(ledger.fifo(market.fills(spark, d)), {"spread": 1.5, "commission": 0.5, "slippage": 0.25})
 
 
-@query()
+@query(f""", o AS (SELECT *, row_number() OVER (PARTITION BY position_key ORDER BY ts, seq) AS n, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS q FROM fills WHERE qty > 0),
+f AS (SELECT position_key, seq, n, q AS net, price_c::DOUBLE AS a, 0::DOUBLE AS realized FROM o WHERE n = 1 UNION ALL
+  SELECT o.position_key, o.seq, o.n, f.net + o.q, CASE WHEN f.net * o.q >= 0 THEN (abs(f.net) * f.a + abs(o.q) * o.price_c) / (abs(f.net) + abs(o.q)) WHEN abs(o.q) > abs(f.net) THEN o.price_c ELSE f.a END,
+  CASE WHEN f.net * o.q >= 0 THEN 0 ELSE least(abs(f.net), abs(o.q)) * (o.price_c - f.a) * sign(f.net) END FROM f JOIN o ON o.position_key = f.position_key AND o.n = f.n + 1)
+SELECT position_key, seq, net::BIGINT AS net_qty, {six("CASE WHEN net <> 0 THEN a END")} AS avg_price_c, {six("realized")} AS realized_c FROM f""")
 def average_cost_positions(spark, d):
     return ledger.average_cost(market.fills(spark, d))
 
@@ -454,6 +458,11 @@ def streamed_ema(spark, d):
     return observe.run_available(observe.exponential_stream(observe.tick_stream(spark, d), 0.1), _scratch(spark), f"ema-{uuid.uuid4().hex}")
 
 
+@query("SELECT symbol, count(*) AS n, sum(mid_c)::BIGINT AS sum_c, min(mid_c) AS low_c, max(mid_c) AS high_c FROM ticks GROUP BY symbol")
+def streamed_totals(spark, d):
+    return observe.run_available(observe.running_totals(observe.tick_stream(spark, d)), _scratch(spark), f"totals-{uuid.uuid4().hex}")
+
+
 def _scratch(spark: SparkSession) -> str:
     """The shared folder of the cluster; only a local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,24 +29,58 @@ def first_of_key(ticks: DataFrame, keys: list[str], late: str = "10 minutes") ->
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def outcome(now_s, stale_after_s: float = 60):
-    """The one outcome of an attempt: no stamp, a stamp from the future, a stale one, a price that isn't positive, or accepted."""
+def outcome(now_s, stale_after_s: float = 60, quoted: bool = False):
+    """The one outcome of an attempt: no stamp, a stamp from the future, a stale one, a price that isn't positive, and if quoted (bid_c, ask_c are columns) crossed or locked ones; else accepted."""
+    crossed, locked = (F.col("bid_c") > F.col("ask_c"), F.col("bid_c") == F.col("ask_c")) if quoted else (F.lit(False), F.lit(False))
     age = F.lit(now_s) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return F.when(F.col("ts").isNull(), "no_stamp").when(age < 0, "future").when(age > stale_after_s, "stale").when(~(F.col("mid_c") > 0), "bad_price").otherwise("accepted")
+    return F.when(F.col("ts").isNull(), "no_stamp").when(age < 0, "future").when(age > stale_after_s, "stale").when(~(F.col("mid_c") > 0), "bad_price").when(crossed, "crossed").when(locked, "locked").otherwise("accepted")
+
+
+def in_order(ticks: DataFrame, known: DataFrame) -> DataFrame:
+    """ticks of a batch, refused by an error when they are read if one is older than the last known stamp of its symbol (symbol, last): a series is append-only. Unknown symbols pass."""
+    both = ticks.join(known.withColumnRenamed("last", "_last"), "symbol", "left")
+    late = F.raise_error(F.concat(F.lit("late tick at "), F.col("ts").cast("string")))
+    return both.where(F.when(F.col("ts") < F.col("_last"), late.cast("boolean")).otherwise(F.lit(True))).drop("_last")
+
+
+def append_new(ticks: DataFrame, path: str) -> int:
+    """Appends those of a batch whose key (session, seq) isn't stored yet, once each, and returns how many were new: a batch that is sent twice changes nothing."""
+    spark = ticks.sparkSession
+    new = ticks.dropDuplicates(["session", "seq"])
+    try:
+        new = new.join(spark.read.parquet(path).select("session", "seq"), ["session", "seq"], "left_anti")
+    except AnalysisException:  # nothing was stored yet
+        pass
+    n = new.count()
+    new.write.mode("append").parquet(path)
+    return n
+
+
+def running_totals(ticks: DataFrame) -> DataFrame:
+    """(symbol, n, sum_c, low_c, high_c) so far: state of five numbers for each symbol, whatever the length of the series; a row for each symbol of a batch."""
+
+    def step(key: tuple, parts, state: GroupState):
+        n, total, low, high = state.get if state.exists else (0, 0, None, None)
+        for p in parts:
+            x = p["mid_c"]
+            n, total = n + len(x), total + int(x.sum())
+            low, high = min(int(x.min()), int(x.max()) if low is None else low), max(int(x.max()), int(x.min()) if high is None else high)
+        state.update((n, total, low, high))
+        yield pd.DataFrame({"symbol": [key[0]], "n": [n], "sum_c": [total], "low_c": [low], "high_c": [high]})
+
+    schema = "n long, sum_c long, low_c long, high_c long"
+    return ticks.groupBy("symbol").applyInPandasWithState(step, f"symbol string, {schema}", schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def exponential_stream(ticks: DataFrame, alpha: float) -> DataFrame:
     """(symbol, seq, ema) with the mean in state across batches; a batch's ticks count in the order of (ts, seq)."""
 
     def step(key: tuple, parts, state: GroupState):
-        e = state.get[0] if state.exists else None
-        pdf = pd.concat(list(parts)).sort_values(["ts", "seq"])
-        out = []
-        for x in pdf["mid_c"]:
-            e = float(x) if e is None else alpha * x + (1 - alpha) * e
-            out.append(e)
-        state.update((e,))
-        yield pd.DataFrame({"symbol": key[0], "seq": pdf["seq"].to_numpy(), "ema": out})
+        first = [state.get[0]] if state.exists else []
+        pdf = pd.concat([p[["ts", "seq", "mid_c"]] for p in parts]).sort_values(["ts", "seq"])
+        ema = pd.Series(np.concatenate([first, pdf["mid_c"].to_numpy(float)])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(first) :]
+        state.update((float(ema[-1]),))
+        yield pd.DataFrame({"symbol": key[0], "seq": pdf["seq"].to_numpy(), "ema": ema})
 
     return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, ema double", "ema double", "append", GroupStateTimeout.NoTimeout)
 
