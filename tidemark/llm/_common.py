@@ -34,7 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() stored. Only for tables on which nothing depends any more that isn't itself written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -85,12 +95,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Every round is written to the shared folder, so lineage stays short; nothing but a count reaches the driver.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{name}-labels")
+    stored = labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{name}-labels")
     while True:
         least = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(least, "node").select("node", F.least("component", "m").alias("next"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("beyond"))
         after = written(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("component"), "was"), f"{name}-labels")
+        discard(stored)
         if no_rows(after.where("component != was")):
+            discard(both)
             return after.select("node", "component")
-        labels = after.select("node", "component")
+        stored, labels = after, after.select("node", "component")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import computed, document_key, read, unclashed, written
+from ._common import computed, discard, document_key, read, unclashed, written
 
 #: Lines of a run that always counts as repeated, and words from which a run of fewer lines does.
 MIN_RUN, MIN_WORDS = 3, 50
@@ -61,7 +61,9 @@ def later_runs(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WOR
     extended = placed.join(shared, "fingerprint").select("fingerprint", "k1", "k2", F.explode(windows).alias("w")).select("fingerprint", "k1", "k2", "w.*")
     first = extended.groupBy("fingerprint", "n", "v").agg(F.min(F.struct("k1", "k2", "start")).alias("first"), F.max(F.struct("k1", "k2", "start")).alias("last")).where("first < last").drop("last")
     later = extended.join(first, ["fingerprint", "n", "v"]).where(F.struct("k1", "k2", "start") > F.col("first"))
-    return later.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    runs = written(later.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("runs")), "line-runs")
+    discard(placed)
+    return runs
 
 
 def line_dedup(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, document_key, read, written
+from ._common import components, discard, document_key, read, written
 from ._words import binaries, grams, mix, owners, ragged, released, text_chunks, word_hashes
 
 #: Columns that come first in `common` go last in every row's order. Only speed depends on their choice, so a bounded number will do.
@@ -292,13 +292,17 @@ def large_columns(shared: DataFrame, a: int, b: int) -> DataFrame:
 
 
 def shared_columns(postings: DataFrame) -> DataFrame:
-    """The distinct rows (gram, c, n) of postings whose gram two classes hold. Crowded columns are found by a broadcast, if they are few, so none is dealt out as one."""
+    """The distinct rows (gram, c, n) of postings whose gram two classes hold, written. Crowded columns are found by a broadcast, if they are few, so none is dealt out as one."""
     several = written(postings.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high").select("gram", "rows"), "ngram-several")
     crowded = several.where(F.col("rows") > CROWDED).select("gram")
-    if not 0 < crowded.count() <= BROADCAST_ROWS:
-        return postings.join(several.select("gram"), "gram").distinct()
-    rest = postings.join(several.where(F.col("rows") <= CROWDED).select("gram"), "gram").distinct()
-    return rest.union(postings.join(F.broadcast(crowded), "gram").distinct())
+    if 0 < crowded.count() <= BROADCAST_ROWS:
+        rest = postings.join(several.where(F.col("rows") <= CROWDED).select("gram"), "gram").distinct()
+        shared = rest.union(postings.join(F.broadcast(crowded), "gram").distinct())
+    else:
+        shared = postings.join(several.select("gram"), "gram").distinct()
+    shared = written(shared, "ngram-columns")
+    discard(several)
+    return shared
 
 
 def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -321,13 +325,15 @@ def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -
     node = F.when(F.col("k1") < 2**63 - 1, F.col("k1")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned("c", 2))
     classes = first.select("c", "d", "f.*").withColumn("node", node)
     postings = written(source.select("text").mapInArrow(_prefixes(n, a, b, common), "gram long, c long, n int"), "ngram-prefixes")
-    shared = written(shared_columns(postings), "ngram-columns")
+    shared = shared_columns(postings)
+    discard(postings)
     large = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SMALL).select("gram")
     large = written(shared.join(large, "gram"), "ngram-large")
     small = shared.join(large.select("gram").distinct(), "gram", "left_anti")
     # columns and pairs go by the first hash of a class; whole sets then tell classes that share it apart
     same = classes.groupBy("c").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("c", F.col("c").alias("c_y"))
     pairs = written(small_columns(small, a, b).union(large_columns(large, a, b)).union(same).distinct(), "ngram-pairs")
+    discard(shared)
 
     used = pairs.select("c").union(pairs.select("c_y")).union(large.select("c")).distinct()
     wanted = written(classes.join(used, "c").select("k1", "k2"), "ngram-wanted")
@@ -340,6 +346,7 @@ def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -
     right = sets.select(F.col("c").alias("c_y"), F.col("node").alias("node_y"), F.col("grams").alias("grams_y"))
     full = pairs.join(left, "c").join(right, "c_y").where("node_x != node_y").select("node_x", "node_y", "grams_x", "grams_y")
     edges = written(full.mapInArrow(_overlaps(a, b), "a long, b long").distinct(), "ngram-edges")
+    discard(pairs, wanted)
     found = components(edges, "ngram-stars")
 
     label = sets.join(found, "node", "left").groupBy("c", "d").agg(F.min(F.coalesce("component", "node")).alias("component"))
@@ -353,6 +360,7 @@ def links(docs: DataFrame, n: int, a: int, b: int, id_col: str, text_col: str) -
         content = sets.groupBy("c", "d").agg(F.first("grams").alias("grams"))
         more = blocks(open_.join(some, ["hub", "c", "d"], "left_semi").join(content, ["c", "d"])).applyInPandas(_product(a, b), "a long, b long")
         found = components(written(edges.union(more), "ngram-edges"), "ngram-links")
+    discard(open_, large, sets)
     return rows, classes.join(found, "node", "left").select("c", "d", F.coalesce("component", "node").alias("component"))
 
 

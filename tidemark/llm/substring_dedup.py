@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE, WORD, document_key, read, unclashed, written
+from ._common import SPACE, WORD, discard, document_key, read, unclashed, written
 from ._words import grams, released, text_chunks, word_hashes
 
 WINDOW = 35
@@ -234,6 +234,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: st
     hits = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_match(window), "key binary, hits array<int>")
     places = cut.where("segment is null").select("k1", "k2", "start", "key")
     starts = written(places.join(hits, "key").groupBy("k1", "k2").agg(F.collect_set(F.transform("hits", lambda h: h + F.col("start"))).alias("starts")), "repeated-starts")
+    discard(runs, count, cut)
     return source.join(starts, ["k1", "k2"]).select("k1", "k2", "text", "starts").mapInPandas(_cut(window), "k1 long, k2 long, n_removed long, kept_text string").dropDuplicates(["k1", "k2"])
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import read, written
+from ._common import discard, read, written
 
 #: Pivots of each dimension count, and rows (those of the smallest id hashes) that they are chosen among and that give each query its first threshold.
 PIVOTS, SAMPLE = 1024, 8192
@@ -129,11 +129,13 @@ def topk_inner_product(vectors: DataFrame, queries: Column, k: int = 10, scale:
 
     candidates = blocked(rows, blocks, "topk-blocks")
     asked = blocked(rows.where("q"), rounds, "topk-queries").withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
+    discard(rows)
     found = None
     for r in range(rounds):
         pairs = candidates.drop("block").join(F.broadcast(asked.where(F.col("block") == r).drop("block")), "dim")
         part = written(pairs.mapInPandas(search, "query_id long, vec_id long, score long"), "topk-found")
         found = part if found is None else found.union(part)
+    discard(candidates)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

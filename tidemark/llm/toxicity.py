@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read, written
+from ._common import discard, read, written
 from ._words import owners, released, text_chunks, word_hashes
 
 #: Labelled rows that the model is fitted on, those of the smallest id hashes. They bound the words of the lexicon, and so what is broadcast.
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = counted.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = float(sums["t"] or 0), float(sums["c"] or 0)
     if not t or not c:
+        discard(known)
         return Model(np.zeros(0, np.uint64), np.zeros(0), weight=0.0, offset=-10.0 if not t else 10.0)
     n = F.col("toxic") + F.col("clean")
     in_toxic, in_clean = F.col("toxic") + PRIOR * n * t / (t + c), F.col("clean") + PRIOR * n * c / (t + c)
@@ -199,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(label[at : at + len(sizes)].astype(np.int32)), pa.array(np.array(x, np.int32))], names=["toxic", "bin"])
 
     bins = known.mapInArrow(binned, "toxic int, bin int").groupBy("bin").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).toPandas()
+    discard(known)
     model.weight, model.offset = fit_logistic(bins["bin"].to_numpy(float) / 2, bins["t"].to_numpy(float), bins["c"].to_numpy(float))
     return model
 
