@@ -327,3 +327,23 @@ def test_stretches_of_average_cost(spark):
     f = spark.createDataFrame(rows, "position_key long, seq long, ts timestamp, side string, qty long, price_c long")
     got = [(r["seq"], r["net_qty"], r["avg_price_c"], r["realized_c"]) for r in ledger.average_cost(f).orderBy("seq").collect()]
     assert got == [(0, 2, 10.0, 0.0), (1, 0, None, 40.0), (2, -1, 50.0, 0.0), (3, 2, 40.0, 10.0), (4, 0, None, 10.0)]
+
+
+def test_readers_of_outside_formats(spark, tmp_path):
+    (tmp_path / "panel" / "gold").mkdir(parents=True)
+    (tmp_path / "panel" / "gold" / "goldm15.csv").write_text("Date,open,high,low,close,tick_volume\n2024-01-02 01:00:00,1,2,0.5,1.5,7\n2024-01-02 01:00:00,1,2,0.5,1.5,7\n2024-02-02 01:00:00,1,2,0.5,1.5,7\n")
+    got = market.read_panel(spark, str(tmp_path / "panel"), 900, "2024-01-31").collect()
+    assert [(r["symbol"], r["close"], r["volume"]) for r in got] == [("gold", 1.5, 7.0)]
+    (tmp_path / "v.csv").write_text("Some index\nDATE,OPEN,CLOSE\n01/03/2024,1,13.5\n01/04/2024,1,14\n")
+    (tmp_path / "w.csv").write_text("DATE,CLOSE\n2024-01-03,20\n2024-01-05,-1\n")
+    v = market.read_level_history(spark, str(tmp_path / "v.csv"))
+    assert sorted((str(r["ts"]), r["value"]) for r in v.collect()) == [("2024-01-03", 13.5), ("2024-01-04", 14.0)]
+    with pytest.raises(Exception, match="bad level"):
+        market.read_level_history(spark, str(tmp_path / "w.csv")).collect()
+    both = market.paired(v, v.withColumn("value", F.col("value") + 1).where("value < 15"), ("near", "far")).collect()
+    assert [(r["near"], r["far"]) for r in both] == [(13.5, 14.5)]
+    (tmp_path / "u.csv").write_text("DATE,UNRATE\n1999-11-01,4.1\n1999-12-01,4.0\n2000-01-01,oops\n")
+    u = market.read_monthly_levels(spark, str(tmp_path / "u.csv"), "UNRATE", "2000-01-01").collect()
+    assert sorted((str(r["ts"]), r["value"]) for r in u) == [("1999-11-30", 4.1), ("1999-12-31", 4.0)]
+    bars(spark, [1, 2]).select(F.col("ts").alias("stamp"), "open", "high", "low", "close", F.col("volume").alias("ticks")).write.parquet(str(tmp_path / "p"))
+    assert market.read_bar_parquet(spark, str(tmp_path / "p"), "g", "stamp").count() == 2

@@ -76,3 +76,17 @@ def trade_summary(turns: DataFrame, cost_bps: float) -> DataFrame:
     cost = F.col("qty") * (F.col("open_price_c") + F.col("close_price_c")) * cost_bps / 1e4
     t = turns.withColumns({"gross_c": gross.cast("double"), "net_c": gross - cost})
     return t.groupBy("position_key").agg(F.count(F.lit(1)).alias("trades"), F.avg((F.col("net_c") > 0).cast("double")).alias("win_rate"), F.sum("gross_c").alias("gross_c"), F.sum("net_c").alias("net_c"), (F.sum(F.greatest("net_c", F.lit(0.0))) / F.nullif(-F.sum(F.least("net_c", F.lit(0.0))), F.lit(0.0))).alias("profit_factor"))
+
+
+def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
+    """(position_key, net_qty, avg_price_c, price_c, unrealized_c): the last row of each position of average_cost(), with its stamp ts, valued at prices (position_key, price_c). Flat positions, and those without a price, have no value."""
+    last = positions.groupBy("position_key").agg(F.max_by(F.struct("net_qty", "avg_price_c"), F.struct("ts", "seq")).alias("p")).select("position_key", "p.*")
+    return last.join(prices, "position_key", "left").withColumn("unrealized_c", F.col("net_qty") * (F.col("price_c") - F.col("avg_price_c")))
+
+
+def quote_costs(samples: DataFrame, keys=("symbol",)) -> DataFrame:
+    """(keys, n, move_bps, cost_bps, net_bps) of samples (keys, direction, entry_mid, pnl_long, pnl_short): both sides' results share their quotes, so half their sum is the spread paid, and what is earned is the mid's move less that."""
+    cost = F.greatest(F.lit(0.0), -(F.col("pnl_long") + F.col("pnl_short")) / 2)
+    net = F.when(F.col("direction") > 0, F.col("pnl_long")).otherwise(F.col("pnl_short"))
+    bps = lambda x: F.avg(x / F.col("entry_mid") * 1e4)
+    return samples.where("direction != 0 AND entry_mid > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), bps(net + cost).alias("move_bps"), bps(cost).alias("cost_bps"), bps(net).alias("net_bps"))

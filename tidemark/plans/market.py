@@ -385,15 +385,37 @@ def cost_breakdown(spark, d):
     return ledger.cost_components(ledger.fifo(market.fills(spark, d)), {"spread": 1.5, "commission": 0.5, "slippage": 0.25})
 
 
-@query(f""", o AS (SELECT *, row_number() OVER (PARTITION BY position_key ORDER BY ts, seq) AS n, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS q FROM fills WHERE qty > 0),
+AVERAGE = """, o AS (SELECT *, row_number() OVER (PARTITION BY position_key ORDER BY ts, seq) AS n, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS q FROM fills WHERE qty > 0),
 f AS (SELECT position_key, seq, n, q AS net, price_c::DOUBLE AS a, 0::DOUBLE AS realized FROM o WHERE n = 1 UNION ALL
   SELECT o.position_key, o.seq, o.n, f.net + o.q, CASE WHEN f.net * o.q >= 0 THEN (abs(f.net) * f.a + abs(o.q) * o.price_c) / (abs(f.net) + abs(o.q)) WHEN abs(o.q) > abs(f.net) THEN o.price_c ELSE f.a END,
   CASE WHEN f.net * o.q >= 0 THEN 0 ELSE least(abs(f.net), abs(o.q)) * (o.price_c - f.a) * sign(f.net) END FROM f JOIN o ON o.position_key = f.position_key AND o.n = f.n + 1)
-SELECT position_key, seq, net::BIGINT AS net_qty, {six("CASE WHEN net <> 0 THEN a END")} AS avg_price_c, {six("realized")} AS realized_c FROM f""")
+"""
+
+
+@query(AVERAGE + f"""SELECT position_key, seq, net::BIGINT AS net_qty, {six("CASE WHEN net <> 0 THEN a END")} AS avg_price_c, {six("realized")} AS realized_c FROM f""")
 def average_cost_positions(spark, d):
     return ledger.average_cost(market.fills(spark, d))
 
 
+@query(AVERAGE + f""", l AS (SELECT position_key, arg_max(price_c, (ts, seq)) AS price_c FROM fills GROUP BY position_key), e AS (SELECT position_key, arg_max(net, n)::BIGINT AS net_qty, arg_max(a, n) AS a FROM f GROUP BY position_key)
+SELECT position_key, net_qty, {six("CASE WHEN net_qty <> 0 THEN a END")} AS avg_price_c, price_c, {six("CASE WHEN net_qty <> 0 THEN net_qty * (price_c - a) END")} AS unrealized_c FROM e JOIN l USING (position_key)""")
+def marked_positions(spark, d):
+    f = market.fills(spark, d)
+    held = ledger.average_cost(f).join(f.select("position_key", "seq", "ts"), ["position_key", "seq"])
+    return ledger.mark_to_market(held, f.groupBy("position_key").agg(F.max_by("price_c", F.struct("ts", "seq")).alias("price_c")))
+
+
+@query(f""", q AS (SELECT symbol, sign(close_bid + close_ask - lag(close_bid + close_ask) OVER w)::INT AS direction, lead(open_bid) OVER w AS ib, lead(open_ask) OVER w AS ia, lead(close_bid, 6) OVER w AS ob, lead(close_ask, 6) OVER w AS oa FROM quotes {W}),
+s AS (SELECT symbol, direction, (ib + ia) / 2.0 AS m, (ob - ia)::DOUBLE AS l, (ib - oa)::DOUBLE AS h FROM q WHERE direction <> 0 AND oa IS NOT NULL), z AS (SELECT *, greatest(0, -(l + h) / 2) AS cost, CASE WHEN direction > 0 THEN l ELSE h END AS net FROM s)
+SELECT symbol, count(*) AS n, {six("avg((net + cost) / m * 1e4)")} AS move_bps, {six("avg(cost / m * 1e4)")} AS cost_bps, {six("avg(net / m * 1e4)")} AS net_bps FROM z GROUP BY symbol""")
+def quote_costs(spark, d):
+    w = along()
+    q = quote_bars(market.ticks(spark, d))
+    mid = c("close_bid") + c("close_ask")
+    q = q.withColumns({"direction": F.signum((mid - F.lag(mid).over(w)).cast("double")).cast("int"), "ib": F.lead("open_bid").over(w), "ia": F.lead("open_ask").over(w), "ob": F.lead("close_bid", 6).over(w), "oa": F.lead("close_ask", 6).over(w)}).where("oa IS NOT NULL")
+    return ledger.quote_costs(q.select("symbol", "direction", ((c("ib") + c("ia")) / 2.0).alias("entry_mid"), (c("ob") - c("ia")).cast("double").alias("pnl_long"), (c("ib") - c("oa")).cast("double").alias("pnl_short")))
+
+
 @query(""", a AS (SELECT l_orderkey AS k, count(*) AS n, max(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS n, max(l_quantity) AS v FROM lineitem WHERE l_linenumber BETWEEN 2 AND 2 OR l_linenumber = 7 GROUP BY 1)
 SELECT CASE WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' WHEN b.n IS NULL THEN 'left_only' WHEN a.n IS NULL THEN 'right_only' WHEN abs(a.v - b.v) > 5 THEN 'changed' ELSE 'matched' END AS status, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def paired_reconciliation(spark, d):

@@ -274,6 +274,11 @@ def matched_intents(spark, d):
     return evidence.nearest_match(t.where("seq % 2 = 1"), t.where("seq % 2 = 0"), 600)
 
 
-@query()
+@query(f""", m AS (SELECT *, row_number() OVER w AS n, close - lag(close) OVER w AS m, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN avg(close) OVER (w ROWS 19 PRECEDING) END AS slow, CASE WHEN count(*) OVER (w ROWS 4 PRECEDING) = 5 THEN avg(close) OVER (w ROWS 4 PRECEDING) END AS fast FROM bars {W}),
+g AS (SELECT symbol, n, greatest(m, 0) AS g, greatest(-m, 0) AS l FROM m WHERE n = 2 UNION ALL SELECT m.symbol, m.n, 0.5 * greatest(m.m, 0) + 0.5 * g.g, 0.5 * greatest(-m.m, 0) + 0.5 * g.l FROM g JOIN m ON m.symbol = g.symbol AND m.n = g.n + 1),
+r AS (SELECT m.*, CASE WHEN m.n >= 3 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS rsi FROM m LEFT JOIN g ON m.symbol = g.symbol AND m.n = g.n),
+k AS (SELECT symbol, ts, n, CASE WHEN rsi < 15 AND close > slow THEN 1 WHEN rsi > 85 AND close < slow THEN 2 ELSE 0 END AS way, CASE WHEN close > fast THEN 1 WHEN close < fast THEN -1 ELSE 0 END AS side FROM r),
+f AS (SELECT symbol, ts, n, CASE way WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS s FROM k WHERE n = 1 UNION ALL SELECT k.symbol, k.ts, k.n, CASE WHEN f.s = 0 THEN CASE way WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END WHEN abs(f.s) >= 5 OR side = sign(f.s) THEN 0 ELSE f.s + sign(f.s)::INT END FROM f JOIN k ON k.symbol = f.symbol AND k.n = f.n + 1)
+SELECT symbol, ts, sign(s)::INT AS position FROM f""")
 def short_rsi_positions(spark, d):
     return signals.short_rsi_rule(rsi(bars6(spark, d), 2, "rsi2", 100.0), "rsi2", 15, 20, 5, 5).select("symbol", "ts", "position")

@@ -34,23 +34,69 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_bar_csv(spark: SparkSession, path: str, symbol: str, cadence_s: int, sep: str = ",", stamp_format: str | None = None, price_scale: float = 1.0) -> DataFrame:
-    """Bars of CSV files: the stamp is open_time, time or timestamp; a missing close_time is the stamp and the cadence; missing volume is 1000.
+    """Bars of CSV files: the stamp is open_time, time, timestamp or date; volume may be tick_volume, and is 1000 if missing; a missing close_time is the stamp and the cadence.
 
     Stamps without zone are the session's. Rows without a stamp or price are refused by FAILFAST; an empty file gives no rows.
     """
     raw = spark.read.csv(path, header=True, sep=sep, mode="FAILFAST", encoding="UTF-8")
     raw = raw.toDF(*[c.strip().lstrip("﻿").lower() for c in raw.columns])
-    named = [c for c in ("open_time", "time", "timestamp") if c in raw.columns]
+    named = [c for c in ("open_time", "time", "timestamp", "date") if c in raw.columns]
     if not named:
-        raise ValueError(f"no column open_time, time or timestamp in {path}")
+        raise ValueError(f"no column open_time, time, timestamp or date in {path}")
     ts = F.coalesce(*[F.to_timestamp(c, stamp_format) if stamp_format else F.to_timestamp(c) for c in named])
     price = {c: F.col(c).cast("double") * price_scale for c in ("open", "high", "low", "close")}
     end = F.to_timestamp("close_time") if "close_time" in raw.columns else F.lit(None).cast("timestamp")
-    volume = F.col("volume").cast("double") if "volume" in raw.columns else F.lit(None).cast("double")
+    counted = [F.col(c).cast("double") for c in ("volume", "tick_volume") if c in raw.columns]
+    volume = F.coalesce(*counted) if counted else F.lit(None).cast("double")
     bars = raw.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), *[c.alias(k) for k, c in price.items()], F.coalesce(volume, F.lit(1000.0)).alias("volume"), F.coalesce(end, F.timestamp_seconds(F.unix_seconds(ts) + cadence_s)).alias("close_time"))
     return no_nan(bars)
 
 
+def read_panel(spark: SparkSession, root: str, cadence_s: int, end: str | None = None, suffix: str = "m15.csv") -> DataFrame:
+    """Bars of many instruments, root/<name>/<name>m15.csv each, up to and with `end`; stamps are the server's. Of bars with one stamp one stays, the smallest."""
+    bars = read_bar_csv(spark, f"{root}/*/*{suffix}", "", cadence_s).withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
+    bars = bars if end is None else bars.where(F.col("ts") <= F.lit(end).cast("timestamp"))
+    one = bars.groupBy("symbol", "ts").agg(F.min(F.struct("open", "high", "low", "close", "volume")).alias("b"))
+    return one.select("symbol", "ts", "b.*")
+
+
+def read_bar_parquet(spark: SparkSession, path: str, symbol: str, stamp_col: str, volume_col: str = "ticks") -> DataFrame:
+    """Bars of Parquet parts whose stamps are UTC without zone."""
+    raw = spark.read.parquet(path)
+    prices = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")]
+    return no_nan(raw.select(F.lit(symbol).alias("symbol"), F.col(stamp_col).cast("timestamp_ntz").alias("ts"), *prices, F.col(volume_col).cast("double").alias("volume")))
+
+
+def refused(condition: Column, value: Column, what: str, stamp: Column) -> Column:
+    """The value, or an error that names the row when it is read."""
+    return F.when(condition, F.raise_error(F.concat(F.lit(f"{what} at "), F.coalesce(stamp.cast("string"), F.lit("a row without a date")))).cast("double")).otherwise(value)
+
+
+def read_level_history(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, value) of an index's history with lines of text before its header DATE,...,CLOSE (last column). Rows without a date, or with a close that isn't positive, and repeated dates are errors."""
+    lines = spark.read.text(path).select(F.split(F.ltrim("value"), ",").alias("f")).where(F.size("f") > 1)
+    rows = lines.where(F.upper(F.trim(F.col("f")[0])) != "DATE")
+    ts = F.coalesce(F.expr("try_to_timestamp(trim(f[0]), 'MM/dd/yyyy')"), F.expr("try_to_timestamp(trim(f[0]), 'yyyy-MM-dd')")).cast("date")
+    d = rows.select(ts.alias("ts"), F.expr("try_cast(trim(f[size(f) - 1]) AS double)").alias("v"), F.trim(F.col("f")[0]).alias("text"))
+    d = d.groupBy("ts", "text").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    bad = F.col("ts").isNull() | F.col("v").isNull() | (F.col("v") <= 0) | (F.col("n") > 1)
+    return d.select("ts", refused(bad, F.col("v"), "bad level", F.col("text")).alias("value"))
+
+
+def read_monthly_levels(spark: SparkSession, path: str, value_col: str, before: str) -> DataFrame:
+    """(ts, value): a monthly series of rows (DATE, value) dated on the first, stamped at the month's end, from before a cut-off; later rows' values are never parsed. Other days, missing and negative values are errors."""
+    raw = spark.read.csv(path, header=True).where(F.to_date("DATE") < F.lit(before).cast("date"))
+    value = F.expr(f"try_cast(`{value_col}` AS double)")
+    bad = (F.dayofmonth("DATE") != 1) | value.isNull() | (value < 0)
+    return raw.select(F.last_day("DATE").alias("ts"), refused(bad, value, f"bad {value_col}", F.col("DATE")).alias("value"))
+
+
+def paired(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """(ts, two columns) where both series (ts, value) have a value; values that aren't positive are errors when they are read."""
+    both = left.select("ts", F.col("value").cast("double").alias("_a")).join(right.select("ts", F.col("value").cast("double").alias("_b")), "ts").where("_a IS NOT NULL AND _b IS NOT NULL")
+    return both.select("ts", *[refused(F.col(c) <= 0, F.col(c), f"{n} isn't positive", F.col("ts")).alias(n) for c, n in zip(("_a", "_b"), names, strict=True)])
+
+
 def read_series_csv(spark: SparkSession, path: str, date_col: str, value_col: str, positive: bool = False) -> DataFrame:
     """(ts, value) of a macro series; "." and non-numbers are dropped, and non-positive values too if positive."""
     raw = spark.read.csv(path, header=True, nullValue=".")
@@ -80,6 +126,12 @@ def positions_report(spark: SparkSession, path: str, market_code: str, delay_day
     return one.select(F.date_add("date", delay_days).alias("ts"), net.alias("value"), net.alias("spec_net"), (F.col("comm_long") - F.col("comm_short")).alias("comm_net"), ((F.col("spec_long") + F.col("spec_short")) / F.col("oi")).alias("spec_share"), "oi")
 
 
+def checked_positions(report: DataFrame) -> DataFrame:
+    """positions_report() rows whose traders hold no more than the open interest; others are errors when they are read."""
+    bad = F.col("spec_share") > 2
+    return report.withColumn("value", refused(bad, F.col("value"), "impossible positions", F.col("ts")))
+
+
 def write_bar_csv(bars: DataFrame, path: str) -> None:
     """Bars as CSV parts with a header, stamps in UTC; read_bar_csv reads them back."""
     bars.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("open_time"), "open", "high", "low", "close", "volume").write.csv(path, header=True)
