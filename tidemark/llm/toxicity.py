@@ -17,9 +17,9 @@ from ._words import owners, released, text_chunks, word_hashes
 #: Labelled rows that the model is fitted on, those of the smallest id hashes. They bound the words of the lexicon, and so what is broadcast.
 LABELLED = 20_000
 #: Standard errors by which a word's log-odds must differ from zero; those of others are taken for zero.
-LEAST_Z = 3.5
+LEAST_Z = 3.0
 #: Strength of a word's prior as a part of its own count, and what every word's score is lowered by, so that clean text scores less than zero.
-PRIOR, DRIFT = 0.1, -0.25
+PRIOR, DRIFT = 0.5, -0.25
 #: Expected number of segments as good in a clean text of the same length, below which a segment is significant.
 SIGNIFICANT = 0.01
 #: Bins of the calibration.
