@@ -78,7 +78,8 @@ def line_dedup(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WOR
     k1, k2 = document_key(id_col, text_col)
     found = later_runs(docs, min_run, min_words, id_col, text_col).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "runs": "_runs"})
     keyed = docs.select(F.struct(*docs.columns).alias("row"), k1, k2, F.col(text_col).alias("text"))
-    both = keyed.join(found, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("row", "text", "_runs")
+    # runs compress well, so a small file is no sign of a small table
+    both = keyed.join(found.hint("merge"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("row", "text", "_runs")
     both = computed(both, lines=F.split("text", "\n"))
     full = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.btrim(F.get("lines", i), F.lit(BLANK)) != "")
     both = computed(both, full=F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(full))
