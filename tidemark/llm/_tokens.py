@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from ._words import ragged
 
 #: Bytes of the words and ids, with their objects, that a worker remembers before it starts anew.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
 #: Characters tokenized at once.
 CHARACTERS = 1 << 21
 #: Two texts whose ids must be those of their parts, for a tokenizer that drops white space.
