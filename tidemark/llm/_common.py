@@ -63,6 +63,25 @@ def no_rows(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+#: Rows of a key from which it counts as crowded, and crowded keys up to which they are broadcast (some numbers or a digest each).
+CROWDED_ROWS, BROADCAST_ROWS = 1000, 500_000
+
+
+def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df joined with other (written, each key once) by keys. Rows of keys that are crowded in df stay where they are and meet other's rows of these keys by a broadcast, if those are few.
+
+    how: inner, left_semi or left_anti.
+    """
+    crowded = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= CROWDED_ROWS).select(*keys)
+    crowded = written(crowded, "crowded-keys")
+    n = crowded.count()
+    if not n or n > BROADCAST_ROWS:
+        discard(crowded)
+        return df.join(other, keys, how)
+    hot = df.join(F.broadcast(crowded), keys, "left_semi").join(F.broadcast(other.join(F.broadcast(crowded), keys, "left_semi")), keys, how)
+    return df.join(F.broadcast(crowded), keys, "left_anti").join(other, keys, how).unionByName(hot)
+
+
 def document_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
     """(k1, k2): rows that share both have the same id and the same text, and so the same result. Never null."""
     return F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k2")

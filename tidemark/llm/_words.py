@@ -25,6 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_ANY = _BYTE.copy()
 _BYTE[_SPACE] = 0
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
@@ -91,6 +92,15 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n bytes from each place on; the last n - 1 places have none."""
+    if len(data) < n:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_ANY[data] * _powers(_P, len(data)), out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * _powers(_P_INV, len(data))[: len(data) - n + 1])
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """The document of each word, from word_hashes' last result."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
