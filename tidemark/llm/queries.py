@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import conversation_trie, exact_dedup, line_dedup, mixing, ngram_jaccard, packing, sharding, substring_dedup, suffix_dedup, token_output, topk, toxicity
+from . import conversation_trie, exact_dedup, hard_negatives, line_dedup, mixing, ngram_jaccard, packing, sharding, substring_dedup, suffix_dedup, token_output, topk, toxicity
 
-MODULES = (exact_dedup, substring_dedup, suffix_dedup, token_output, line_dedup, ngram_jaccard, sharding, topk, mixing, packing, toxicity, suffix_dedup, conversation_trie)
+MODULES = (exact_dedup, substring_dedup, suffix_dedup, token_output, line_dedup, ngram_jaccard, sharding, topk, mixing, packing, toxicity, suffix_dedup, conversation_trie, hard_negatives)
 
 
 def queries() -> dict:
