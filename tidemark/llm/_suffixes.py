@@ -126,26 +126,24 @@ def suffix_arrays(text: np.ndarray, first: np.ndarray) -> np.ndarray:
     return result
 
 
-def repeats(problems: list[list[bytes]], weights: list[list[int]], window: int) -> list[list[np.ndarray]]:
-    """Of each problem's strings, the starts of the windows of `window` bytes that occur twice or more in the problem; a string counts as often as its weight.
+def repeats(strings: list[bytes], weights: np.ndarray, problems: np.ndarray, window: int) -> list[np.ndarray]:
+    """Of each string, the starts of the windows of `window` bytes that occur twice or more in its problem; a string counts as often as its weight.
+    problems: how many of the strings, in turn, belong together.
 
     Strings are joined by a letter below all bytes, and suffixes of one problem that share a window stand side by side in its suffix array.
     """
-    flat = [s for strings in problems for s in strings]
-    weight = np.array([w for ws in weights for w in ws], np.int64)
-    lengths = np.array([len(s) for s in flat], np.int64)
-    if not len(flat):
-        return [[] for _ in problems]
-    raw = np.frombuffer(b"\0".join(flat) + b"\0" * (window + 1), np.uint8)
-    text = raw[: int(lengths.sum()) + len(flat)].astype(np.int16) + 1
+    if not strings:
+        return []
+    lengths = np.array([len(s) for s in strings], np.int64)
+    raw = np.frombuffer(b"\0".join(strings) + b"\0" * (window + 1), np.uint8)
+    text = raw[: int(lengths.sum()) + len(strings)].astype(np.int16) + 1
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
     text[starts[1:] - 1] = 0
-    each = np.array([len(p) for p in problems])
-    first = starts[np.concatenate([[0], np.cumsum(each)])]
+    first = starts[np.concatenate([[0], np.cumsum(problems)])]
     order = suffix_arrays(text, first)
-    string = np.repeat(np.arange(len(flat)), lengths + 1)
+    string = np.repeat(np.arange(len(strings)), lengths + 1)
     whole = order[order + window <= starts[1:][string[order]] - 1]
-    problem = np.repeat(np.arange(len(problems)), each)[string[whole]] if len(whole) else whole
+    problem = np.repeat(np.arange(len(problems)), problems)[string[whole]] if len(whole) else whole
     same = np.flatnonzero(problem[1:] == problem[:-1])
     rows = np.lib.stride_tricks.sliding_window_view(raw, window)
     equal = np.zeros(max(0, len(whole) - 1), bool)
@@ -154,11 +152,9 @@ def repeats(problems: list[list[bytes]], weights: list[list[int]], window: int)
         for edge in (window - 1, window // 2, window // 4):
             k = k[raw[whole[k] + edge] == raw[whole[k + 1] + edge]]
         equal[k] = (rows[whole[k]] == rows[whole[k + 1]]).all(1)
-    again = weight[string[whole]] > 1
+    again = weights[string[whole]] > 1
     again[:-1] |= equal
     again[1:] |= equal
     hit = np.sort(whole[again])
     cut = np.searchsorted(hit, starts)
-    found = [hit[cut[i] : cut[i + 1]] - starts[i] for i in range(len(flat))]
-    ends = np.cumsum(each)
-    return [found[e - m : e] for e, m in zip(ends.tolist(), each.tolist(), strict=True)]
+    return [hit[cut[i] : cut[i + 1]] - starts[i] for i in range(len(strings))]

@@ -20,7 +20,7 @@ WINDOW = 400
 #: Bytes of the grams whose minimum names the shard of a window.
 GRAM = 64
 #: Bytes of one anchor's different segments beyond which they are cut into single windows, each an anchor of its own.
-CROWDED = 48_000
+CROWDED = 24_000
 #: Windows of a segment; longer stretches of one anchor are cut.
 LONGEST = 4096
 #: Bytes whose suffix arrays are made at once.
@@ -28,6 +28,7 @@ BATCH = 3_000_000
 
 RUN_SCHEMA = "anchor long, k1 long, k2 long, start int, n int, places int"
 CUT_SCHEMA = "k1 long, k2 long, start int, key binary, anchor long, segment binary, n long"
+HITS = "key binary, hits array<struct<at:int,n:int>>"
 _CUT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("key", pa.binary()), ("anchor", pa.int64()), ("segment", pa.binary()), ("n", pa.int64())])
 
 
@@ -102,33 +103,39 @@ def _windows(window: int):
     return each
 
 
-def _match(window: int):
-    """Of a shard: (key, hits): the stretches (at, n) of repeated windows of each segment that has some, by the suffix arrays of all segments of each anchor."""
+def stretches(starts: np.ndarray) -> list[dict[str, int]]:
+    """Ascending starts as stretches (at, n) of consecutive ones."""
+    at = np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1] + 1]))
+    return [{"at": a, "n": n} for a, n in zip(starts[at].tolist(), np.diff(np.append(at, len(starts))).tolist(), strict=True)]
+
 
-    def stretches(starts: np.ndarray) -> list[tuple[int, int]]:
-        at = np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1] + 1]))
-        return list(zip(starts[at].tolist(), np.diff(np.append(at, len(starts))).tolist(), strict=True))
+def _match(window: int):
+    """Of a shard: (key, hits): the stretches of repeated windows of each segment that has some, by the suffix arrays of all segments of each anchor."""
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["size"] = pdf["segment"].map(len)
-        pdf["size"] = pdf.groupby("anchor")["size"].transform("sum")
-        pdf = pdf.sort_values(["size", "anchor"], kind="stable")
-        out, keys, strings, weights, total = [], [], [], [], 0
-        for _, group in pdf.groupby(["size", "anchor"], sort=False):
-            keys.append(group["key"].tolist())
-            strings.append(group["segment"].tolist())
-            weights.append(group["n"].tolist())
-            total += int(group["size"].iloc[0])
-            if total > BATCH:
-                out += zip(sum(keys, []), sum(repeats(strings, weights, window), []), strict=True)
-                keys, strings, weights, total = [], [], [], 0
-        out += zip(sum(keys, []), sum(repeats(strings, weights, window), []), strict=True)
-        found = [(k, stretches(starts)) for k, starts in out if len(starts)]
-        return pd.DataFrame({"key": [k for k, _ in found], "hits": [[{"at": a, "n": n} for a, n in h] for _, h in found]})
+        size = pdf["segment"].map(len)
+        total = size.groupby(pdf["anchor"]).transform("sum")
+        order = np.lexsort((pdf["anchor"], total))  # texts of like size, as they are worked on side by side
+        keys, strings, weights, anchors = (pdf[c].to_numpy()[order] for c in ("key", "segment", "n", "anchor"))
+        first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+        ends = np.append(first[1:], len(anchors))
+        batch = np.cumsum(size.to_numpy()[order])[ends - 1] // BATCH
+        found = []
+        for b in np.unique(batch):
+            some = np.flatnonzero(batch == b)
+            part = slice(first[some[0]], ends[some[-1]])
+            hits = repeats(strings[part].tolist(), weights[part].astype(np.int64), ends[some] - first[some], window)
+            found += [(k, stretches(h)) for k, h in zip(keys[part], hits, strict=True) if len(h)]
+        return pd.DataFrame(found, columns=["key", "hits"])
 
     return shard
 
 
+def _gathered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield pd.DataFrame({"key": part["key"], "hits": [stretches(np.asarray(x)) for x in part["at"]]})
+
+
 def _kept(window: int):
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -168,13 +175,13 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     text = many.groupBy("key").agg(F.first("segment").alias("segment"))
     single = twice.join(text, "key").select(F.xxhash64("digest").alias("anchor"), F.col("digest").alias("key"), F.substring("segment", F.col("at") + 1, F.lit(window)).alias("segment"), "n")
     few = joined(distinct, crowded, ["anchor"], "left_anti").select("anchor", "key", "segment", "n")
-    shards = 1 + runs.count() // 5000
-    found = written(few.union(single).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_match(window), "key binary, hits array<struct<at:int,n:int>>"), "byte-hits")
-    of_windows = windows.join(found.select(F.col("key").alias("digest")), "digest", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", F.lit(1).alias("n"))).alias("hits"))
+    shards = 1 + runs.count() // 50_000
+    found = written(few.union(single).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_match(window), HITS), "byte-hits")
+    of_windows = windows.join(found.select(F.col("key").alias("digest")), "digest", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at")).mapInPandas(_gathered, HITS)
     hits = written(found.union(of_windows), "byte-hits")
     places = cut.where("segment is null").select("k1", "k2", "start", "key")
     moved = F.transform("hits", lambda h: F.struct((h["at"] + F.col("start")).alias("at"), h["n"].alias("n")))
-    spans = written(joined(places, hits, ["key"]).groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list(moved))).alias("spans")), "byte-spans")
+    spans = written(joined(places, hits, ["key"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved)).alias("spans")), "byte-spans")
     discard(runs, several, cut, distinct, crowded, windows, found, hits)
     return source.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInPandas(_kept(window), "k1 long, k2 long, n_removed long, n_spans long, kept binary").dropDuplicates(["k1", "k2"])
 
