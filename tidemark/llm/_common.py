@@ -67,19 +67,17 @@ def no_rows(df: DataFrame) -> bool:
 CROWDED_ROWS, BROADCAST_ROWS = 1000, 500_000
 
 
-def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """df joined with other (written, each key once) by keys. Rows of keys that are crowded in df stay where they are and meet other's rows of these keys by a broadcast, if those are few.
-
-    how: inner, left_semi or left_anti.
+def joined(df: DataFrame, other: DataFrame, keys: list[str], crowded: DataFrame) -> DataFrame:
+    """df joined with other (each key once) by keys. crowded: the keys of which df has CROWDED_ROWS rows or more. If they are few, their rows stay where
+    they are and meet other's by a broadcast, so that no key's rows come together. A row of nulls, which matches nothing, keeps the plan the same at every size.
     """
-    crowded = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= CROWDED_ROWS).select(*keys)
-    crowded = written(crowded, "crowded-keys")
-    n = crowded.count()
-    if not n or n > BROADCAST_ROWS:
-        discard(crowded)
-        return df.join(other, keys, how)
-    hot = df.join(F.broadcast(crowded), keys, "left_semi").join(F.broadcast(other.join(F.broadcast(crowded), keys, "left_semi")), keys, how)
-    return df.join(F.broadcast(crowded), keys, "left_anti").join(other, keys, how).unionByName(hot)
+    spark = df.sparkSession
+    none = spark.range(1).select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys])
+    hot = written(crowded.select(*keys).distinct().union(none), "crowded-keys")
+    if hot.count() > BROADCAST_ROWS:
+        return df.join(other, keys)
+    hot = F.broadcast(hot)
+    return df.join(hot, keys, "left_anti").join(other, keys).unionByName(df.join(F.broadcast(other.join(hot, keys, "left_semi")), keys))
 
 
 def document_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
+_Q = 0xC2B2AE3D27D4EB4F
+_Q_INV = pow(_Q, -1, 2**64)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that are hashed at once; a longer text makes a chunk of its own.
 CHUNK = 1 << 20
@@ -92,13 +94,14 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n bytes from each place on; the last n - 1 places have none."""
+def byte_grams(data: np.ndarray, n: int, second: bool = False) -> np.ndarray:
+    """Hash of the n bytes from each place on; the last n - 1 places have none. second: another hash."""
     if len(data) < n:
         return np.zeros(0, np.uint64)
+    base, inverse = (_Q, _Q_INV) if second else (_P, _P_INV)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_ANY[data] * _powers(_P, len(data)), out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * _powers(_P_INV, len(data))[: len(data) - n + 1])
+    np.cumsum(_ANY[data] * _powers(base, len(data)), out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * _powers(inverse, len(data))[: len(data) - n + 1])
 
 
 def owners(first: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, discard, joined, read, written
+from ._common import CROWDED_ROWS, WORD, discard, joined, read, written
 
 #: Turn numbers that are ranked together, turns whose prefixes are hashed together, and conversation ids of one piece of an end list.
 TURNS, BLOCK, IDS = 1024, 4096, 1024
@@ -42,8 +42,8 @@ def with_borrowed_heads(turns: DataFrame, every: int, heads: Column) -> tuple[Da
     turns = written(turns, "trie-numbered")
     own = turns.groupBy("conv_id").agg(F.max("idx").alias("n")).withColumns({"base": F.col("conv_id") - F.col("conv_id") % every, "heads": heads})
     lent = own.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
-    own = written(own.join(lent, "base", "left").select("conv_id", "base", "heads", F.least("heads", F.coalesce("base_n", F.lit(0))).alias("borrowed")), "trie-heads")
-    rest = joined(turns, own.select("conv_id", "heads", "borrowed"), ["conv_id"]).where(F.col("idx") > F.col("heads"))
+    own = written(own.join(lent, "base", "left").select("conv_id", "base", "heads", "n", F.least("heads", F.coalesce("base_n", F.lit(0))).alias("borrowed")), "trie-heads")
+    rest = joined(turns, own.select("conv_id", "heads", "borrowed"), ["conv_id"], own.where(F.col("n") >= CROWDED_ROWS)).where(F.col("idx") > F.col("heads"))
     head = turns.withColumnRenamed("conv_id", "base").join(own.where("borrowed > 0"), "base").where(F.col("idx") <= F.col("borrowed"))
     columns = ["conv_id", "digest", "words"]
     both = rest.select(*columns, (F.col("idx") - F.col("heads") + F.col("borrowed")).cast("long").alias("idx")).unionByName(head.select(*columns, F.col("idx").cast("long")))
@@ -142,7 +142,8 @@ def prefix_trie(turns: DataFrame, members: DataFrame | None = None) -> DataFrame
     counted = nodes.join(children, KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     counted = written(counted.withColumns({"n_leaves": (F.col("n_children") == 0).cast("long"), "saved_tokens": (F.col("n") - 1) * F.col("words")}), "trie-counted")
     parents = nodes.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("depth").alias("pd"), F.col("low").alias("parent_conv_id"))
-    below = joined(nodes.where("depth > 0").withColumn("pd", F.col("depth") - 1), parents, ["p1", "p2", "pd"]).select(*KEY, "parent_conv_id")
+    wide = children.where(F.col("n_children") >= CROWDED_ROWS).select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("depth").alias("pd"))
+    below = joined(nodes.where("depth > 0").withColumn("pd", F.col("depth") - 1), parents, ["p1", "p2", "pd"], wide).select(*KEY, "parent_conv_id")
     sums = subtree_sums(counted, paths, ["n_leaves", "saved_tokens"])
     out = counted.drop("n_leaves", "saved_tokens").join(sums, KEY).join(below, KEY, "left").join(hashes, KEY, "left")
     return out.select(F.col("low").alias("conv_id"), "depth", "parent_conv_id", F.col("n").alias("n_convs"), "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, document_key, joined, read, unclashed, written
+from ._common import CROWDED_ROWS, discard, document_key, joined, read, unclashed, written
 from ._suffixes import repeats
 from ._words import byte_grams, released, text_chunks
 from .substring_dedup import window_minima
@@ -24,7 +24,7 @@ CROWDED = 24_000
 #: Windows of a segment; longer stretches of one anchor are cut.
 LONGEST = 4096
 #: Bytes whose suffix arrays are made at once.
-BATCH = 3_000_000
+BATCH = 1_500_000
 
 RUN_SCHEMA = "anchor long, k1 long, k2 long, start int, n int, places int"
 CUT_SCHEMA = "k1 long, k2 long, start int, key binary, anchor long, segment binary, n long"
@@ -92,13 +92,16 @@ def _segments(window: int):
 
 
 def _windows(window: int):
-    """Of segments: (window's digest, key, place in the segment, n) of every window."""
+    """Of segments: (two hashes of the window, key, place in the segment, n) of every window."""
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for key, segment, n in part[["key", "segment", "n"]].itertuples(index=False):
-                digests = [hashlib.md5(segment[i : i + window]).digest() for i in range(len(segment) - window + 1)]
-                yield pd.DataFrame({"digest": digests, "key": key, "at": np.arange(len(digests), dtype=np.int32), "n": n})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, segment, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = np.frombuffer(segment, np.uint8)
+                first, second = (pa.array(byte_grams(data, window, x).view(np.int64)) for x in (False, True))
+                many = len(first)
+                yield pa.RecordBatch.from_arrays([first, second, pa.array([key] * many, pa.binary()), pa.array(np.arange(many, dtype=np.int32)), pa.array(np.full(many, n, np.int64))], names=["h1", "h2", "key", "at", "n"])
+        released()
 
     return each
 
@@ -126,6 +129,7 @@ def _match(window: int):
             part = slice(first[some[0]], ends[some[-1]])
             hits = repeats(strings[part].tolist(), weights[part].astype(np.int64), ends[some] - first[some], window)
             found += [(k, stretches(h)) for k, h in zip(keys[part], hits, strict=True) if len(h)]
+        released()
         return pd.DataFrame(found, columns=["key", "hits"])
 
     return shard
@@ -162,26 +166,28 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     makes the suffix array of all segments of each of its anchors; equal windows are neighbours there. An anchor whose segments exceed CROWDED
     bytes is dealt out window by window: each that occurs twice is an anchor of its own. 4. The union of repeated windows goes.
     """
+    gram = min(gram, max(1, window // 6))
     source = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
     runs = written(source.mapInArrow(_runs(window, gram), RUN_SCHEMA), "byte-runs")
-    several = written(runs.groupBy("anchor").agg(F.sum("places").alias("c")).where("c > 1").select("anchor"), "byte-anchors")
-    wanted = joined(runs, several, ["anchor"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
+    several = written(runs.groupBy("anchor").agg(F.sum("places").alias("c"), F.count(F.lit(1)).alias("rows")).where("c > 1"), "byte-anchors")
+    wanted = joined(runs, several.select("anchor"), ["anchor"], several.where(F.col("rows") >= CROWDED_ROWS)).groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
     cut = written(source.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_segments(window), CUT_SCHEMA), "byte-segments")
     distinct = written(cut.where("segment is not null").groupBy("anchor", "key").agg(F.first("segment").alias("segment"), F.sum("n").alias("n")), "byte-kinds")
     crowded = written(distinct.groupBy("anchor").agg(F.sum(F.length("segment")).alias("size")).where(F.col("size") > CROWDED).select("anchor"), "byte-crowded")
-    many = joined(distinct, crowded, ["anchor"])
-    windows = written(many.select("key", "segment", "n").mapInPandas(_windows(window), "digest binary, key binary, at int, n long"), "byte-windows")
-    twice = windows.groupBy("digest").agg(F.min_by(F.struct("key", "at"), F.struct("key", "at")).alias("w"), F.sum("n").alias("n")).where("n > 1").select("digest", "w.*", "n")
+    many = distinct.join(crowded, "anchor")
+    windows = written(many.select("key", "segment", "n").mapInArrow(_windows(window), "h1 long, h2 long, key binary, at int, n long"), "byte-windows")
+    twice = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("w"), F.sum("n").alias("n")).where("n > 1").select("h1", "h2", "w.*", "n")
+    digest = F.concat(F.lit("w"), F.hex("h1"), F.lit("-"), F.hex("h2")).cast("binary")
     text = many.groupBy("key").agg(F.first("segment").alias("segment"))
-    single = twice.join(text, "key").select(F.xxhash64("digest").alias("anchor"), F.col("digest").alias("key"), F.substring("segment", F.col("at") + 1, F.lit(window)).alias("segment"), "n")
-    few = joined(distinct, crowded, ["anchor"], "left_anti").select("anchor", "key", "segment", "n")
+    single = twice.join(text, "key").select(F.col("h1").alias("anchor"), digest.alias("key"), F.substring("segment", F.col("at") + 1, F.lit(window)).alias("segment"), "n")
+    few = distinct.join(crowded, "anchor", "left_anti").select("anchor", "key", "segment", "n")
     shards = 1 + runs.count() // 50_000
     found = written(few.union(single).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_match(window), HITS), "byte-hits")
-    of_windows = windows.join(found.select(F.col("key").alias("digest")), "digest", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at")).mapInPandas(_gathered, HITS)
+    of_windows = windows.withColumn("digest", digest).join(found.select(F.col("key").alias("digest")), "digest", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at")).mapInPandas(_gathered, HITS)
     hits = written(found.union(of_windows), "byte-hits")
     places = cut.where("segment is null").select("k1", "k2", "start", "key")
     moved = F.transform("hits", lambda h: F.struct((h["at"] + F.col("start")).alias("at"), h["n"].alias("n")))
-    spans = written(joined(places, hits, ["key"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved)).alias("spans")), "byte-spans")
+    spans = written(joined(places, hits, ["key"], distinct.where(F.col("n") >= CROWDED_ROWS)).groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved)).alias("spans")), "byte-spans")
     discard(runs, several, cut, distinct, crowded, windows, found, hits)
     return source.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInPandas(_kept(window), "k1 long, k2 long, n_removed long, n_spans long, kept binary").dropDuplicates(["k1", "k2"])
 
