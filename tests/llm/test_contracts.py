@@ -119,3 +119,24 @@ def test_topk_with_repeated_ids_and_large_numbers(spark):
     pool = sorted({(-sum(a * b for a, b in zip(q, v, strict=True)), i) for k, q in fine if k == 3 for i, v in fine if i != 3})
     assert {(r["query_id"], r["rank"]) for r in got} == {(3, k) for k in range(1, 5)}
     assert [-r["score"] for r in sorted(got, key=lambda r: r["rank"])][0] == pool[0][0]
+
+
+@pytest.mark.parametrize("longest", [1.0, 1e10, 3e10])
+def test_far_pivots_and_many_rounds_lose_nothing(spark, monkeypatch, longest):
+    for name, small in (("QUERIES", 6), ("BLOCK", 150), ("PIVOTS", 12)):
+        monkeypatch.setattr(topk, name, small)
+    rng = np.random.default_rng(4)
+    v = np.floor(rng.normal(size=(600, 8)) * 100)
+    v[::100] = np.floor(v[::100] * longest / 100)
+    lengths = [8 if i % 5 else 4 for i in range(600)]
+    rows = [(i, [float(x) for x in v[i][: lengths[i]]]) for i in range(600)]
+    rows += [(1000 + d, [float(d)] * (20 + d)) for d in range(20) for _ in range(2)]  # more dimension counts than have pivots
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.topk_inner_product(df, F.col("vec_id") % 20 == 0, 6, scale=1).collect()
+    want = []
+    for q, x in rows:
+        if q % 20 == 0:
+            score = lambda w: sum(int(a) * int(b) for a, b in zip(x, w, strict=True))  # noqa: B023, E731
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted((-score(w), i) for i, w in rows if i != q and len(w) == len(x))[:6])]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
