@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.frames import along, carried_last, islands
+from tidemark.frames import along, carried_last, islands, numbered
 from tidemark.functions import clock, inference, placebo, selection
 from tidemark.operators import assays, backtest, checks, engine, evidence, ledger, panels, quality, signals
 from tidemark.operators.asof import asof
@@ -102,7 +102,7 @@ def test_islands_treat_null_as_value(spark):
 
 def test_first_passage_over_stretches(spark):
     t = market.ticks(spark, SF)
-    small = assays.with_ahead(assays.numbered(t).select("symbol", "row", "mid_c"), 8, 0, 16)
+    small = assays.with_ahead(numbered(t).select("symbol", "row", "mid_c"), 8, 0, 16)
     assert small.where("own").count() == t.count()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import market, rules, studies  # noqa: F401  (rules and studies add to the queries of market)
+from .plans import market, rules, scans, studies  # noqa: F401  (the others add to the queries of market)
 
 
 def queries() -> dict:

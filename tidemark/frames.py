@@ -5,7 +5,10 @@ Every operator sorts by ts (then seq, where rows share a stamp) inside a symbol
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS, ORDER = ("symbol",), ("ts",)
@@ -81,3 +84,41 @@ def previous(df: DataFrame, values: list[str], keys=KEYS, order=ORDER) -> DataFr
     ends = ends.select(*keys, "_day", *[F.lag(f"_end_{v}").over(days).alias(f"_carry_{v}") for v in values])
     both = dated.join(ends, [*keys, "_day"])
     return both.withColumns({f"prev_{v}": F.coalesce(F.lag(v).over(w), f"_carry_{v}") for v in values}).drop("_day", *[f"_carry_{v}" for v in values])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster (spark.checkpoint.dir); only a local session without one gets a folder of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not path:
+        path = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, keys=KEYS, order=("ts", "seq")) -> DataFrame:
+    """df with row, the place in its key from 0, by ranks within days and counts of earlier days; order begins with ts."""
+    d = df.withColumn("_day", F.to_date("ts"))
+    days = d.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*order)) - 1
+    return d.join(days, [*keys, "_day"]).withColumn("row", F.col("_before") + rank).drop("_day", "_before")
+
+
+def running_sum(rows: DataFrame, value: Column, out: str, keys=KEYS, chunk: int = 4096) -> DataFrame:
+    """rows (with row, their place in the key) with the sum of value up to each row; sums go over chunks of rows and a table of one row for each chunk."""
+    r = rows.withColumns({"_x": value, "_chunk": F.floor(F.col("row") / chunk)})
+    sums = r.groupBy(*keys, "_chunk").agg(F.sum("_x").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum("_x").over(Window.partitionBy(*keys, "_chunk").orderBy("row"))
+    return r.join(sums, [*keys, "_chunk"]).withColumn(out, F.col("_before") + inside).drop("_x", "_chunk", "_before")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import along, gap_prefix, previous, prior
+from ..frames import along, gap_prefix, numbered, previous, prior
 from ..functions.indicators import back, c, gated
 from .signals import greedy
 
@@ -52,15 +52,6 @@ def day_islands(rows: DataFrame, value: str) -> DataFrame:
     return p.join(days, ["symbol", "_day"]).withColumn("island", c("_before") + inside).drop("_day", "_new", "_before", f"prev_{value}")
 
 
-def numbered(ticks: DataFrame) -> DataFrame:
-    """ticks with row, their place in the symbol from 0, by ranks within days and counts of earlier days."""
-    d = ticks.withColumn("_day", F.to_date("ts"))
-    days = d.groupBy("symbol", "_day").agg(F.count(F.lit(1)).alias("_n"))
-    days = days.select("symbol", "_day", F.coalesce(F.sum("_n").over(Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("symbol", "_day").orderBy(*TICK)) - 1
-    return d.join(days, ["symbol", "_day"]).withColumn("row", c("_before") + rank).drop("_day", "_before")
-
-
 def with_ahead(rows: DataFrame, ahead: int, behind: int = 0, stretch: int = 50_000) -> DataFrame:
     """rows (symbol, row, ...) in stretches, each with `behind` rows before it and `ahead` after it: column `stretch`, and `own` for a stretch's own rows.
 
@@ -107,18 +98,6 @@ def first_passage(ticks: DataFrame, cents: int, horizon: int) -> DataFrame:
     return s.groupBy("symbol", "stretch").applyInPandas(search, "symbol string, row long, hit_rows int, hit int")
 
 
-def directional_panel(ticks: DataFrame, past: int = 16, horizons: tuple[int, ...] = (1, 4, 16), stride: int = 20) -> DataFrame:
-    """(symbol, side, horizon, n, mean_move_c, mean_net_c): moves after past moves of a sign; entry one row later, cost the mean spread of both ends."""
-    w = Window.partitionBy("symbol", "stretch").orderBy("row")
-    far = max(horizons) + 1
-    s = with_ahead(numbered(ticks).select("symbol", "row", "mid_c", (c("ask_c") - c("bid_c")).alias("spread_c")), far, past)
-    s = s.withColumns({"side": F.signum((c("mid_c") - F.lag("mid_c", past).over(w)).cast("double")).cast("int"), "entry": F.lead("mid_c").over(w), "entry_spread": F.lead("spread_c").over(w)})
-    s = s.withColumn("ends", F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("mid_c", h + 1).over(w).alias("m"), F.lead("spread_c", h + 1).over(w).alias("s")) for h in horizons]))
-    s = s.where((c("row") % stride == 0) & c("own") & (c("side") != 0)).select("symbol", "side", "entry", "entry_spread", F.explode("ends").alias("e")).where("e.m IS NOT NULL")
-    move = c("side") * (c("e.m") - c("entry"))
-    return s.groupBy("symbol", "side", c("e.horizon").alias("horizon")).agg(F.count(F.lit(1)).alias("n"), F.avg(move).alias("mean_move_c"), F.avg(move - (c("entry_spread") + c("e.s")) / 2).alias("mean_net_c"))
-
-
 def bar_samples(bars: DataFrame, direction: Column, hold: int, limit_s: float) -> DataFrame:
     """Bars with a direction of 1 or -1, entered at the next bar's open quotes and left at the close `hold` bars later, where no gap lies between: net_c pays the spread. Events don't overlap."""
     w = along()

@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..frames import islands, seconds
+from ..frames import islands, numbered, seconds
 from ..functions.indicators import c
-from .assays import numbered, with_ahead
+from .assays import with_ahead
 
 
 def nearest_match(intents: DataFrame, fills: DataFrame, within_s: float) -> DataFrame:

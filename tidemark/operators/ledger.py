@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import numbered, running_sum, stored
+from ..functions.affine import CHUNK, prefix_maps
+
 
 def fifo(fills: DataFrame) -> DataFrame:
     """(position_key, open_seq, close_seq, qty, open_price_c, close_price_c): first bought, first sold, for long lots opened by buys.
@@ -29,27 +34,38 @@ def fifo(fills: DataFrame) -> DataFrame:
 def average_cost(fills: DataFrame) -> DataFrame:
     """(position_key, seq, net_qty, avg_price_c, realized_c) after each fill: same side averages the price in, the other side realises against it, and a flip opens at the fill's price.
 
-    A position that was flat starts anew, so its stretches between flat points are folded apart. Fills of no quantity are left out."""
+    Every fill is a map of the average, a x + b: averaging in weighs it, reducing keeps it, and opening or turning sets it anew. The maps of chunks of CHUNK fills
+    are composed, which gives the average at each chunk's start; from there chunks are folded apart, so a position that is never flat is many tasks. Fills of no quantity are left out."""
+    key = ["position_key"]
     signed = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    w = Window.partitionBy("position_key").orderBy("ts", "seq")
-    net = fills.where("qty > 0").withColumn("_net", F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    stretches = net.withColumn("_stretch", F.count(F.when(F.col("_net") == 0, 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, net, avg, out = pdf.sort_values(["ts", "seq"]), 0, 0.0, []
-        for seq, side, qty, price in zip(pdf["seq"], pdf["side"], pdf["qty"], pdf["price_c"], strict=True):
-            signed, realized = (qty if side == "buy" else -qty), 0.0
-            if net * signed >= 0:
-                avg = (abs(net) * avg + qty * price) / (abs(net) + qty) if qty or net else 0.0
-            else:
-                closed = min(abs(net), qty)
-                realized = closed * (price - avg) * (1 if net > 0 else -1)
-                avg = price if qty > abs(net) else avg
-            net += signed
-            out.append((seq, net, avg if net else None, realized))
-        return pd.DataFrame(out, columns=["seq", "net_qty", "avg_price_c", "realized_c"]).assign(position_key=pdf["position_key"].iloc[0])
-
-    return stretches.groupBy("position_key", "_stretch").applyInPandas(run, "seq long, net_qty long, avg_price_c double, realized_c double, position_key long")
+    f = running_sum(numbered(fills.where("qty > 0"), key), signed, "net", key)
+    f = stored(f.select("position_key", "row", "seq", "qty", "price_c", "net", (F.col("net") - signed).alias("was")), "fills-numbered")
+    long = f.where(F.col("row") >= CHUNK).select("position_key").distinct()
+    g = f.join(long, "position_key", "left_semi").withColumns({"held": F.abs("was"), "adds": F.col("was") * (F.col("net") - F.col("was")) >= 0})
+    turned = F.col("qty") > F.col("held")
+    weight = F.when(F.col("adds"), F.col("held") / (F.col("held") + F.col("qty"))).when(turned, 0.0).otherwise(1.0)
+    put = F.when(F.col("adds"), F.col("qty") * F.col("price_c") / (F.col("held") + F.col("qty"))).when(turned, F.col("price_c").cast("double")).otherwise(0.0)
+    ends = prefix_maps(g.select("position_key", "row", weight.alias("a"), put.alias("b")), key).where((F.col("row") + 1) % CHUNK == 0)
+    starts = ends.select("position_key", F.floor((F.col("row") + 1) / CHUNK).alias("chunk"), F.col("b").alias("start"))
+    chunks = f.withColumn("chunk", F.floor(F.col("row") / CHUNK)).join(starts, ["position_key", "chunk"], "left").repartition("position_key", "chunk").sortWithinPartitions("position_key", "row")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        avg = 0.0
+        for part in parts:
+            out = []
+            for position, row, seq, qty, price, net, was, start in part[["position_key", "row", "seq", "qty", "price_c", "net", "was", "start"]].itertuples(index=False):
+                if row % CHUNK == 0:
+                    avg = start if row else 0.0
+                realized, held = 0.0, abs(was)
+                if was * (net - was) >= 0:
+                    avg = (held * avg + qty * price) / (held + qty)
+                else:
+                    realized = min(held, qty) * (price - avg) * (1 if was > 0 else -1)
+                    avg = price if qty > held else avg
+                out.append((seq, net, avg if net else None, realized, position))
+            yield pd.DataFrame(out, columns=["seq", "net_qty", "avg_price_c", "realized_c", "position_key"])
+
+    return chunks.mapInPandas(run, "seq long, net_qty long, avg_price_c double, realized_c double, position_key long")
 
 
 def cost_components(turns: DataFrame, components: dict[str, float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import along, previous, seconds
+from ..functions.quantiles import exact_quantiles
 
 
 def gaps(bars: DataFrame, cadence_s: int, closures: DataFrame | None = None) -> DataFrame:
@@ -49,10 +50,11 @@ def check_bars(bars: DataFrame) -> DataFrame:
 
 
 def spread_profile(ticks: DataFrame) -> DataFrame:
-    """Exact quantiles of the quoted spread in bps of mid."""
+    """Exact quantiles of the quoted spread in bps of mid, by rank over ranges of values."""
     bps = (F.col("ask_c") - F.col("bid_c")) / ((F.col("ask_c") + F.col("bid_c")) / 2) * 1e4
     t = ticks.where("bid_c > 0 AND ask_c >= bid_c").select("symbol", bps.alias("bps"))
-    return t.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("bps").alias("min_bps"), F.percentile("bps", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99))).alias("_q"), F.max("bps").alias("max_bps"), F.avg("bps").alias("mean_bps")).select("symbol", "n", "min_bps", *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(("p50_bps", "p90_bps", "p95_bps", "p99_bps"))], "max_bps", "mean_bps")
+    sums = t.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("bps").alias("min_bps"), F.max("bps").alias("max_bps"), F.avg("bps").alias("mean_bps"))
+    return sums.join(exact_quantiles(t, ["symbol"], "bps", {"p50_bps": 0.5, "p90_bps": 0.9, "p95_bps": 0.95, "p99_bps": 0.99}), "symbol")
 
 
 def stamp_groups(ticks: DataFrame) -> DataFrame:

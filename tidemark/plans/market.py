@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import along
+from ..frames import along, shared_dir
 from ..functions import clock, inference, placebo
 from ..functions.indicators import back, c, channel, ema, rolling_ols_z, rolling_quantile, rolling_z, rsi, simple_return, sma, trailing_percentile, true_range
 from ..operators import assays, backtest, ledger, quality, signals
@@ -301,13 +300,6 @@ def first_passage(spark, d):
     return assays.first_passage(market.ticks(spark, d), 30000, 4096)
 
 
-@query(NUMBERED + f""", p AS (SELECT symbol, row, sign(mid_c - lag(mid_c, 16) OVER w)::INT AS side, lead(mid_c) OVER w AS entry, lead(ask_c - bid_c) OVER w AS es, {", ".join(f"lead(mid_c, {h + 1}) OVER w AS m{h}, lead(ask_c - bid_c, {h + 1}) OVER w AS s{h}" for h in (1, 4, 16))} FROM num WINDOW w AS (PARTITION BY symbol ORDER BY row)),
-u AS ({" UNION ALL ".join(f"SELECT symbol, side, {h} AS horizon, side * (m{h} - entry) AS move, side * (m{h} - entry) - (es + s{h}) / 2 AS net FROM p WHERE row % 20 = 0 AND side <> 0 AND m{h} IS NOT NULL" for h in (1, 4, 16))})
-SELECT symbol, side, horizon, count(*) AS n, {six("avg(move)")} AS mean_move_c, {six("avg(net)")} AS mean_net_c FROM u GROUP BY ALL""")
-def directional_panel(spark, d):
-    return assays.directional_panel(market.ticks(spark, d))
-
-
 @query(f""", x AS (SELECT *, close_bid + close_ask AS x, row_number() OVER w AS n FROM quotes {W}),
 z AS (SELECT *, CASE WHEN n > 48 THEN (x - avg(x) OVER p) / nullif(stddev_pop(x) OVER p, 0) END AS z, sum(CASE WHEN epoch(ts - pt) > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts) AS g FROM (SELECT *, lag(ts) OVER w AS pt FROM x {W}) WINDOW p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)),
 d AS (SELECT *, CASE WHEN z <= -2 THEN 1 WHEN z >= 2 THEN -1 ELSE 0 END AS direction, lead(open_bid) OVER w AS ib, lead(open_ask) OVER w AS ia, lead(close_bid, 6) OVER w AS ob, lead(close_ask, 6) OVER w AS oa, lead(g, 6) OVER w AS eg FROM z {W}),
@@ -477,7 +469,7 @@ def streamed_bars(spark, d):
 @query(f""", o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS n FROM ticks), f AS (SELECT symbol, seq, n, mid_c::DOUBLE AS e FROM o WHERE n = 1 UNION ALL SELECT o.symbol, o.seq, o.n, 0.1 * o.mid_c + 0.9 * f.e FROM f JOIN o ON o.symbol = f.symbol AND o.n = f.n + 1)
 SELECT symbol, seq, {six("e")} AS ema FROM f""")
 def streamed_ema(spark, d):
-    return observe.run_available(observe.exponential_stream(observe.tick_stream(spark, d), 0.1), _scratch(spark), f"ema-{uuid.uuid4().hex}")
+    return observe.run_exponential(observe.tick_stream(spark, d), _scratch(spark), f"ema-{uuid.uuid4().hex}", 0.1)
 
 
 @query("SELECT symbol, count(*) AS n, sum(mid_c)::BIGINT AS sum_c, min(mid_c) AS low_c, max(mid_c) AS high_c FROM ticks GROUP BY symbol")
@@ -486,8 +478,4 @@ def streamed_totals(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only a local session without one gets a folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return path or tempfile.mkdtemp(prefix="tidemark-")
+    return shared_dir(spark)

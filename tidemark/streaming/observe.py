@@ -1,14 +1,16 @@
-"""Streams of ticks: bars under a watermark, repeats within it, outcomes of attempts, and an exponential mean kept in state."""
+"""Streams of ticks: bars under a watermark, repeats within it, outcomes of attempts, and an exponential mean kept from batch to batch."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..frames import numbered, stored
+from ..functions.affine import prefix_maps
+
 
 def tick_stream(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
     """Ticks of a folder of Parquet files; stamps become zoned (session zone), as watermarks need."""
@@ -72,17 +74,29 @@ def running_totals(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").applyInPandasWithState(step, f"symbol string, {schema}", schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def exponential_stream(ticks: DataFrame, alpha: float) -> DataFrame:
-    """(symbol, seq, ema) with the mean in state across batches; a batch's ticks count in the order of (ts, seq)."""
+def run_exponential(stream: DataFrame, folder: str, name: str, alpha: float) -> DataFrame:
+    """(symbol, seq, ema) of a stream: its batches' exponential means, in the order of (ts, seq) inside a batch, each going on from what the batch before left.
 
-    def step(key: tuple, parts, state: GroupState):
-        first = [state.get[0]] if state.exists else []
-        pdf = pd.concat([p[["ts", "seq", "mid_c"]] for p in parts]).sort_values(["ts", "seq"])
-        ema = pd.Series(np.concatenate([first, pdf["mid_c"].to_numpy(float)])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(first) :]
-        state.update((float(ema[-1]),))
-        yield pd.DataFrame({"symbol": key[0], "seq": pdf["seq"].to_numpy(), "ema": ema})
+    A batch is an affine scan over numbered rows in chunks, so a symbol's batch is many tasks. Rows and the last means are written under the batch's number: one that
+    is run again writes the same. A restart goes on from the checkpoint.
+    """
+    spark, root = stream.sparkSession, f"{folder}/{name}"
+    rows_schema, last_schema = "symbol string, seq long, ema double", "symbol string, last double"
 
-    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, ema double", "ema double", "append", GroupStateTimeout.NoTimeout)
+    def batch(ticks: DataFrame, number: int) -> None:
+        known = spark.read.schema(last_schema).parquet(f"{root}/last/{number - 1}") if number else spark.createDataFrame([], last_schema)
+        t = stored(numbered(ticks.select("symbol", "ts", "seq", "mid_c")).join(F.broadcast(known), "symbol", "left").select("symbol", "row", "seq", "mid_c", "last"), "ema-rows")
+        new = (F.col("row") == 0) & F.col("last").isNull()
+        steps = t.select("symbol", "row", F.when(new, 0.0).otherwise(1 - alpha).alias("a"), F.when(new, F.col("mid_c").cast("double")).otherwise(alpha * F.col("mid_c")).alias("b"))
+        ema = F.col("a") * F.coalesce("last", F.lit(0.0)) + F.col("b")
+        done = stored(t.select("symbol", "row", "seq", "last").join(prefix_maps(steps, ["symbol"]), ["symbol", "row"]).select("symbol", "seq", "row", ema.alias("ema")), "ema-done")
+        done.select("symbol", "seq", "ema").write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        last = done.groupBy("symbol").agg(F.max_by("ema", "row").alias("last"))
+        known.join(last.select("symbol"), "symbol", "left_anti").union(last).write.mode("overwrite").parquet(f"{root}/last/{number}")
+
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(f"{rows_schema}, batch long").parquet(f"{root}/rows").drop("batch")
 
 
 def run_available(stream: DataFrame, folder: str, name: str) -> DataFrame:
