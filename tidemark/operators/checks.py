@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import along
 from .asof import asof
 
 
-def truncation(bars: DataFrame, rule: Callable[[DataFrame], DataFrame], column: str, cuts: list[int]) -> DataFrame:
-    """(cut, checked, differing): the rule on the first `cut` bars of each symbol against the rule on all; a difference means that it looks ahead. Nulls equal nulls."""
-    numbered = bars.withColumn("_n", F.row_number().over(along()))
+def truncation(bars: DataFrame, rule: Callable[[DataFrame], DataFrame], column: str, cuts: list[int], per_cent: bool = False) -> DataFrame:
+    """(cut, checked, differing): the rule on the first `cut` bars of each symbol (or so many per cent of them) against the rule on all; a difference means that it looks ahead. Nulls equal nulls."""
+    numbered = bars.withColumns({"_n": F.row_number().over(along()), "_m": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
     full = rule(bars).select("symbol", "ts", F.col(column).cast("double").alias("_full"))
     out = None
     for cut in cuts:
-        part = rule(numbered.where(F.col("_n") <= cut).drop("_n")).select("symbol", "ts", F.col(column).cast("double").alias("_part"))
+        part = rule(numbered.where(F.col("_n") * 100 <= F.col("_m") * cut if per_cent else F.col("_n") <= cut).drop("_n", "_m")).select("symbol", "ts", F.col(column).cast("double").alias("_part"))
         same = F.col("_full").eqNullSafe(F.col("_part")) | (F.abs(F.col("_full") - F.col("_part")) <= 1e-12 * (1 + F.abs("_full")))
         each = part.join(full, ["symbol", "ts"]).agg(F.lit(cut).alias("cut"), F.count(F.lit(1)).alias("checked"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differing"))
         out = each if out is None else out.union(each)

@@ -408,11 +408,13 @@ def quote_costs(spark, d):
     return ledger.quote_costs(q.select("symbol", "direction", ((c("ib") + c("ia")) / 2.0).alias("entry_mid"), (c("ob") - c("ia")).cast("double").alias("pnl_long"), (c("ib") - c("oa")).cast("double").alias("pnl_short")))
 
 
-@query(""", a AS (SELECT l_orderkey AS k, count(*) AS n, max(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS n, max(l_quantity) AS v FROM lineitem WHERE l_linenumber BETWEEN 2 AND 2 OR l_linenumber = 7 GROUP BY 1)
-SELECT CASE WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' WHEN b.n IS NULL THEN 'left_only' WHEN a.n IS NULL THEN 'right_only' WHEN abs(a.v - b.v) > 5 THEN 'changed' ELSE 'matched' END AS status, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+@query(""", a AS (SELECT o_orderkey AS k, count(*) AS n, max(o_totalprice) AS v FROM orders GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS n, max(l_extendedprice) AS v FROM lineitem GROUP BY 1)
+SELECT CASE WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' WHEN b.n IS NULL THEN 'left_only' WHEN a.n IS NULL THEN 'right_only' WHEN abs(a.v - b.v) > 100000 THEN 'changed' ELSE 'matched' END AS status, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def paired_reconciliation(spark, d):
-    l = market.table(spark, d, "lineitem")  # noqa: E741
-    return ledger.reconcile(l.where("l_linenumber <= 2"), l.where("l_linenumber = 2 OR l_linenumber = 7"), ["l_orderkey"], "l_quantity", 5)
+    """Orders against their lines: one line within the tolerance of the order's price matches, several are ambiguous."""
+    orders = market.table(spark, d, "orders").select(c("o_orderkey").alias("k"), c("o_totalprice").alias("v"))
+    lines = market.table(spark, d, "lineitem").select(c("l_orderkey").alias("k"), c("l_extendedprice").alias("v"))
+    return ledger.reconcile(orders, lines, ["k"], "v", 100_000)
 
 
 @query(RUN + f""", m AS (SELECT symbol, abs(avg(net)) AS p FROM run WHERE net IS NOT NULL GROUP BY symbol), h AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM m)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frames import along
 from ..functions import clock, placebo
+from ..functions.quantiles import exact_quantiles
 from ..functions.indicators import back, c, exponential, simple_return, sma, true_range
 from ..operators import checks, drivers, signals
 from ..operators.asof import asof, asof_forward
@@ -134,10 +135,19 @@ def routed_variants(spark, d):
     return drivers.routed(rows, 40, 5).groupBy("symbol", "variant").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("first"))
 
 
-@query(f""", k AS (SELECT symbol, ts, sign(close - lag(close, 10) OVER w)::INT AS p, CASE WHEN volume > 80 THEN 'busy' ELSE 'calm' END AS regime FROM bars {W})
+def halves(bars):
+    """Each symbol's median volume, which parts busy bars from calm ones."""
+    return exact_quantiles(bars, ["symbol"], "volume", {"half": 0.5})
+
+
+def with_half(bars):
+    return bars.join(halves(bars), "symbol")
+
+
+@query(f""", k AS (SELECT symbol, ts, sign(close - lag(close, 10) OVER w)::INT AS p, CASE WHEN volume > half THEN 'busy' ELSE 'calm' END AS regime FROM bars JOIN (SELECT symbol, quantile_cont(volume, 0.5) AS half FROM bars GROUP BY symbol) USING (symbol) {W})
 SELECT symbol, ts, CASE WHEN regime = 'busy' THEN p ELSE 0 END AS busy, CASE WHEN ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-15' THEN p ELSE 0 END AS inside FROM k""")
 def masked_positions(spark, d):
-    b = bars6(spark, d).withColumns({"p": signals.sign(c("close") - back("close", 10)), "regime": F.when(c("volume") > 80, "busy").otherwise("calm")})
+    b = with_half(bars6(spark, d)).withColumns({"p": signals.sign(c("close") - back("close", 10)), "regime": F.when(c("volume") > c("half"), "busy").otherwise("calm")})
     return b.select("symbol", "ts", drivers.in_regimes(c("p"), "regime", ["busy"]).alias("busy"), drivers.in_window(c("p"), "2024-01-05", "2024-01-15").alias("inside"))
 
 
@@ -167,14 +177,19 @@ def session_events(spark, d):
     return e.select("symbol", "day", "direction", c("entry_ts"), c("exit_ts"), net.alias("net_c"))
 
 
-@query(f""", rel AS (SELECT t AS ts FROM (SELECT unnest([TIMESTAMP '2024-01-05 13:30:00', TIMESTAMP '2024-02-02 13:30:00', TIMESTAMP '2024-03-01 13:30:00']) AS t)), q AS (SELECT *, row_number() OVER w AS n, lead(open_bid + open_ask) OVER w AS i, lead(open_bid + open_ask, 5) OVER w AS o FROM quotes {W}),
-e AS (SELECT q.symbol, q.ts, o / i::DOUBLE - 1 AS r FROM q JOIN rel ON rel.ts = q.ts) SELECT symbol, ts, {six("r")} AS r, 0 AS direction FROM e""")
+@query(f""", o AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS day, avg(o_totalprice) AS price FROM orders GROUP BY ALL), x AS (SELECT symbol, day, lead(price, 5) OVER w / lead(price) OVER w - 1 AS r FROM o WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+months AS (SELECT unnest(generate_series(date_trunc('year', min(day)), max(day), INTERVAL 1 MONTH))::DATE AS m FROM o), rel AS (SELECT m + ((12 - isodow(m)) % 7)::INT AS day FROM months),
+e AS (SELECT symbol, day, r FROM x JOIN rel USING (day)), z AS (SELECT *, count(r) OVER p AS n, avg(r) OVER p AS m, stddev_samp(r) OVER p AS s FROM e WINDOW p AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT symbol, day, {six("r")} AS r, CASE WHEN n >= 8 AND abs(m / nullif(s / sqrt(n), 0)) >= 0.5 THEN sign(m)::INT ELSE 0 END AS direction FROM z""")
 def payroll_drift(spark, d):
-    """Returns of four bars after each payroll bar, and the side that earlier ones give; a side needs eight of them."""
-    w = along()
-    q = quote_bars(market.ticks(spark, d)).withColumns({"_i": F.lead(c("open_bid") + c("open_ask")).over(w), "_o": F.lead(c("open_bid") + c("open_ask"), 5).over(w)})
-    e = q.join(F.broadcast(clock.payroll_releases(spark, 2024, 2024)), "ts").select("symbol", "ts", (c("_o") / c("_i") - 1).alias("r"))
-    return e.withColumn("direction", signals.expanding_drift("r", 2.0, 8, ("symbol",)).cast("int"))
+    """Returns of four trading days from the day after each payroll release, and the side that all earlier ones give; a side needs eight of them."""
+    daily = market.table(spark, d, "orders").groupBy(c("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("price"))
+    w = along(order=("day",))
+    x = daily.select("symbol", "day", (F.lead("price", 5).over(w) / F.lead("price").over(w) - 1).alias("r"))
+    first, last = daily.agg(F.year(F.min("day")), F.year(F.max("day"))).first()
+    releases = clock.payroll_releases(spark, first, last).select(F.to_date("ts").alias("day"))
+    e = x.join(F.broadcast(releases), "day").select("symbol", c("day").cast("timestamp_ntz").alias("ts"), "r", "day")
+    return e.withColumn("direction", signals.expanding_drift("r", 0.5, 8, ("symbol",)).cast("int")).drop("ts")
 
 
 @query(f""", g AS (SELECT symbol, epoch(ts - lag(ts) OVER w) AS s FROM bars {W}), y AS (SELECT symbol, 252 * 86400.0 / quantile_cont(s, 0.5) AS a FROM g WHERE s > 0 GROUP BY symbol HAVING count(*) >= 2), n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)
@@ -206,9 +221,9 @@ def complete_stamps(spark, d):
     return checks.complete(bars6(spark, d).select("symbol", "ts"), {"close": closes, "third": closes.where(F.dayofmonth("ts") % 3 == 0)}, 2 * 86400)
 
 
-@query(f""", n AS (SELECT *, row_number() OVER w AS n FROM bars {W}), cuts AS (SELECT unnest([30, 60, 90]) AS cut), p AS (SELECT cut, n.* FROM n JOIN cuts ON n.n <= cut), rule AS (SELECT cut, symbol, ts, sign(avg(close) OVER (v ROWS 4 PRECEDING) - avg(close) OVER (v ROWS 19 PRECEDING)) AS s FROM p WINDOW v AS (PARTITION BY cut, symbol ORDER BY ts)) SELECT cut, count(*) AS checked, 0::BIGINT AS differing FROM rule GROUP BY cut""")
+@query(f""", n AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY symbol) AS m FROM bars {W}), cuts AS (SELECT unnest([25, 50, 75, 100]) AS cut), p AS (SELECT cut, n.* FROM n JOIN cuts ON n.n * 100 <= cut * n.m), rule AS (SELECT cut, symbol, ts, sign(avg(close) OVER (v ROWS 4 PRECEDING) - avg(close) OVER (v ROWS 19 PRECEDING)) AS s FROM p WINDOW v AS (PARTITION BY cut, symbol ORDER BY ts)) SELECT cut, count(*) AS checked, 0::BIGINT AS differing FROM rule GROUP BY cut""")
 def truncation_check(spark, d):
-    return checks.truncation(bars6(spark, d), lambda b: b.withColumn("position", signals.sma_cross(5, 20)), "position", [30, 60, 90])
+    return checks.truncation(bars6(spark, d), lambda b: b.withColumn("position", signals.sma_cross(5, 20)), "position", [25, 50, 75, 100], per_cent=True)
 
 
 @query(f""", n AS (SELECT symbol, ts, row_number() OVER w AS n, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN avg(close) OVER (w ROWS 19 PRECEDING) END AS v FROM bars {W}) SELECT symbol, count(*) AS compared, true AS passed FROM n WHERE n > 25 + 30 GROUP BY symbol""")
@@ -217,13 +232,13 @@ def warmup_check(spark, d):
     return w.select("symbol", "compared", (c("worst") <= 1e-8).alias("passed"))
 
 
-@query(RUN + f""", k AS (SELECT symbol, net > 0 AS s, net, volume > 80 AS g FROM run WHERE net IS NOT NULL), a AS (SELECT symbol, count(*) FILTER (g) AS n_a, count(*) FILTER (NOT g) AS n_b, avg(s::INT) FILTER (g) AS share_a, avg(s::INT) FILTER (NOT g) AS share_b, avg(net) FILTER (g) AS mean_a, avg(net) FILTER (NOT g) AS mean_b, var_samp(net) FILTER (g) AS va, var_samp(net) FILTER (NOT g) AS vb FROM k GROUP BY symbol),
+@query(RUN + f""", k AS (SELECT symbol, net > 0 AS s, net, volume > half AS g FROM run JOIN (SELECT symbol, quantile_cont(volume, 0.5) AS half FROM bars GROUP BY symbol) USING (symbol) WHERE net IS NOT NULL), a AS (SELECT symbol, count(*) FILTER (g) AS n_a, count(*) FILTER (NOT g) AS n_b, avg(s::INT) FILTER (g) AS share_a, avg(s::INT) FILTER (NOT g) AS share_b, avg(net) FILTER (g) AS mean_a, avg(net) FILTER (NOT g) AS mean_b, var_samp(net) FILTER (g) AS va, var_samp(net) FILTER (NOT g) AS vb FROM k GROUP BY symbol),
 e AS (SELECT *, sqrt(share_a * (1 - share_a) / n_a + share_b * (1 - share_b) / n_b) AS es, sqrt(va / n_a + vb / n_b) AS em FROM a WHERE n_a > 1 AND n_b > 1), z AS (SELECT *, (share_a - share_b) / nullif(es, 0) AS zs, (mean_a - mean_b) / nullif(em, 0) AS zm FROM e)
 SELECT symbol, n_a, n_b, {six("share_a")} AS share_a, {six("share_b")} AS share_b, {six(f"CASE WHEN es > 0 THEN 1 - {placebo.normal_cdf('zs')} WHEN share_a > share_b THEN 0 ELSE 1 END")} AS share_p, {six("mean_a")} AS mean_a, {six("mean_b")} AS mean_b, {six(f"CASE WHEN em > 0 THEN 1 - {placebo.normal_cdf('zm')} WHEN mean_a > mean_b THEN 0 ELSE 1 END")} AS mean_p FROM z""")
 def busy_against_calm(spark, d):
-    run = sma_run(spark, d).where("net IS NOT NULL")
-    shares = placebo.share_difference(run, c("volume") > 80, c("net") > 0).withColumnRenamed("p", "share_p")
-    means = placebo.mean_difference(run, c("volume") > 80, c("net")).select("symbol", "mean_a", "mean_b", c("p").alias("mean_p"))
+    run = sma_run(spark, d).join(halves(bars6(spark, d)), "symbol").where("net IS NOT NULL")
+    shares = placebo.share_difference(run, c("volume") > c("half"), c("net") > 0).withColumnRenamed("p", "share_p")
+    means = placebo.mean_difference(run, c("volume") > c("half"), c("net")).select("symbol", "mean_a", "mean_b", c("p").alias("mean_p"))
     return shares.join(means, "symbol")
 
 
@@ -301,11 +316,16 @@ def stored_bars(spark, d):
     return market.read_bars(spark, root, "6h", market.latest_version(spark, root, "6h") if usable == ["v1"] else "none")
 
 
-@query("SELECT 'view' AS symbol, ts, open, high, low, close, volume FROM bars WHERE symbol = 'view'")
+@query("SELECT symbol, ts, open, high, low, close, volume FROM bars")
 def csv_bars(spark, d):
-    path = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
-    market.write_bar_csv(bars6(spark, d).where("symbol = 'view'"), path)
-    return market.read_bar_csv(spark, path, "view", 21600).select(*[c(n).cast("timestamp_ntz") if n == "ts" else c(n) for n in market.BAR_COLUMNS])
+    """Every symbol's bars written as CSV and read again; a reader takes one instrument, as files name none."""
+    path, bars = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}", bars6(spark, d)
+    out = None
+    for (symbol,) in bars.select("symbol").distinct().orderBy("symbol").collect():  # instruments, not rows
+        market.write_bar_csv(bars.where(c("symbol") == symbol), f"{path}/{symbol}")
+        one = market.read_bar_csv(spark, f"{path}/{symbol}", symbol, 21600).select(*[c(n).cast("timestamp_ntz") if n == "ts" else c(n) for n in market.BAR_COLUMNS])
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query(", o AS (SELECT o_orderdate::DATE AS ts, floor(avg(o_totalprice)) AS value FROM orders GROUP BY 1) SELECT ts, value FROM o WHERE value > 0")

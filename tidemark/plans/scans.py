@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..frames import shared_dir
+from ..functions import prequential
 from ..functions.indicators import c
 from ..functions.quantiles import exact_quantiles
-from ..operators import assays, grid
+from ..operators import assays, grid, lifecycle
 from ..sources import market
+from ..streaming import observe
 from .market import NUMBERED, query, six
 
 
@@ -105,3 +110,52 @@ def passage_medians(spark, d):
     hits = assays.first_passage(market.ticks(spark, d), 30000, 4096).where("hit_rows IS NOT NULL")
     n = hits.groupBy("symbol", "hit").agg(F.count(F.lit(1)).alias("n"))
     return n.join(exact_quantiles(hits, ["symbol", "hit"], "hit_rows", {"median_rows": 0.5}), ["symbol", "hit"])
+
+
+DEALS = """, dl AS (SELECT l_orderkey AS position_key, l_shipdate AS ts, l_linenumber AS seq, l_linenumber % 2 = 1 AS is_entry, CASE WHEN (l_linenumber % 2 = 1) <> (l_returnflag = 'R') THEN 'buy' ELSE 'sell' END AS side, 1 + l_quantity::BIGINT % 2 AS qty, round(l_extendedprice / l_quantity * 100)::BIGINT AS price, round(l_discount * 100)::BIGINT AS gross, -round(l_tax * 100)::BIGINT AS charge FROM lineitem),
+dn AS (SELECT *, row_number() OVER (PARTITION BY position_key ORDER BY ts, seq) AS n, sum(CASE WHEN is_entry THEN qty ELSE -qty END) OVER (PARTITION BY position_key ORDER BY ts, seq) AS o FROM dl),
+d1 AS (SELECT position_key, min(n) FILTER (is_entry) AS fi, min(n) FILTER (NOT is_entry) AS fo, arg_min(side, n) FILTER (is_entry) AS fs FROM dn GROUP BY 1),
+d2 AS (SELECT dn.*, CASE WHEN is_entry THEN CASE WHEN n > fo THEN 'entry_after_exit' WHEN side <> fs THEN 'entry_sides_differ' END ELSE CASE WHEN fi IS NULL OR fi > n OR side = fs THEN 'wrong_exit' WHEN o < 0 THEN 'exit_too_large' END END AS broken FROM dn JOIN d1 USING (position_key)),
+d3 AS (SELECT position_key, arg_min(broken, n) FILTER (broken IS NOT NULL) AS broken, count(*) AS deals, count(*) FILTER (NOT is_entry) AS exits, coalesce(sum(qty) FILTER (is_entry), 0)::BIGINT AS qty_in, coalesce(sum(qty) FILTER (NOT is_entry), 0)::BIGINT AS qty_out, coalesce(sum(qty * price) FILTER (is_entry), 0) AS paid, coalesce(sum(qty * price) FILTER (NOT is_entry), 0) AS got, sum(gross) AS gross, sum(charge) AS charges FROM d2 GROUP BY 1)
+"""
+
+
+def deals(spark, d):
+    """Deals of lineitem: an order is a position, odd lines enter and even ones leave; returned lines are on the other side."""
+    t = market.table(spark, d, "lineitem")
+    entry = c("l_linenumber") % 2 == 1
+    cents = lambda x: F.round(x * 100).cast("long")
+    return t.select(c("l_orderkey").alias("position_key"), c("l_shipdate").alias("ts"), c("l_linenumber").alias("seq"), entry.alias("is_entry"), F.when(entry != (c("l_returnflag") == "R"), "buy").otherwise("sell").alias("side"), (1 + c("l_quantity").cast("long") % 2).alias("qty"), cents(c("l_extendedprice") / c("l_quantity")).alias("price"), cents(c("l_discount")).alias("gross"), (-cents(c("l_tax"))).alias("charge"))
+
+
+@query(DEALS + f"""SELECT position_key, coalesce(broken, CASE WHEN exits = 0 OR qty_in <> qty_out THEN 'not_closed' WHEN exits > 1 THEN 'complete_in_parts' ELSE 'complete' END) AS status, deals, qty_in, qty_out, {six("paid / nullif(qty_in, 0)")} AS entry_price, {six("got / nullif(qty_out, 0)")} AS exit_price,
+  gross::BIGINT AS gross, (charges + coalesce(late, 0))::BIGINT AS charges, (gross + charges + coalesce(late, 0))::BIGINT AS net, late IS NOT NULL AS revised
+FROM d3 LEFT JOIN (SELECT o_orderkey AS position_key, -round(o_totalprice / 1e4)::BIGINT AS late FROM orders WHERE o_orderstatus = 'F') USING (position_key)""")
+def round_trips(spark, d):
+    """Every order's lines as one position, with what makes it unfit to count; finished orders bring a late charge."""
+    late = market.table(spark, d, "orders").where("o_orderstatus = 'F'").select(c("o_orderkey").alias("position_key"), (-F.round(c("o_totalprice") / 1e4)).cast("long").alias("charge"))
+    return lifecycle.with_late_charges(lifecycle.round_trips(deals(spark, d)), late)
+
+
+@query(DEALS + f"""SELECT side, sum(qty)::BIGINT AS qty, sum(charge)::BIGINT AS charge, {six("sum(charge) / nullif(sum(qty), 0)")} AS per_lot FROM dl GROUP BY side""")
+def charge_per_lot(spark, d):
+    return lifecycle.charge_per_lot_side(deals(spark, d))
+
+
+@query(""", a AS (SELECT session, seq, CASE WHEN mid_c <= 1000 THEN 'VALIDATION_REJECTED' WHEN row_number() OVER (PARTITION BY mid_c > 1000, session, ts::DATE ORDER BY ts, seq) > 1 THEN 'DUPLICATE' ELSE 'STORED' END AS o FROM ticks)
+SELECT session, count(*) AS attempts, 0::BIGINT AS session_start, count(*) FILTER (o = 'STORED') AS stored, count(*) FILTER (o = 'DUPLICATE') AS duplicate, count(*) FILTER (o = 'VALIDATION_REJECTED') AS validation_rejected, 0::BIGINT AS retrieval_error, 0::BIGINT AS storage_error, 0::BIGINT AS unresolved,
+  true AS balanced, count(*) FILTER (o = 'STORED') AS store_rows, 0::BIGINT AS missing, 0::BIGINT AS orphans, true AS agree FROM a GROUP BY session""")
+def attempt_outcomes(spark, d):
+    """Each tick is an attempt to store a session's quote of the day; low prices are refused."""
+    stream = observe.tick_stream(spark, d).withColumn("day", F.to_date("ts"))
+    attempts, rows = observe.record_attempts(stream, shared_dir(spark), f"attempts-{uuid.uuid4().hex}", ["session", "day"], c("mid_c") > 1000)
+    return observe.reconcile_attempts(attempts, rows)
+
+
+@query()
+def monthly_forecasts(spark, d):
+    """Forecasts of each priority's mean order price, month by month; the slope is that of largest to mean price."""
+    o = market.table(spark, d, "orders").groupBy(c("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    daily = o.agg(F.avg("o_totalprice").alias("close"), F.log(F.max("o_totalprice") / F.avg("o_totalprice")).alias("value"))
+    monthly = prequential.monthly_features(daily.select("symbol", "ts", "close"), daily.select("symbol", "ts", "value"))
+    return prequential.prequential_ridge(monthly, lookback=60, least=24)

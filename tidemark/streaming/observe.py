@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -99,6 +99,57 @@ def run_exponential(stream: DataFrame, folder: str, name: str, alpha: float) ->
     return spark.read.schema(f"{rows_schema}, batch long").parquet(f"{root}/rows").drop("batch")
 
 
+#: What an attempt can come to: fixed values.
+OUTCOMES = ("SESSION_START", "STORED", "DUPLICATE", "VALIDATION_REJECTED", "RETRIEVAL_ERROR", "STORAGE_ERROR", "UNRESOLVED")
+
+
+def record_attempts(stream: DataFrame, folder: str, name: str, key: list[str], valid: Column, border: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(attempts, rows) of a stream of ticks (session, ts, seq, ...): every tick is one attempt, (session, seq, outcome, record_id, ts), and those that are STORED are rows, under the same id.
+
+    A tick that isn't `valid` is VALIDATION_REJECTED, one without a stamp UNRESOLVED, and one whose key is stored already, or comes again in its batch, a DUPLICATE. Rows and attempts
+    are written under the batch's number, so a batch that is run again writes the same. border: a stamp from which data is locked; a batch that reaches it fails whole, before anything of it is written.
+    """
+    spark, root = stream.sparkSession, f"{folder}/{name}"
+    columns = ["session", "seq", "ts", *[k for k in key if k not in ("session", "seq", "ts")]]
+    rows_schema = stream.select(*columns).schema.add("record_id", "string").add("batch", "long")
+    attempts_schema = "session bigint, seq bigint, outcome string, record_id string, ts timestamp, batch long"
+
+    def batch(ticks: DataFrame, number: int) -> None:
+        if border is not None and ticks.where(F.col("ts") >= F.lit(border).cast("timestamp")).take(1):
+            raise ValueError(f"a tick at or after {border} is locked")
+        fine = F.col("ts").isNotNull() & F.coalesce(valid, F.lit(False))
+        t = ticks.withColumn("_fine", fine).withColumn("_nth", F.row_number().over(Window.partitionBy("_fine", *key).orderBy("ts", "seq")))
+        if number:
+            stored_before = spark.read.schema(rows_schema).parquet(f"{root}/rows").where(F.col("batch") < number).select(*key).distinct().withColumn("_known", F.lit(True))
+            t = t.join(stored_before, key, "left")
+        else:
+            t = t.withColumn("_known", F.lit(None).cast("boolean"))
+        outcome = F.when(F.col("ts").isNull(), "UNRESOLVED").when(~F.col("_fine"), "VALIDATION_REJECTED").when(F.col("_known") | (F.col("_nth") > 1), "DUPLICATE").otherwise("STORED")
+        t = stored(t.withColumn("outcome", outcome).withColumn("record_id", F.when(F.col("outcome") == "STORED", F.sha2(F.concat_ws(":", "session", "seq"), 256))), "attempts")
+        t.where("outcome = 'STORED'").select(*columns, "record_id").write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        t.select("session", "seq", "outcome", "record_id", "ts").write.mode("overwrite").parquet(f"{root}/attempts/batch={number}")
+
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(attempts_schema).parquet(f"{root}/attempts").drop("batch"), spark.read.schema(rows_schema).parquet(f"{root}/rows").drop("batch")
+
+
+def reconcile_attempts(attempts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(session, attempts, a count for each outcome, balanced, store_rows, missing, orphans, agree): attempts against stored rows in both directions.
+
+    balanced: every attempt but the session's start has a known outcome. missing: stored attempts without a row; orphans: rows without such an attempt; agree: neither, and
+    as many ids as rows. A session known on one side only has a row, too.
+    """
+    named = {o: o.lower() for o in OUTCOMES}
+    market = F.col("outcome") != "SESSION_START"
+    counts = attempts.groupBy("session").agg(F.count_if(market).alias("attempts"), *[F.count_if(F.col("outcome") == o).alias(n) for o, n in named.items()], F.count_if(market & F.col("outcome").isin(*OUTCOMES)).alias("_classified"))
+    said = attempts.where("outcome = 'STORED' AND record_id IS NOT NULL").groupBy("session", "record_id").agg(F.count(F.lit(1)).alias("_said"))
+    there = rows.groupBy("session", "record_id").agg(F.count(F.lit(1)).alias("_there"))
+    ids = said.join(there, ["session", "record_id"], "full").groupBy("session").agg(F.coalesce(F.sum("_there"), F.lit(0)).alias("store_rows"), F.count_if(F.col("_there").isNull()).alias("missing"), F.count_if(F.col("_said").isNull()).alias("orphans"), F.count("_said").alias("_ids"))
+    both = counts.join(ids, "session", "full").na.fill(0)
+    return both.select("session", "attempts", *named.values(), (F.col("_classified") == F.col("attempts")).alias("balanced"), "store_rows", "missing", "orphans", ((F.col("missing") == 0) & (F.col("orphans") == 0) & (F.col("_ids") == F.col("store_rows"))).alias("agree"))
+
+
 def run_available(stream: DataFrame, folder: str, name: str) -> DataFrame:
     """Runs a stream over what is there, to Parquet in `folder` with its checkpoint beside it, and reads the result. A restart goes on from the checkpoint."""
     query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}/rows").option("checkpointLocation", f"{folder}/{name}/checkpoint").outputMode("append").trigger(availableNow=True).start()
