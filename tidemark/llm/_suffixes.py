@@ -30,6 +30,7 @@ def lyndon_groups(text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     group, place = np.empty(n, np.int64), np.empty(n, np.int64)
     group[order] = np.repeat(begin, size[begin])
     place[order] = np.arange(n)
+    del owner, letters
     smaller = np.full(n, -1, np.int64)
     moving = np.zeros(n, bool)
     low, high = first[:-1].copy(), first[1:] - 1

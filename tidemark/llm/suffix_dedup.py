@@ -24,7 +24,7 @@ CROWDED = 24_000
 #: Windows of a segment; longer stretches of one anchor are cut.
 LONGEST = 4096
 #: Bytes whose suffix arrays are made at once.
-BATCH = 1_500_000
+BATCH = 3_000_000
 
 RUN_SCHEMA = "anchor long, k1 long, k2 long, start int, n int, places int"
 CUT_SCHEMA = "k1 long, k2 long, start int, key binary, anchor long, segment binary, n long"
@@ -169,8 +169,8 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     gram = min(gram, max(1, window // 6))
     source = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
     runs = written(source.mapInArrow(_runs(window, gram), RUN_SCHEMA), "byte-runs")
-    several = written(runs.groupBy("anchor").agg(F.sum("places").alias("c"), F.count(F.lit(1)).alias("rows")).where("c > 1"), "byte-anchors")
-    wanted = joined(runs, several.select("anchor"), ["anchor"], several.where(F.col("rows") >= CROWDED_ROWS)).groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
+    several = written(runs.groupBy("anchor").agg(F.sum("places").alias("c")).where("c > 1").select("anchor"), "byte-anchors")
+    wanted = runs.join(several, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
     cut = written(source.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_segments(window), CUT_SCHEMA), "byte-segments")
     distinct = written(cut.where("segment is not null").groupBy("anchor", "key").agg(F.first("segment").alias("segment"), F.sum("n").alias("n")), "byte-kinds")
     crowded = written(distinct.groupBy("anchor").agg(F.sum(F.length("segment")).alias("size")).where(F.col("size") > CROWDED).select("anchor"), "byte-crowded")
@@ -181,7 +181,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     text = many.groupBy("key").agg(F.first("segment").alias("segment"))
     single = twice.join(text, "key").select(F.col("h1").alias("anchor"), digest.alias("key"), F.substring("segment", F.col("at") + 1, F.lit(window)).alias("segment"), "n")
     few = distinct.join(crowded, "anchor", "left_anti").select("anchor", "key", "segment", "n")
-    shards = 1 + runs.count() // 50_000
+    shards = 1 + runs.count() // 100_000
     found = written(few.union(single).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_match(window), HITS), "byte-hits")
     of_windows = windows.withColumn("digest", digest).join(found.select(F.col("key").alias("digest")), "digest", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at")).mapInPandas(_gathered, HITS)
     hits = written(found.union(of_windows), "byte-hits")
