@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import canonical, timing
-from tidemark.operators import assays, centred, sessions
+from tidemark.functions import canonical, inference, timing
+from tidemark.operators import assays, centred, impulse, sessions
 
 T0 = dt.datetime(2024, 1, 1)
 BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double"
@@ -166,3 +166,43 @@ def test_variations_of_one_idea_are_one_cluster(spark):
     got = {r["fingerprint"]: r["trials"] for r in canonical.clusters(trials).collect()}
     assert got == {key("trend", "m", ["a", "b"], ["k", "n"]): 2, key("trend", "m", ["a"], ["n"]): 1, key("", "", [], []): 1}
     assert tuple(canonical.novelty(trials).first()) == (4, 3, 2) and tuple(canonical.novelty(trials.limit(0)).first()) == (0, 0, 0)
+
+
+def test_impulse_study_against_plain_loops(spark):
+    rows = walk(260, 60, 11)
+    bars = spark.createDataFrame(rows, BARS)
+    paths = impulse.measured(bars, (3, 6), latency=2, suppress=4, k=1.2)
+    got = {(r["family"], r["horizon"], r["row"], r["event"]): (r["split"], r["side"], r["return_bps"]) for r in paths.collect()}
+    close, n, want = [r[5] for r in rows], len(rows), {}
+    row_of = {r[1]: i for i, r in enumerate(rows)}
+    for family in assays.detectors():
+        events = {row_of[r["ts"]]: r["direction"] for r in assays.impulse_events(bars, family, 4, k=1.2).collect()}
+        for h in (3, 6):
+            for i in range(n):
+                split = "discovery" if i < int(n * 0.6) else "validation" if i < int(n * 0.8) else None
+                event, last = i in events, max((e for e in events if e <= i), default=None)
+                whole = i + 2 + h < n
+                if split and (event or (26 <= i < n - 2 - h and (last is None or i - last > 2 + h))):
+                    side = events.get(i) or (1 if int(hashlib.md5(f"0:x:{i}".encode()).hexdigest()[0], 16) % 2 == 0 else -1)
+                    want[family, h, i, event] = (split, side, side * (close[i + 2 + h] / close[i + 2] - 1) * 1e4 if whole else None)
+    assert got.keys() == want.keys() and {k[3] for k in got} == {True, False}
+    for k, (split, side, value) in want.items():
+        assert got[k][:2] == (split, side) and got[k][2] == (None if value is None else pytest.approx(value))
+    result = impulse.study(paths, 2.0)
+    table = {(r["family"], r["horizon"], r["split"]): r for r in result.collect()}
+    for (family, h, split), r in table.items():
+        mine = [v for (f, x, _, e), v in want.items() if f == family and x == h and e and split in (v[0], "pooled")]
+        base = [v for (f, x, _, e), v in want.items() if f == family and x == h and not e and split in (v[0], "pooled")]
+        k, b = sum(v[2] > 0 for v in mine), sum(v[2] > 0 for v in base)
+        assert (r["detected"], r["continued"], r["baseline"], r["baseline_continued"]) == (len(mine), k, len(base), b)
+        q = b / len(base) if base else 0.5
+        assert r["p"] == pytest.approx(inference.binomial_two_sided(k, len(mine), min(max(q, 1e-9), 1 - 1e-9)) if mine else 1.0)
+        if mine and base:
+            half = 1.959964 * (k / len(mine) * (1 - k / len(mine)) / len(mine) + q * (1 - q) / len(base)) ** 0.5
+            assert (r["diff_low"], r["diff_high"]) == pytest.approx((k / len(mine) - q - half, k / len(mine) - q + half), abs=1e-6)
+        if mine:
+            assert r["net_bps"] == pytest.approx(np.mean([v[2] for v in mine]) - 2)
+        group = sorted(x["p"] for y, x in table.items() if y[1:] == (h, split))
+        assert r["p_holm"] == pytest.approx(min(1, max((len(group) - i) * p for i, p in enumerate(group) if p <= r["p"])))
+    costs = {(r["family"], r["horizon"], r["times"]): r["net_bps"] for r in impulse.cost_sweep(result, 2.0).collect()}
+    assert all(costs[f, h, 3.0] == pytest.approx(r["gross_bps"] - 6) for (f, h, s), r in table.items() if s == "pooled" and r["gross_bps"] is not None)

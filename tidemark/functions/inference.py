@@ -7,15 +7,15 @@ from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649
 NORMAL = NormalDist()
 
 
-def holm(tests: DataFrame, p: str = "p", family: str | None = None) -> DataFrame:
-    """tests with p_holm: step-down adjusted, in families if a column is named. One row for each test, so families are small."""
+def holm(tests: DataFrame, p: str = "p", family: str | list[str] | None = None) -> DataFrame:
+    """tests with p_holm: step-down adjusted, in families if a column or several are named. One row for each test, so families are small."""
     by = Window.partitionBy(family) if family else Window.partitionBy(F.lit(1))
     ordered = by.orderBy(p)
     raw = (F.count(F.lit(1)).over(by) - F.row_number().over(ordered) + 1) * F.col(p)
@@ -53,6 +53,13 @@ def binomial_two_sided(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(x) for x in logs if x <= logs[k] + 1e-9))
 
 
+def two_proportions(k1: str, n1: str, k2: str, n2: str, level: float = 0.95) -> tuple[Column, Column, Column]:
+    """(difference of two shares, low, high): normal interval of independent counts, to which redrawn binomials tend; all 0 where either has no trials."""
+    a, b, n, m = F.col(k1) / F.nullif(n1, F.lit(0)), F.col(k2) / F.nullif(n2, F.lit(0)), F.col(n1), F.col(n2)
+    half = NORMAL.inv_cdf((1 + level) / 2) * F.sqrt(a * (1 - a) / n + b * (1 - b) / m)
+    return tuple(F.coalesce(x, F.lit(0.0)) for x in (a - b, a - b - half, a - b + half))
+
+
 def years_needed(sharpe: float, t: float = 2.0) -> float | None:
     return (t / sharpe) ** 2 if sharpe else None
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, timing
 from ..functions.indicators import c
-from ..operators import centred, sessions, signals
+from ..operators import centred, impulse, sessions, signals
 from ..operators.resample import ticks_to_bars
 from ..sources import market
-from .market import COST, NUMBERED, YEAR, bars6, query, six
+from .market import COST, FAMILIES, IMPULSE, NUMBERED, YEAR, W, bars6, query, six
 
 
 def bars_sql(width: str) -> str:
@@ -131,3 +131,39 @@ def trial_clusters(spark, d):
 @query(TRIALS + "SELECT count(*) AS total_trials, count(DISTINCT fingerprint) AS distinct_hypotheses, (SELECT max(n) FROM (SELECT count(*) AS n FROM tf GROUP BY fingerprint)) AS largest_cluster FROM tf")
 def trial_novelty(spark, d):
     return canonical.novelty(trials(spark, d))
+
+
+STUDY = IMPULSE + "d AS (" + " UNION ALL ".join(f"SELECT symbol, ts, n - 1 AS row, '{k}' AS family, coalesce(({x})::INT, 0) AS direction FROM i1 {W}" for k, x in FAMILIES.items()) + f"""),
+e AS (SELECT *, row_number() OVER (PARTITION BY symbol, family ORDER BY row) AS k FROM d WHERE direction <> 0),
+f AS (SELECT symbol, family, k, row AS last, true AS taken FROM e WHERE k = 1 UNION ALL
+  SELECT e.symbol, e.family, e.k, CASE WHEN e.row > f.last + 4 THEN e.row ELSE f.last END, e.row > f.last + 4 FROM f JOIN e ON e.symbol = f.symbol AND e.family = f.family AND e.k = f.k + 1),
+t AS (SELECT e.symbol, e.family, e.row, e.direction AS taken FROM e JOIN f ON e.symbol = f.symbol AND e.family = f.family AND e.k = f.k AND f.taken),
+px AS (SELECT symbol, row_number() OVER w - 1 AS row, count(*) OVER (PARTITION BY symbol) AS rows, lead(close, 1) OVER w AS c0, lead(close, 5) OVER w AS c4, lead(close, 13) OVER w AS c12 FROM bars {W}),
+g0 AS (SELECT d.symbol, d.family, d.row, px.rows, t.taken, c0, c4, c12, max(CASE WHEN t.taken IS NOT NULL THEN d.row END) OVER (PARTITION BY d.symbol, d.family ORDER BY d.row) AS last,
+  CASE WHEN d.row < floor(px.rows * 0.6::DOUBLE) THEN 'discovery' WHEN d.row < floor(px.rows * 0.8::DOUBLE) THEN 'validation' END AS split FROM d JOIN px ON px.symbol = d.symbol AND px.row = d.row LEFT JOIN t ON t.symbol = d.symbol AND t.family = d.family AND t.row = d.row),
+g1 AS (SELECT *, taken IS NOT NULL AS event, (CASE horizon WHEN 4 THEN c4 ELSE c12 END / nullif(c0, 0) - 1) * 1e4 AS move, coalesce(taken, CASE WHEN ('0x' || substr(md5('0:' || symbol || ':' || row), 1, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS side FROM g0, (VALUES (4), (12)) AS hz(horizon) WHERE split IS NOT NULL),
+g2 AS (SELECT symbol, family, horizon, unnest([split, 'pooled']) AS split, event, side, side * move AS ret FROM g1 WHERE event OR row >= 26 AND row < rows - (1 + horizon) AND (last IS NULL OR row - last > 1 + horizon)),
+g3 AS (SELECT symbol, family, horizon, split, count(*) FILTER (event) AS detected, count(ret) FILTER (event) AS measured, count(*) FILTER (event AND ret > 0) AS continued, count(*) FILTER (event AND ret < 0) AS reversed, count(*) FILTER (event AND side > 0) AS longs, count(ret) FILTER (NOT event) AS baseline,
+  count(*) FILTER (NOT event AND ret > 0) AS baseline_continued, avg(ret) FILTER (event) AS gross, stddev_samp(ret) FILTER (event) AS sd, avg(ret - 2) FILTER (event AND side > 0) AS long_net, avg(ret - 2) FILTER (event AND side < 0) AS short_net FROM g2 GROUP BY ALL),
+g4 AS (SELECT *, coalesce(baseline_continued / nullif(baseline, 0)::DOUBLE, 0.5) AS rate, continued / nullif(measured, 0)::DOUBLE AS pa, baseline_continued / nullif(baseline, 0)::DOUBLE AS pb FROM g3),
+g5 AS (SELECT *, least(greatest(rate, 1e-9), 1 - 1e-9) AS q, list_transform(generate_series(0, measured), lambda i: lgamma(measured + 1) - lgamma(i + 1) - lgamma(measured - i + 1) + i * ln(least(greatest(rate, 1e-9), 1 - 1e-9)) + (measured - i) * ln(1 - least(greatest(rate, 1e-9), 1 - 1e-9))) AS logs FROM g4),
+g6 AS (SELECT *, CASE WHEN measured = 0 THEN 1 ELSE least(1.0, round(list_sum(list_transform(list_filter(logs, lambda x: x <= logs[continued + 1] + 1e-9), lambda x: exp(x))), 12)) END AS p FROM g5),
+g7 AS (SELECT *, (count(*) OVER h - row_number() OVER (h ORDER BY p) + 1) * p AS raw FROM g6 WINDOW h AS (PARTITION BY symbol, horizon, split)),
+g8 AS (SELECT *, least(1.0, max(raw) OVER (PARTITION BY symbol, horizon, split ORDER BY p, raw DESC ROWS UNBOUNDED PRECEDING)) AS p_holm, sqrt(pa * (1 - pa) / measured + pb * (1 - pb) / baseline) * 1.959963984540054 AS half FROM g7)
+"""
+
+
+def impulse_results(spark, d):
+    return impulse.study(impulse.measured(bars6(spark, d), suppress=4, k=1.2), COST)
+
+
+@query(STUDY + f"""SELECT symbol, family, horizon, split, detected, measured, continued, reversed, longs, baseline, baseline_continued, {six("rate")} AS baseline_rate, {six("coalesce(pa - pb, 0)")} AS diff, {six("coalesce(pa - pb - half, 0)")} AS diff_low, {six("coalesce(pa - pb + half, 0)")} AS diff_high,
+  {six("gross")} AS gross_bps, {six("gross - 2")} AS net_bps, {six("long_net")} AS long_net_bps, {six("short_net")} AS short_net_bps, {six("(gross - 2) / nullif(sd, 0)")} AS sharpe, {six("p")} AS p, {six("p_holm")} AS p_holm FROM g8""")
+def impulse_study(spark, d):
+    """All families of impulses at two horizons against bars without events; the last fifth of time is never measured."""
+    return impulse_results(spark, d)
+
+
+@query(STUDY + f"SELECT symbol, family, horizon, times, {six('gross - times * 2')} AS net_bps FROM g3, (VALUES (0.5::DOUBLE), (1), (2), (3)) AS x(times) WHERE split = 'pooled'")
+def impulse_costs(spark, d):
+    return impulse.cost_sweep(impulse_results(spark, d), COST)
