@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import canonical, inference, timing
+from tidemark.functions import canonical, clock, inference, timing
 from tidemark.operators import assays, centred, impulse, sessions
 
 T0 = dt.datetime(2024, 1, 1)
@@ -206,3 +206,13 @@ def test_impulse_study_against_plain_loops(spark):
         assert r["p_holm"] == pytest.approx(min(1, max((len(group) - i) * p for i, p in enumerate(group) if p <= r["p"])))
     costs = {(r["family"], r["horizon"], r["times"]): r["net_bps"] for r in impulse.cost_sweep(result, 2.0).collect()}
     assert all(costs[f, h, 3.0] == pytest.approx(r["gross_bps"] - 6) for (f, h, s), r in table.items() if s == "pooled" and r["gross_bps"] is not None)
+
+
+@pytest.mark.parametrize("zone, stamp, hours", [
+    ("America/New_York", "2024-03-10 09:59", 2), ("America/New_York", "2024-03-10 10:00", 3), ("America/New_York", "2024-11-03 08:59", 3), ("America/New_York", "2024-11-03 09:00", 2),
+    ("Europe/Athens", "2024-03-31 03:59", 2), ("Europe/Athens", "2024-03-31 04:00", 3), ("Europe/Athens", "2024-10-27 03:59", 3), ("Europe/Athens", "2024-10-27 04:00", 2),
+])
+def test_server_stamps_at_changes_of_the_clock(spark, zone, stamp, hours):
+    at = dt.datetime.fromisoformat(stamp)
+    d = spark.createDataFrame([(at,), (None,)], "stamp timestamp_ntz").select(clock.server_to_utc(F.col("stamp"), zone).alias("utc"))
+    assert [r["utc"] for r in d.collect()] == [at - dt.timedelta(hours=hours), None]

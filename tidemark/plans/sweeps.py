@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import canonical, timing
+from ..functions import canonical, clock, timing
 from ..functions.indicators import c
 from ..operators import centred, impulse, sessions, signals
 from ..operators.resample import ticks_to_bars
@@ -167,3 +167,20 @@ def impulse_study(spark, d):
 @query(STUDY + f"SELECT symbol, family, horizon, times, {six('gross - times * 2')} AS net_bps FROM g3, (VALUES (0.5::DOUBLE), (1), (2), (3)) AS x(times) WHERE split = 'pooled'")
 def impulse_costs(spark, d):
     return impulse.cost_sweep(impulse_results(spark, d), COST)
+
+
+def server_utc_sql(zone: str, winter: int) -> str:
+    probe = "(stamp - INTERVAL 3 HOUR)"
+    summer = f"epoch(({probe} AT TIME ZONE 'UTC') AT TIME ZONE '{zone}') - epoch({probe}) <> {winter}"
+    return f"CASE WHEN {summer} THEN {probe} ELSE stamp - INTERVAL 2 HOUR END"
+
+
+@query(f""", st AS (SELECT l_shipdate::DATE AS day, l_shipdate::TIMESTAMP + to_hours((l_orderkey % 24)::INT) AS stamp FROM lineitem),
+su AS (SELECT day, stamp, {server_utc_sql("America/New_York", -18000)} AS ny, {server_utc_sql("Europe/Athens", 7200)} AS athens FROM st)
+SELECT day, count(*) AS n, count(*) FILTER (stamp - ny = INTERVAL 3 HOUR) AS summer_ny, count(*) FILTER (stamp - athens = INTERVAL 3 HOUR) AS summer_athens, count(*) FILTER (ny <> athens) AS differ, min(ny) AS first_ny, max(athens) AS last_athens FROM su GROUP BY day""")
+def server_stamps(spark, d):
+    """Stamps of a server's clock over seven years as UTC, when it follows New York's summer time and when it follows Athens'; the two differ for some weeks each year."""
+    t = market.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day"), (F.to_date("l_shipdate").cast("timestamp_ntz") + F.make_interval(hours=(c("l_orderkey") % 24).cast("int"))).alias("stamp"))
+    t = t.withColumns({"ny": clock.server_to_utc(c("stamp")), "athens": clock.server_to_utc(c("stamp"), "Europe/Athens")})
+    late = lambda x: F.unix_seconds(c("stamp").cast("timestamp")) - F.unix_seconds(c(x).cast("timestamp")) == 3 * 3600
+    return t.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_if(late("ny")).alias("summer_ny"), F.count_if(late("athens")).alias("summer_athens"), F.count_if(c("ny") != c("athens")).alias("differ"), F.min("ny").alias("first_ny"), F.max("athens").alias("last_athens"))
