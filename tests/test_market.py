@@ -1,6 +1,7 @@
 """Every market query against its DuckDB twin, and operators on small frames."""
 
 import datetime as dt
+import random
 from pathlib import Path
 
 import duckdb
@@ -257,6 +258,43 @@ def test_nearest_match_equals_one_fold_over_all(spark):
     assert got == want
 
 
+def in_one_pass(intents, fills, within):
+    """The places of fills that intents take, in order; rows are (second, seq), repeated rows count each for itself."""
+    used, out = set(), []
+    for at, seq in sorted(intents):
+        near = [(-abs(f - at), f, n, k) for k, (f, n) in enumerate(fills) if k not in used and abs(f - at) <= within]
+        used.add(max(near)[3] if near else None)
+        out.append((seq, max(near)[2] if near else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("span", [5_000, 60_000])
+def test_matching_in_rounds_equals_one_pass_over_a_dense_symbol(spark, span):
+    draw = random.Random(span)
+    left, right = [[(draw.randrange(span), draw.randrange(10**6)) for _ in range(n)] for n in (5000, 5000)]
+    right = right[:-50] + right[:50]
+    got = evidence.nearest_match(stamped(spark, left), stamped(spark, right), 30, slice_s=600)
+    assert sorted([(r.seq, r.fill_seq) for r in got.collect()], key=str) == in_one_pass(left, right, 30)
+
+
+def test_a_taken_fill_is_passed_on_over_many_slices(spark):
+    """Every intent but the first finds its nearest fill taken by the one before, slice after slice."""
+    right = [(100 * k, k) for k in range(13)]
+    left = [(100 * k + 50 - (k == 0), k) for k in range(12)] + [(99, 99)]
+    got = evidence.nearest_match(stamped(spark, left), stamped(spark, right), 50, slice_s=100)
+    assert sorted([(r.seq, r.fill_seq) for r in got.collect()], key=str) == in_one_pass(left, right, 50)
+
+
+def test_matching_without_rows_and_with_unknown_fields(spark):
+    none = stamped(spark, [])
+    assert evidence.nearest_match(none, none, 60).count() == 0
+    some = spark.createDataFrame([(None, 10, 1), ("x", 10, None), ("x", None, 3)], "symbol string, s int, seq long")
+    some = some.select("symbol", F.expr("timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, s)").alias("ts"), "seq")
+    got = evidence.nearest_match(some, some, 60).collect()
+    assert sorted([(r.symbol, r.seq, r.fill_seq, r.distance_s) for r in got], key=str) == sorted([(None, 1, 1, 0.0), ("x", None, None, 0.0), ("x", 3, None, None)], key=str)
+    assert {r.fill_seq for r in evidence.nearest_match(some, none, 60).collect()} == {None}
+
+
 def test_logs_and_reports_are_read_by_pattern(spark, tmp_path):
     (tmp_path / "a.log").write_text("12:00 deal #7 buy 0.10 at 1900.5\nnoise\n12:01 deal #8 sell x at 1901\n")
     rows = evidence.read_log(spark, str(tmp_path / "a.log"), r"deal #(\d+) (\w+) (\S+) at (\S+)", {"deal": "long", "side": "string", "lots": "double", "price": "double"}).orderBy("deal").collect()

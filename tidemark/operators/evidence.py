@@ -2,48 +2,87 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..frames import islands, numbered, seconds
+from ..frames import islands, numbered, stored
 from ..functions.indicators import c
 from .assays import with_ahead
 
 
-def nearest_match(intents: DataFrame, fills: DataFrame, within_s: float) -> DataFrame:
+#: An unknown seq sorts behind all others.
+UNKNOWN = 2**63 - 1
+
+
+def nearest_match(intents: DataFrame, fills: DataFrame, within_s: float, slice_s: float = 86400) -> DataFrame:
     """(symbol, seq, fill_seq, distance_s): each intent, in the order of (ts, seq), takes the nearest fill within within_s seconds that no intent before it took;
-    of equally near ones the later, then the greater seq. Intents without one have nulls. Both sides hold symbol, ts, seq; rows without a stamp match nothing.
+    of equally near ones the later, then the greater seq. Intents without one have nulls. Both sides hold symbol, ts, seq; rows without a stamp match nothing, an
+    unknown seq comes last, repeated rows count each for itself.
 
-    Rows more than within_s after the one before start a new group: groups can't share a match. Those that begin in one week are
-    folded together, by a merge over sorted stamps.
+    Time is cut into slices of slice_s, or of twice within_s if that is longer, so an intent reaches fills of its own slice and the borders of its neighbours only.
+    All slices are matched at once, as if nothing were taken at their borders; then those whose neighbour before them took something there are matched again,
+    until no slice takes anything else at its border than in the round before. That is the result of one pass in order: the first slice is right at
+    once, and every other is right a round after the one before it. A round matches only slices whose border changed, and a symbol is as many groups as it has slices.
     """
-    side = lambda df, k: df.select("symbol", seconds("ts").alias("at"), c("seq").cast("long").alias("seq"), F.lit(k).alias("side"))
-    both = side(intents, 0).union(side(fills, 1))
-    w = Window.partitionBy("symbol").orderBy("at", "seq", "side")
-    far = F.coalesce((c("at") - F.lag("at").over(w) > within_s).cast("int"), F.lit(0))
-    both = both.withColumn("far", far == 1).withColumn("begun", F.when(c("far") | F.lag("side").over(w).isNull(), c("at")))
-    both = both.withColumn("week", F.floor(F.last("begun", True).over(w.rowsBetween(Window.unboundedPreceding, 0)) / 604800))
+    width, within = max(round(slice_s * 1e6), 2 * round(within_s * 1e6)), round(within_s * 1e6)
+    side = lambda df, k: df.select("symbol", F.unix_micros(c("ts").cast("timestamp")).alias("at"), F.coalesce(c("seq").cast("long"), F.lit(UNKNOWN)).alias("seq"), F.lit(k).alias("side"))
+    place = lambda at: F.floor(at / width)
+    asked, given = side(intents, 0), side(fills, 1)
+    reached = F.explode(F.sequence(place(c("at") - within), place(c("at") + within)))
+    rows = stored(asked.where("at IS NOT NULL").withColumn("slice", place(c("at"))).unionByName(given.where("at IS NOT NULL").withColumn("slice", reached)), "match-rows")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fills = pdf[(pdf["side"] == 1) & pdf["at"].notna()].sort_values(["at", "seq"])
-        at, seqs, used, out = fills["at"].tolist(), fills["seq"].tolist(), set(), []
-        start = 0
-        for symbol, now, seq in pdf[pdf["side"] == 0].sort_values(["at", "seq"])[["symbol", "at", "seq"]].itertuples(index=False):
-            best = None
-            while start < len(at) and at[start] < now - within_s:
-                start += 1
-            k = start
-            while now == now and k < len(at) and at[k] <= now + within_s:
-                if k not in used and (best is None or abs(at[k] - now) <= abs(at[best] - now)):
-                    best = k
-                k += 1
-            if best is not None:
-                used.add(best)
-            out.append((symbol, seq, None if best is None else seqs[best], None if best is None else abs(at[best] - now)))
-        return pd.DataFrame(out, columns=["symbol", "seq", "fill_seq", "distance_s"]).astype({"fill_seq": "Int64"})
-
-    return both.groupBy("symbol", "week").applyInPandas(run, "symbol string, seq long, fill_seq long, distance_s double")
+        pairs = lambda k: zip(*(pdf.loc[pdf["side"] == k, x].tolist() for x in ("at", "seq")))
+        taken = Counter(pairs(2))
+        free = sorted((Counter(pairs(1)) - taken).elements())
+        at = [t for t, _ in free]
+        # Place k + 1 of either list stands for fill k: where to look on for one that is free, to the left or to the right.
+        left, right = list(range(len(free) + 2)), list(range(len(free) + 2))
+
+        def look(way: list[int], k: int) -> int:
+            while way[k] != k:
+                way[k] = way[way[k]]
+                k = way[k]
+            return k
+
+        out = []
+        for symbol, part, now, seq in pdf.loc[pdf["side"] == 0, ["symbol", "slice", "at", "seq"]].sort_values(["at", "seq"]).itertuples(index=False):
+            here = bisect_left(at, now)
+            before, after = look(left, here), look(right, here + 1)
+            if after <= len(at):
+                after = look(left, bisect_right(at, at[after - 1]))
+            near = [(abs(at[k - 1] - now), -k) for k in (before, after) if 1 <= k <= len(at) and abs(at[k - 1] - now) <= within]
+            far, k = min(near, default=(None, 0))
+            if k:
+                left[-k], right[-k] = -k - 1, -k + 1
+            out.append((symbol, part, seq, *(free[-k - 1] if k else (None, None)), None if far is None else far / 1e6))
+        return pd.DataFrame(out, columns=["symbol", "slice", "seq", "fill_at", "fill_seq", "distance_s"]).astype({"fill_at": "Int64", "fill_seq": "Int64"})
+
+    key = lambda a, b: c(f"{a}.symbol").eqNullSafe(c(f"{b}.symbol")) & (c(f"{a}.slice") == c(f"{b}.slice"))
+    border = F.sort_array(F.collect_list(F.when(place(c("fill_at") + within) > c("slice"), F.struct("fill_at", "fill_seq"))))
+    found, borders, todo, n = [], [], rows, 0
+    while True:
+        matched = todo.groupBy("symbol", "slice").applyInPandas(run, "symbol string, slice long, seq long, fill_at long, fill_seq long, distance_s double")
+        found.append(stored(matched.withColumn("round", F.lit(n)), "matched"))
+        now = found[-1].groupBy("symbol", "slice", "round").agg(border.alias("border"))
+        before = reduce(DataFrame.unionByName, borders).groupBy("symbol", "slice").agg(F.max_by("border", "round").alias("border")) if borders else now.limit(0).drop("round")
+        changed = now.alias("n").join(before.alias("o"), key("n", "o"), "left").where(~F.coalesce(c("o.border"), F.array().cast(now.schema["border"].dataType)).eqNullSafe(c("n.border")))
+        again = stored(changed.select("n.symbol", (c("n.slice") + 1).alias("slice"), "n.border"), "match-again")
+        if again.isEmpty():
+            break
+        borders.append(now)
+        taken = again.select("symbol", "slice", F.explode("border").alias("b")).select("symbol", c("b.fill_at").alias("at"), c("b.fill_seq").alias("seq"), F.lit(2).alias("side"), "slice")
+        todo, n = rows.alias("r").join(again.alias("a"), key("r", "a"), "left_semi").unionByName(taken), n + 1
+    every = reduce(DataFrame.unionByName, found)
+    last = every.withColumn("_last", F.max("round").over(Window.partitionBy("symbol", "slice"))).where("round = _last").select("symbol", "seq", "fill_seq", "distance_s")
+    unknown = asked.where("at IS NULL").select("symbol", "seq", F.lit(None).cast("long").alias("fill_seq"), F.lit(None).cast("double").alias("distance_s"))
+    seqs = {x: F.nullif(x, F.lit(UNKNOWN)) for x in ("seq", "fill_seq")}
+    return last.unionByName(unknown).withColumns(seqs)
 
 
 def limit_replay(ticks: DataFrame, below_c: int, stop_c: int, target_c: int, horizon: int) -> DataFrame:
