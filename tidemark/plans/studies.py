@@ -267,7 +267,12 @@ def label_changes(spark, d):
     return evidence.changes(bars6(spark, d), signals.sign(c("close") - c("open")))
 
 
-@query()
+@query(""", asked AS (SELECT symbol, ts, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS i FROM ticks WHERE seq % 2 = 1), given AS (SELECT symbol, ts, seq FROM ticks WHERE seq % 2 = 0),
+pass AS (SELECT symbol, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BIGINT AS fill_seq, []::BIGINT[] AS used FROM asked WHERE i = 1
+  UNION ALL SELECT symbol, i, seq, fill_seq, list_append(used, fill_seq) FROM (
+    SELECT a.symbol, a.i, a.seq, p.used, arg_max(g.seq, (-abs(epoch_us(g.ts) - epoch_us(a.ts)), g.ts, g.seq)) AS fill_seq FROM pass p JOIN asked a ON a.symbol = p.symbol AND a.i = p.i + 1
+    LEFT JOIN given g ON g.symbol = a.symbol AND g.ts BETWEEN a.ts - INTERVAL 600 SECOND AND a.ts + INTERVAL 600 SECOND AND NOT list_contains(p.used, g.seq) GROUP BY a.symbol, a.i, a.seq, p.used))
+SELECT p.symbol, p.seq, p.fill_seq, round(abs(epoch_us(g.ts) - epoch_us(a.ts)) / 1e6, 6) AS distance_s FROM pass p JOIN asked a ON a.symbol = p.symbol AND a.i = p.i LEFT JOIN given g ON g.symbol = p.symbol AND g.seq = p.fill_seq""")
 def matched_intents(spark, d):
     """Odd ticks as intents, even ones as fills, within ten minutes."""
     t = market.ticks(spark, d).select("symbol", "ts", "seq")
