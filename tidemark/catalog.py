@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import market, quoting, rules, scans, studies, sweeps  # noqa: F401  (the others add to the queries of market)
+from .plans import cohorts, market, quoting, rules, scans, studies, sweeps  # noqa: F401  (the others add to the queries of market)
 
 
 def queries() -> dict:
