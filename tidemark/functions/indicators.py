@@ -19,6 +19,18 @@ def back(x: Column | str, n: int = 1) -> Column:
     return F.lag(c(x), n).over(along())
 
 
+def ratio(x: Column | str, y: Column | str) -> Column:
+    """x / y of doubles by IEEE rules: over 0 an infinity with the sign of x, or NaN for 0 / 0. Null where either is null."""
+    x, y = c(x).cast("double"), c(y).cast("double")
+    return F.when(y == 0, x * F.lit(math.inf)).otherwise(x / F.nullif(y, F.lit(0.0)))
+
+
+def log_ratio(x: Column | str, y: Column | str) -> Column:
+    """ln(x / y) by IEEE rules: an infinity where one of them is 0, NaN where both are or where signs differ."""
+    r = ratio(x, y)
+    return F.when(r == 0, F.lit(-math.inf)).when(r < 0, F.lit(math.nan)).otherwise(F.log(r))
+
+
 def simple_return(x: Column | str = "close", n: int = 1) -> Column:
     return c(x) / F.nullif(back(x, n), F.lit(0.0)) - 1
 
