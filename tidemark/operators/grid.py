@@ -70,14 +70,15 @@ def family(sums: DataFrame) -> DataFrame:
 
 
 def stratified_draws(sums: DataFrame, draws: int, seed: int = 0, keys: tuple[str, ...] = ("symbol", "horizon")) -> DataFrame:
-    """family_sums() of every draw: in each part of the keys as many blocks as it has are drawn with replacement, by a hash of (seed, draw, part, place). sums: by (keys, part, block)."""
-    order = Window.partitionBy(*keys, "part").orderBy("block")
-    placed = sums.withColumn("_i", F.row_number().over(order) - 1)
-    size = sums.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("_n"))
-    drawn = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_b", F.explode(F.sequence(F.lit(0), (c("_n") - 1).cast("int"))))
+    """family_sums() of every draw: in each part of the keys as many blocks as it has are drawn with replacement, by a hash of (seed, draw, part, place). sums: by (keys, part, block).
+
+    Every block's place brings its own draws, so they are made where the blocks are; draws and blocks meet by a shuffle, as both grow with the data and neither may be sent through the driver."""
+    group = Window.partitionBy(*keys, "part")
+    placed = sums.withColumns({"_i": F.row_number().over(group.orderBy("block")) - 1, "_n": F.count(F.lit(1)).over(group)})
+    drawn = placed.select(*keys, "part", "_n", c("_i").alias("_b")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "part", "_b")), 1, 12), 16, 10).cast("long"), c("_n")).cast("int")
-    both = drawn.withColumn("_i", pick).join(placed, [*keys, "part", "_i"])
     values = [x for x in sums.columns if x not in (*keys, "part", "block")]
+    both = drawn.select(*keys, "part", "draw", pick.alias("_i")).hint("merge").join(placed.select(*keys, "part", "_i", *values), [*keys, "part", "_i"])
     return both.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values])
 
 
