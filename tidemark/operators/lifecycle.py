@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import numbered, running_sum
@@ -14,12 +14,14 @@ def round_trips(deals: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
     status is what the first deal in the order of (ts, seq) that breaks a rule breaks: entry_after_exit, entry_sides_differ (from the first entry's), wrong_exit (before any entry,
     or on the entry's side), exit_too_large (more out than in by then); else not_closed, if nothing or not all went out; else complete, or complete_in_parts after several
-    exits. Prices are weighted by quantity; null without deals of their kind. Deals of one position are numbered and summed in chunks.
+    exits. Prices are weighted by quantity; null without deals of their kind. Deals of one position are numbered and summed in chunks. Deals that share (ts, seq) count together in
+    what is in by then, and come in the order of entries first, side and quantity.
     """
     key = ["position_key"]
-    d = numbered(deals, key)
+    d = numbered(deals, key, ("ts", "seq", ~c("is_entry"), "side", "qty"))
     first = d.groupBy(*key).agg(F.min(F.when(c("is_entry"), c("row"))).alias("_in"), F.min(F.when(~c("is_entry"), c("row"))).alias("_out"), F.min_by("side", F.when(c("is_entry"), c("row"))).alias("_side"))
     d = running_sum(d, F.when(c("is_entry"), c("qty")).otherwise(-c("qty")), "_open", key).join(first, key)
+    d = d.withColumn("_open", F.max_by("_open", "row").over(Window.partitionBy(*key, "ts", "seq")))
     entry = F.when(c("row") > c("_out"), "entry_after_exit").when(c("side") != c("_side"), "entry_sides_differ")
     leave = F.when(c("_in").isNull() | (c("_in") > c("row")) | (c("side") == c("_side")), "wrong_exit").when(c("_open") < -tolerance, "exit_too_large")
     d = d.withColumn("_broken", F.when(c("is_entry"), entry).otherwise(leave))
