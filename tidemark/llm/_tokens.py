@@ -30,6 +30,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        self.plain: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.remembered = 0
         ids = lambda s: self.full.encode(s, add_special_tokens=False).ids
@@ -45,32 +46,28 @@ class Encoder:
         return word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
 
     def _plain(self, word: str) -> bool:
-        return word.isalpha() and word.islower() and max(word) < "ɐ" and (word.isascii() or unicodedata.is_normalized("NFC", word))
+        return word.isalpha() and word.islower() and (word.isascii() or (max(word) < "ɐ" and unicodedata.is_normalized("NFC", word)))
 
     def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            plain = self.direct and self._plain(word)
-            found = [t.id for t in self.full.model.tokenize(self._shown(word))] if plain else self.full.encode(word, add_special_tokens=False).ids
-            ids = self.known[word] = array("I", found).tobytes()
-            self.remembered += 200 + len(word) + len(ids)
+        """The ids of a word that isn't known yet. Plain words are remembered apart, as punctuation after one is a piece of its own."""
+        if self.direct and self._plain(word):
+            ids = self.plain[word] = array("I", [t.id for t in self.full.model.tokenize(self._shown(word))]).tobytes()
+        else:
+            stem = word.rstrip(".,") if self.direct else word
+            if stem and len(stem) < len(word) and (stem in self.plain or self._plain(stem)):
+                end = word[len(stem) :]
+                return (self.plain.get(stem) or self._word(stem)) + (self.known.get(end) or self._word(end))
+            ids = self.known[word] = array("I", self.full.encode(word, add_special_tokens=False).ids).tobytes()
+        self.remembered += 200 + len(word) + len(ids)
         return ids
 
     def _words(self, words: list[str]) -> list[bytes]:
         if self.remembered > REMEMBERED:
+            self.plain.clear()
             self.known.clear()
             self.remembered = 0
-        known, out = self.known, []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                stem = w.rstrip(".,")  # punctuation after a plain word is a piece of its own
-                if stem and len(stem) < len(w) and self.direct and (self._plain(stem)):
-                    ids = self._word(stem) + self._word(w[len(stem) :])
-                else:
-                    ids = self._word(w)
-            out.append(ids)
-        return out
+        plain, known, word = self.plain.get, self.known.get, self._word
+        return [plain(w) or known(w) or word(w) for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text). Null counts as empty."""
