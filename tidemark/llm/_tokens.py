@@ -19,9 +19,19 @@ CHARACTERS = 1 << 21
 #: Two texts whose ids must be those of their parts, for a tokenizer that drops white space.
 PROBES = ("It's 12 o'clock, déjà-vu... x1", "'s don'té́ !?", "a", "...")
 
+#: By last byte, or last two: ASCII letters and digits, and the Latin letters of two bytes that stay one letter in lower case (İ doesn't).
+_ENDS, _ENDS_OF_TWO = np.zeros(1 << 8, bool), np.zeros(1 << 16, bool)
+_ENDS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_ENDS_OF_TWO[[int.from_bytes(chr(c).encode()) for c in range(0xC0, 0x240) if chr(c).lower().isalpha()]] = True
+
 _OPEN: dict[str, Encoder] = {}
 
 
+def strings(words: pa.Array) -> list[str]:
+    """to_pylist() without a scalar object for each string."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids as encode(text, add_special_tokens=False) gives them. Where white space only separates (checked on PROBES), each distinct word is tokenized once."""
 
@@ -30,8 +40,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.plain: dict[str, bytes] = {}
+        #: Ids of the words met lately, and of those met before them; when the first are many, they take the place of the second.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.remembered = 0
         ids = lambda s: self.full.encode(s, add_special_tokens=False).ids
         self.by_words = all(ids(f" {a} \n\t{b}  ") == ids(a) + ids(b) for a in PROBES for b in PROBES)
@@ -41,33 +52,52 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(printable)]
         self.bytes = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(hidden)}
         self.direct = self.lowers and all([t.id for t in self.full.model.tokenize(self._shown(w))] == ids(w) for w in ("the", "déjà", "xqzthou", "straße", "ñandú"))
+        self.stops = [array("I", ids(x)).tobytes() for x in ".,"]
 
     def _shown(self, word: str) -> str:
         return word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
 
     def _plain(self, word: str) -> bool:
-        return word.isalpha() and word.islower() and (word.isascii() or (max(word) < "ɐ" and unicodedata.is_normalized("NFC", word)))
+        low = word if word.islower() else word.lower()
+        return low.isalpha() and low.islower() and (word.isascii() or (max(low) < "ɐ" and unicodedata.is_normalized("NFC", word)))
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word that isn't known yet. Plain words are remembered apart, as punctuation after one is a piece of its own."""
+        """The ids of a word that isn't known yet."""
         if self.direct and self._plain(word):
-            ids = self.plain[word] = array("I", [t.id for t in self.full.model.tokenize(self._shown(word))]).tobytes()
+            ids = [t.id for t in self.full.model.tokenize(self._shown(word.lower()))]
         else:
-            stem = word.rstrip(".,") if self.direct else word
-            if stem and len(stem) < len(word) and (stem in self.plain or self._plain(stem)):
-                end = word[len(stem) :]
-                return (self.plain.get(stem) or self._word(stem)) + (self.known.get(end) or self._word(end))
-            ids = self.known[word] = array("I", self.full.encode(word, add_special_tokens=False).ids).tobytes()
+            ids = self.full.encode(word, add_special_tokens=False).ids
+        ids = self.known[word] = array("I", ids).tobytes()
         self.remembered += 200 + len(word) + len(ids)
         return ids
 
+    def _again(self, word: str) -> bytes | None:
+        """The ids of a word that was last met before the words of now, and counts as one of them from here on."""
+        ids = self.before.pop(word, None)
+        if ids is not None:
+            self.known[word] = ids
+            self.remembered += 200 + len(word) + len(ids)
+        return ids
+
     def _words(self, words: list[str]) -> list[bytes]:
-        if self.remembered > REMEMBERED:
-            self.plain.clear()
-            self.known.clear()
-            self.remembered = 0
-        plain, known, word = self.plain.get, self.known.get, self._word
-        return [plain(w) or known(w) or word(w) for w in words]
+        if self.remembered > REMEMBERED // 2:
+            self.before, self.known, self.remembered = self.known, {}, 0
+        known, again, word = self.known.get, self._again, self._word
+        return [known(w) or again(w) or word(w) for w in words]
+
+    def _each(self, words: pa.Array) -> pa.Array:
+        """The ids of each of some words, as bytes. One full stop or comma after a Latin letter or a digit is a piece of its own, so it is cut off before the word is looked up."""
+        if not self.direct or not pc.any(pc.not_equal(words, "")).as_py():
+            return pa.array(self._words(strings(words)), pa.binary())
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        at = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64))
+        last, one, two = (data[np.maximum(at - i, 0)] for i in (1, 2, 3))
+        letter = _ENDS[one] | _ENDS_OF_TWO[two.astype(np.int64) << 8 | one]
+        size = np.diff(at, prepend=0)
+        end = np.where((size > 1) & letter, (last == 46) + 2 * (last == 44), 0)
+        coded = pc.if_else(pa.array(end > 0), pc.ascii_rtrim(words, ".,"), words).dictionary_encode()
+        stems = pa.array(self._words(strings(coded.dictionary)), pa.binary()).take(coded.indices)
+        return pc.binary_join_element_wise(stems, pa.array([b"", *self.stops]).take(pa.array(end)), b"")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text). Null counts as empty."""
@@ -79,9 +109,9 @@ class Encoder:
             texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        each = self._words(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(each), np.uint32)
-        lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        each = self._each(coded.dictionary)
+        flat = np.frombuffer(each.buffers()[2] or b"", np.uint32)
+        lengths = pc.binary_length(each).to_numpy().astype(np.int64) // 4
         word = coded.indices.to_numpy()
         of_word = lengths[word]
         ids = flat[ragged((np.cumsum(lengths) - lengths)[word], of_word)]
